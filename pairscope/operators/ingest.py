@@ -54,14 +54,11 @@ def pairs_from_brackets(texts: DataFrame, keys: list[str], families: int | Colum
     # the first illegal or unmatched closing symbol decides; an unclosed opening symbol only if neither occurs
     fault = F.when(F.col("step") == 0, "illegal_structure_character").when(
         (F.col("step") == -1) & (F.col("depth") < 0), "unmatched_bracket")
-    early = deep.withColumn("fault", fault).groupBy(*keys).agg(
-        F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("pos"))).alias("first"),
-        *[F.sum(F.when(F.col("family") == n, F.col("step")).otherwise(0)).alias(f"_f{n}") for n in range(1, len(OPENING) + 1)],
-    )
-    unclosed = F.lit(False)
-    for n in range(1, len(OPENING) + 1):
-        unclosed = unclosed | (F.col(f"_f{n}") > 0)
-    early = early.select(*keys, F.coalesce("first", F.when(unclosed, "unmatched_bracket")).alias("code")).where("code IS NOT NULL")
+    per_family = deep.withColumn("at", F.when(fault.isNotNull(), F.struct(F.col("pos"), fault.alias("code")))).groupBy(*keys, "family").agg(
+        F.min("at").alias("at"), F.sum("step").alias("open"))
+    early = per_family.groupBy(*keys).agg(
+        F.min("at").alias("at"), F.max("open").alias("open")
+    ).select(*keys, F.coalesce("at.code", F.when(F.col("open") > 0, "unmatched_bracket")).alias("code")).where("code IS NOT NULL")
     early = early.unionByName(sized.where("_bad_length").select(*keys, F.lit("length_mismatch").alias("code")))
     return _accept(
         pairs.select(*keys, F.col("length").alias("sequence_length"), F.col("j").alias("ordinal"), "i", "j"), early, keys)

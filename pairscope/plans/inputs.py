@@ -1,4 +1,7 @@
-"""Raw-looking inputs derived from the tables, with faults at known ids, for the readers and checks."""
+"""Raw-looking inputs derived from the tables, with faults at known ids, for the readers and checks.
+
+Texts are written once, as files would be, so their construction is not part of a reader's plan.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairscope.operators.ingest import render_brackets
 from pairscope.operators.metrics import RECORD
 from pairscope.plans.tables import Tables
+from pairscope.session import cut_lineage
 from pairscope.sources.derived import SOURCES
 
 
@@ -41,7 +45,7 @@ def predicted_texts(t: Tables) -> DataFrame:
         (at(13, 0), F.concat("text", F.lit("."))),
     ):
         text = text.withColumn("text", F.when(fault, value).otherwise(F.col("text")))
-    return text
+    return cut_lineage(text)
 
 
 def _truth_arrays(t: Tables) -> DataFrame:
@@ -87,8 +91,8 @@ def truth_matrices(t: Tables) -> DataFrame:
     extra = t.rnas.select("rna_id", F.explode(F.concat(
         cell(at(11, 1), F.lit(0), F.lit(0)), cell(at(13, 2), F.lit(0), last), cell(at(19, 3), F.lit(0), F.lit(1), 2),
         cell(at(7, 5), F.lit(2), last), cell(at(7, 5), last, F.lit(2)))).alias("x")).select("rna_id", "x.*")
-    return _matrix_rows(t, _marks(t).unionByName(extra)).withColumn(
-        "matrix", F.when(at(23, 4), F.slice("matrix", 1, F.size("matrix") - 1)).otherwise(F.col("matrix")))
+    return cut_lineage(_matrix_rows(t, _marks(t).unionByName(extra)).withColumn(
+        "matrix", F.when(at(23, 4), F.slice("matrix", 1, F.size("matrix") - 1)).otherwise(F.col("matrix"))))
 
 
 def mixed_structures(t: Tables) -> DataFrame:
@@ -105,7 +109,8 @@ def mixed_structures(t: Tables) -> DataFrame:
         .when(at(4, 2), "pair_list").otherwise("dense_matrix")
     )
     value = F.when(at(4, 2), one_based).when(at(4, 3), F.to_json("matrix")).otherwise(F.col("text"))
-    return rows.select("rna_id", "sequence_length", kind.alias("source_format"), value.alias("source_value"), F.lit(1).alias("index_base"))
+    return cut_lineage(rows.select(
+        "rna_id", "sequence_length", kind.alias("source_format"), value.alias("source_value"), F.lit(1).alias("index_base")))
 
 
 def pooled_predictions(t: Tables) -> DataFrame:

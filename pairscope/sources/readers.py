@@ -11,11 +11,13 @@ from pairscope import schema
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of a JSON-lines stream; malformed lines are kept with their text."""
-    lines = (
-        spark.read.schema(schema.RECORD).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).select("value", F.from_json("value", schema.RECORD, options).alias("r"))
+    whole = F.col("r").isNotNull() & F.col("r._corrupt").isNull()
+    return (
+        lines.where(whole).select("r.*").drop("_corrupt"),
+        lines.where(~whole).select(F.col("value").alias("_corrupt")),
     )
-    return lines.where("_corrupt IS NULL").drop("_corrupt"), lines.where("_corrupt IS NOT NULL").select("_corrupt")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +34,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(column: str = "value"):
-    return F.filter(F.transform(F.split(column, r"\r?\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(column, r"\r?\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def ingest_structures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
