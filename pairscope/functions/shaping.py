@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def parse(spec: str) -> list[tuple[str, str]]:
@@ -40,3 +40,12 @@ def shape_sql(body: str, spec: str) -> str:
         else:
             parts.append(f"CAST({name} AS VARCHAR) AS {name}")
     return f"SELECT {', '.join(parts)} FROM ({body}) shaped"
+
+
+def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a column that later steps read as a value.
+
+    Catalyst may copy a projected expression into every place that reads it, even into a lambda that runs
+    per array element. A one-element explode keeps an expensive text or array expression evaluated once per row.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))

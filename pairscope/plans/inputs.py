@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairscope.functions.shaping import computed_once
 from pairscope.operators.ingest import render_brackets
 from pairscope.operators.metrics import RECORD
 from pairscope.plans.tables import Tables
@@ -197,7 +198,7 @@ def matrix_files(t: Tables) -> DataFrame:
     cell = "cast((cast(rna_id AS bigint) + 3 * r + 5 * c) % 1000 AS string)"
     rows = (f"transform(sequence(0, sequence_length - 1), r -> array_join(transform(sequence(0, sequence_length - 1), "
             f"c -> {cell}), ' '))")
-    out = t.rnas.withColumn("_rows", F.expr(rows))
+    out = computed_once(t.rnas, "_rows", F.expr(rows))
     out = out.withColumn("_rows", F.when(at(21, 4), F.slice("_rows", 1, F.size("_rows") - 1)).when(
         at(25, 6), F.concat(F.array(F.lit("x y")), F.slice("_rows", 2, F.size("_rows")))).otherwise(F.col("_rows")))
     tail = F.when(at(21, 4), F.array()).otherwise(F.array(F.lit("# end")))
@@ -209,7 +210,7 @@ def dotplot_files(t: Tables) -> DataFrame:
     """Upper-triangle ``ubox`` lines between other lines; incomplete, repeated or invalid at some ids."""
     lines = ("flatten(transform(sequence(1, sequence_length - 1), r -> transform(sequence(r + 1, sequence_length), "
              "c -> concat_ws(' ', r, c, ((cast(rna_id AS bigint) + 3 * r + 5 * c) % 100) / 100.0D, 'ubox'))))")
-    out = t.rnas.withColumn("_l", F.expr(lines))
+    out = computed_once(t.rnas, "_l", F.expr(lines))
     l = F.col("_l")
     out = out.withColumn("_l", F.when(at(20, 3), F.slice(l, 1, F.size(l) - 1)).when(
         at(20, 4), F.concat(l, F.array(l[0]))).when(at(20, 5), F.concat(F.array(F.lit("1 2 1.5 ubox")), F.slice(l, 2, F.size(l)))).otherwise(l))

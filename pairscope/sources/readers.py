@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairscope import schema
+from pairscope.functions.shaping import computed_once
 
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +40,7 @@ def _lines(column: str = "value"):
 
 def ingest_structures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files of ``>name / sequence / structure`` or ``>name / structure`` lines -> (records, rejects)."""
-    parsed = files.withColumn("_l", _lines()).withColumn("_n", F.size("_l"))
+    parsed = computed_once(files, "_l", _lines()).withColumn("_n", F.size("_l"))
     named = F.col("_l")[0].startswith(">")
     rows = parsed.withColumns({
         "rna_id": F.when(named, F.trim(F.substring(F.col("_l")[0], F.lit(2), F.length(F.col("_l")[0])))),
