@@ -1,6 +1,6 @@
 """Every oracle as a complete SQL text in the shape of its query."""
 
-from oracles import evidence, inputs, scores, structure  # noqa: F401
+from oracles import evidence, inputs, policy, scores, structure  # noqa: F401
 from oracles.base import ORACLES, expand
 from pairscope.functions.shaping import shape_sql
 from pairscope.plans.all_queries import QUERIES
