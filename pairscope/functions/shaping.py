@@ -46,6 +46,6 @@ def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:
     """Add a column that later steps read as a value.
 
     Catalyst may copy a projected expression into every place that reads it, even into a lambda that runs
-    per array element. A one-element explode keeps an expensive text or array expression evaluated once per row.
+    per array element. Exploding a repeat of one (which the optimizer does not undo) keeps an expensive text or array expression evaluated once per row.
     """
-    return df.select("*", F.explode(F.array(column)).alias(name))
+    return df.select("*", F.explode(F.array_repeat(column, F.lit(1))).alias(name))

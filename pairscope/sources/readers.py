@@ -58,20 +58,23 @@ def ingest_structures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ingest_scores(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A length line and that many rows of numbers -> (path, i, j, score); short or ragged files are rejected.
 
-    Lines after the matrix are allowed. The row shape is checked on arrays before anything is exploded.
+    Lines after the matrix are allowed. Numbers are parsed cell by cell in generated code; the layout check is one aggregate.
     """
-    rows = (
-        files.withColumn("_l", _lines()).withColumn("n", F.expr("try_cast(_l[0] AS int)"))
-        .withColumn("_m", F.expr("transform(slice(_l, 2, greatest(coalesce(n, 0), 0)), x -> "
-                                 "transform(split(x, '\\\\s+'), y -> try_cast(y AS double)))"))
-        .withColumn("code", F.when(F.col("n").isNull() | (F.size("_m") != F.col("n")), "layout").when(
-            F.exists("_m", lambda r: (F.size(r) != F.col("n")) | F.exists(r, lambda v: v.isNull() | F.isnan(v))), "matrix"))
-    )
+    lines = computed_once(files.select("path", "value"), "_l", _lines()).withColumn("n", F.expr("try_cast(_l[0] AS int)"))
+    words = F.split("line", r"\s+")
     cells = (
-        rows.where("code IS NULL").select("path", F.posexplode("_m").alias("i", "_r"))
-        .select("path", "i", F.posexplode("_r").alias("j", "score"))
+        lines.where("n > 0").select("path", "n", F.posexplode(F.slice("_l", 2, F.col("n"))).alias("i", "line"))
+        .select("path", "n", "i", F.posexplode(words).alias("j", "word"))
+        .select("path", "n", "i", "j", F.expr("try_cast(word AS double)").alias("score"))
     )
-    return cells, rows.where("code IS NOT NULL").select("path", "code")
+    report = cells.groupBy("path").agg(
+        F.max("i").alias("last"), F.max("n").alias("n"), F.max("j").alias("widest"), F.count("*").alias("cells"),
+        F.max(F.col("score").isNull() | F.isnan("score")).alias("bad"))
+    # n lines, none wider than n, n * n cells: every line has exactly n
+    ragged = (F.col("widest") + 1 != F.col("n")) | (F.col("cells") != F.col("n") * F.col("n"))
+    code = F.when(F.col("n").isNull() | (F.col("last") + 1 != F.col("n")), "layout").when(F.col("bad") | ragged, "matrix")
+    rejects = files.select("path").join(report, "path", "left").withColumn("code", code).where("code IS NOT NULL").select("path", "code")
+    return cells.join(rejects.select("path"), "path", "left_anti").select("path", "i", "j", "score"), rejects
 
 
 def ingest_dotplot(files: DataFrame) -> tuple[DataFrame, DataFrame]:
