@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairscope.llm import bpe, exact_dedup, mixing, quality, simhash
+from pairscope.llm import bpe, chat, exact_dedup, language, licenses, mixing, quality, simhash, toxicity, warc
 from pairscope.llm.common import read
 
 
@@ -27,9 +27,31 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(chat.with_probe(spark, read(spark, sf_dir, "conversations")))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_report(read(spark, sf_dir, "pages"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "copies", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_exact_dedup, op4_bpe_round_trip, op10_source_mix)}
+    f.__name__: f for f in (
+        op1_simhash_near_dedup, op2_quality_rules, op3_exact_dedup, op4_bpe_round_trip, op5_language_id, op6_toxicity,
+        op7_chat_format, op8_warc_revisits, op9_license_scan, op10_source_mix)}

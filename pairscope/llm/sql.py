@@ -65,4 +65,48 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, r
 FROM counted
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _QUALITY, "op3_exact_dedup": _EXACT, "op10_source_mix": _MIX}
+_CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS x FROM conversations
+  UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok',
+    CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM (SELECT unnest([0, 1]) AS k)
+), sized AS (
+  SELECT *, length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g'))
+    + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_start|>') + 1 + length('<|im_end|>') + 1 AS n FROM turns
+), grouped AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) AS body,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) FILTER (role = 'assistant'), '') AS learned, sum(n) AS n
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(body) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256,
+  CAST(n AS BIGINT) AS formatted_chars FROM grouped
+"""
+
+_WARC = r"""
+WITH base AS (
+  SELECT page_id, coalesce(html, '') AS html, substr(sha256(coalesce(html, '')), 1, 16) AS tag, 1704067200 + (page_id * 7919) % 34560000 AS at,
+    regexp_replace(trim(coalesce(url, '')), '#.*$', '') AS clean FROM pages
+), bare AS (SELECT *, regexp_replace(clean, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM base),
+canonical AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^([^@]*@)?(www[0-9]*[.])?', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS front,
+    list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref|sessionid)(=|$)'))) AS args FROM bare
+), named AS (SELECT *, front || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS c FROM canonical),
+found AS (
+  SELECT 'r' || v.page_id AS record_id, v.c AS canonical_url, v.page_id AS n, v.tag AS mine, r.page_id AS other, r.tag AS stored, r.html,
+    row_number() OVER (PARTITION BY v.page_id ORDER BY r.at DESC NULLS LAST, 'p' || r.page_id DESC NULLS LAST) AS k
+  FROM named v LEFT JOIN named r ON r.c = v.c AND r.at < v.at + 259200
+), judged AS (
+  SELECT *, CASE WHEN other IS NULL THEN 'missing' WHEN n % 11 = 0 THEN 'unverified'
+    WHEN (CASE WHEN n % 5 = 0 THEN 'stale' ELSE mine END) = stored THEN 'resolved' ELSE 'mismatch' END AS outcome FROM found WHERE k = 1
+)
+SELECT record_id, canonical_url, CASE WHEN other IS NOT NULL THEN 'p' || other END AS response_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN 'max-age=3600' END AS cache_control,
+  CASE WHEN outcome = 'resolved' THEN CAST(strlen(html) AS BIGINT) END AS content_length,
+  CASE WHEN outcome = 'resolved' THEN sha256(html) END AS body_sha256
+FROM judged
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": _QUALITY, "op3_exact_dedup": _EXACT, "op7_chat_format": _CHAT, "op8_warc_revisits": _WARC, "op10_source_mix": _MIX}
