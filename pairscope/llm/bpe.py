@@ -23,6 +23,15 @@ from pairscope.llm.common import workers_import
 MEMO = 400_000
 #: White space as the vocabulary file's regular expressions know it.
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
+# fixed values: letters and digits that Unicode 16 added, which the file's splitter knows and Python's tables (15.1) don't
+_ADDED = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA))
+# fixed values: lower case of capital letters that Unicode 16 and 17 added
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {
+    o: o + 32 for o in range(0x10D50, 0x10D66)} | {o: o + 27 for o in range(0x16EA0, 0x16EB9)}
 #: What str.split() takes for white space beyond that.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -34,6 +43,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def splitter() -> Callable[[str], list[str]]:
+    """The published splitting pattern, with white space and the Unicode version of letters written out."""
+    spare = {o for a, b in _ADDED for o in range(a, b + 1)}
+    unknown = "".join(chr(o) for o in range(0x110000) if unicodedata.category(chr(o)) == "Cn" and o not in spare)
+    later, last = "", -1
+    for o in map(ord, regex.findall(r"[\p{L}\p{N}]", unknown)):
+        # a range a-b, its end moved on while code points follow each other
+        later = f"{later[:-1]}{chr(o)}" if o == last + 1 else f"{later}{chr(o)}-{chr(o)}"
+        last = o
+    if not later:
+        return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+").findall
+    letter, digit = rf"[\p{{L}}--[{later}]]", rf"[\p{{N}}--[{later}]]"
+    other = rf"[[^{_WHITE}\p{{L}}\p{{N}}]||[{later}]]"
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|{other}+", regex.V1).findall
+
+
 class Bpe:
     """A word-level vocabulary file: normaliser NFC, white space to space, lower case; letters, single digits and other runs."""
 
@@ -52,8 +77,7 @@ class Bpe:
         letters = byte_letters()
         self.inner = [v[x] for x in letters]
         self.last = [v[x + self.suffix] for x in letters]
-        # the published splitting pattern, white space written out
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _WHITE + r"\p{L}\p{N}]+").findall
+        self.pieces = splitter()
         by_length = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         self.joint = " " if d["decoder"] is None else ""
@@ -107,7 +131,7 @@ class Bpe:
         return ids
 
     def rendered(self, part: str) -> list[tuple[str, str] | None]:
-        """For each word of a normalised text: its ids joined by spaces, its strings joined for decoding; None without ids."""
+        """For each word of a text: its ids joined by spaces, its strings joined for decoding; None without ids."""
         # a piece never holds white space, so words are encoded apart
         found = [part] if any(c in part for c in _SEPARATORS) else part.split()
         known = self.known_words
@@ -115,7 +139,7 @@ class Bpe:
             known.clear()
         new = {}
         for word in set(found).difference(known):
-            ids = [i for piece in self.pieces(word) for i in self.piece(piece)]
+            ids = [i for piece in self.pieces(normalise(word)) for i in self.piece(piece)]
             (known if len(word) <= 64 else new)[word] = (" ".join(map(str, ids)), self.decode(ids)) if ids else None
         return [known[w] if w in known else new[w] for w in found] if new else [known[w] for w in found]
 
@@ -147,7 +171,7 @@ class Bpe:
         parts = self.parts(text or "")
         found: list[tuple[str, str]] = []
         for k, part in enumerate(parts):
-            found += [(str(self.special[part]), part)] if k % 2 else filter(None, self.rendered(normalise(part)))
+            found += [(str(self.special[part]), part)] if k % 2 else filter(None, self.rendered(part))
         ids = " ".join([f[0] for f in found])
         decoded = self.joint.join([f[1] for f in found])
         return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
@@ -155,7 +179,7 @@ class Bpe:
 
 def normalise(text: str) -> str:
     """NFC, then lower case letter by letter: no letter's form depends on its neighbours."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(_LOWER)
 
 
 def _loader(spark: SparkSession, path: str) -> Callable[[], Bpe]:

@@ -37,14 +37,21 @@ def letters(text: str) -> bytes:
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           sample_texts: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language in ``labelled``, from the ``sample_texts`` rows whose identifiers hash lowest.
+    """A dictionary for each language in ``labelled``, from up to ``sample_texts`` rows chosen by the hash of their identifiers.
 
     Of each sampled text the first ``sample_bytes`` characters are kept. Rows without a text or language teach nothing.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("language")), "id", F.xxhash64("text"))
-    ranked = rows.select("lang", "id", F.substring("text", 1, sample_bytes).alias("text"))
+    # hash-low rows first, some more than needed, so that few texts meet in the ranking
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}
+    rank = F.xxhash64("id", F.lit("language"))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * sample_texts / n))])[F.col("lang")]
+    low = rows.where(F.pmod(rank, F.lit(1 << 30)) < share * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("rank", "id", "text")
+    ranked = low.select("lang", "id", rank.alias("rank"), F.substring("text", 1, sample_bytes).alias("text"))
     chosen = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_texts).orderBy("lang", "k").collect()
     parts: dict[str, list[bytes]] = {}
     for row in chosen:

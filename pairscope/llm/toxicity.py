@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairscope.llm.common import workers_import
 from pairscope.llm.language import fold
+from pairscope.session import cut_lineage
 
 WINDOW, STRIDE = 32, 24
 WORD_SLOTS, CHAR_SLOTS = 1 << 14, 1 << 12
@@ -360,13 +361,18 @@ def _windows(ids: np.ndarray) -> Iterator[np.ndarray]:
 # Spark ------------------------------------------------------------------------------------------------------
 def sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS,
            id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """Labelled texts outside fold 0: of each class the ``sample_texts`` whose identifiers hash lowest among those of up to ``sample_chars`` characters.
+    """Labelled texts outside fold 0: of each class up to ``sample_texts`` of up to ``sample_chars`` characters, chosen by the hash of their identifiers.
 
     Rows with a null identifier, text or label teach nothing; a text labelled both ways counts for each.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").where(fold("id", folds) != 0).distinct()
+    # hash-low labels first, some more than needed, so that only their texts are joined and ordered
+    rank = F.xxhash64(F.col("id").cast("string"), F.lit("toxicity"))
+    sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("y") == 1, min(1.0, 8 * sample_texts / max(1, sizes.get(1, 0)))).otherwise(min(1.0, 8 * sample_texts / max(1, sizes.get(0, 0))))
+    low = cut_lineage(marked.withColumn("h", rank).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)))
     short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.length("text") <= sample_chars) & (F.col("text") != ""))
-    joined = short.join(marked, "id").withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit("toxicity")))
+    joined = short.join(F.broadcast(low), "id")  # 16 * sample_texts rows, by the shares above
     rows = [r for y in (0, 1) for r in joined.where(F.col("y") == y).orderBy("h", "id", "text").limit(sample_texts).collect()]
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
