@@ -16,20 +16,21 @@ cte("ranked", """SELECT m.manifest_id, m.rna_id, m.channel, m.density, m.seed, m
    FROM man m JOIN uni u ON u.rna_id=m.rna_id AND u.channel=m.channel""")
 cte("items", "SELECT manifest_id, rna_id, channel, density, seed, i, j FROM ranked WHERE rk<=selected")
 oracle("x5_sample_evidence", "SELECT * FROM items")
-cte("nman", "SELECT * FROM man WHERE density IN (10,50) AND seed=101")
-cte("nitems", "SELECT items.* FROM items WHERE density IN (10,50) AND seed=101")
+cte("nman", "SELECT * FROM man")
+cte("nitems", "SELECT * FROM items")
 oracle("x5_item_index", "SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY i)-1 AS item_index FROM nitems")
-_h = "sha256(concat_ws(chr(31),{m}.manifest_id,'20',CAST({x} AS VARCHAR),'{w}'))"
-cte("upick", f"""SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY {_h.format(m='nitems', x='i', w='choice')}) AS rk,
-   (count(*) OVER (PARTITION BY manifest_id)*20+50)//100 AS wanted FROM nitems WHERE channel='unpaired'""")
-cte("usup", f"""SELECT d.manifest_id, e AS p, row_number() OVER (PARTITION BY d.manifest_id ORDER BY {_h.format(m='d', x='e', w='supply')}) AS rk
-   FROM (SELECT DISTINCT manifest_id, rna_id FROM nitems WHERE channel='unpaired') d JOIN (SELECT DISTINCT rna_id, e FROM tend) t ON t.rna_id=d.rna_id""")
-cte("ucor", """SELECT u.manifest_id, u.rna_id, u.i AS clean_i, CASE WHEN u.rk<=wanted THEN s.p ELSE u.i END AS i,
+_h = "sha256(concat_ws(chr(31),{m}.manifest_id,CAST(noise AS VARCHAR),CAST({x} AS VARCHAR),'{w}'))"
+cte("noisy", "SELECT * FROM (VALUES (5),(10),(20),(30)) v(noise)")
+cte("upick", f"""SELECT *, row_number() OVER (PARTITION BY manifest_id, noise ORDER BY {_h.format(m='nitems', x='i', w='choice')}) AS rk,
+   (count(*) OVER (PARTITION BY manifest_id, noise)*noise+50)//100 AS wanted FROM nitems CROSS JOIN noisy WHERE channel='unpaired'""")
+cte("usup", f"""SELECT noise, d.manifest_id, e AS p, row_number() OVER (PARTITION BY d.manifest_id, noise ORDER BY {_h.format(m='d', x='e', w='supply')}) AS rk
+   FROM (SELECT DISTINCT manifest_id, rna_id FROM nitems WHERE channel='unpaired') d JOIN (SELECT DISTINCT rna_id, e FROM tend) t ON t.rna_id=d.rna_id CROSS JOIN noisy""")
+cte("ucor", """SELECT u.noise, u.manifest_id, u.rna_id, u.i AS clean_i, CASE WHEN u.rk<=wanted THEN s.p ELSE u.i END AS i,
    CASE WHEN u.rk>wanted THEN 'CLEAN' WHEN s.p IS NULL THEN 'CORRUPTION_UNAVAILABLE' ELSE 'CORRUPTED' END AS status
-   FROM upick u LEFT JOIN usup s ON s.manifest_id=u.manifest_id AND s.rk=u.rk AND u.rk<=wanted""")
+   FROM upick u LEFT JOIN usup s ON s.manifest_id=u.manifest_id AND s.noise=u.noise AND s.rk=u.rk AND u.rk<=wanted""")
 oracle("x6_corrupt_unpaired", "SELECT * FROM ucor")
 oracle("x7_validate_evidence", """SELECT manifest_id, 'selected_count' AS finding FROM nman WHERE channel='unpaired' AND CAST(rna_id AS BIGINT)%5=0
-   UNION ALL SELECT DISTINCT manifest_id, 'clean_item_modified' FROM ucor WHERE CAST(rna_id AS BIGINT)%3=0 AND status='CLEAN'""")
+   UNION ALL SELECT DISTINCT manifest_id, 'clean_item_modified' FROM ucor WHERE noise=20 AND CAST(rna_id AS BIGINT)%3=0 AND status='CLEAN'""")
 oracle("x8_payload_hash", """SELECT m.manifest_id, sha256('{"channel":"'||m.channel||'","density":'||m.density||',"items":['||
    coalesce(string_agg('{"i":'||i.i||',"j":'||coalesce(CAST(i.j AS VARCHAR),'null')||'}', ',' ORDER BY i.i, i.j),'')||'],"manifest_id":"'||m.manifest_id||'","rna_id":"'||m.rna_id||
    '","seed":'||m.seed||',"selected":'||m.selected||',"universe_size":'||m.sz||'}') AS payload_sha256
@@ -149,8 +150,21 @@ cte("decm", "SELECT dec.*, m.density, m.seed FROM dec JOIN nman m USING (manifes
 oracle("x28_gain_attribution", f"""SELECT f.density, f.source, f.micro_delta AS full_delta, l.micro_delta AS local_delta, f.micro_delta-l.micro_delta AS insertion_delta
    FROM ({summary('condition, density, source', 'decm')}) f JOIN ({summary('condition, density, source', 'decm')}) l
    ON f.density=l.density AND f.source=l.source AND f.condition='PAIR_HARD_ENFORCE' AND l.condition='PAIR_PROTECT_ONLY'""")
-oracle("x29_matched_views", """SELECT view, count(DISTINCT manifest_id) AS manifests, count(*) AS "rows" FROM (
-   SELECT 'baseline' AS view, manifest_id FROM nman JOIN pred USING (rna_id) UNION ALL SELECT 'treatment', manifest_id FROM res WHERE condition='PAIR_HARD_ENFORCE')
-   WHERE manifest_id IN (SELECT manifest_id FROM nelig WHERE eligibility='ELIGIBLE' AND channel='positive_pair') GROUP BY 1""")
+cte("vok", "SELECT manifest_id, channel, rna_id, source FROM nelig JOIN rec USING (rna_id) WHERE eligibility='ELIGIBLE'")
+cte("vn", """SELECT 'baseline' AS view, manifest_id, source, count(*) AS n FROM nman JOIN pred USING (rna_id) GROUP BY ALL
+   UNION ALL SELECT 'treatment', manifest_id, source, count(*) FROM res WHERE condition<>'PAIR_PROTECT_ONLY' GROUP BY ALL""")
+oracle("x29_matched_views", """SELECT channel, v.view, count(*) AS contexts, sum(coalesce(n,0)) AS "rows", count(*) FILTER (n IS NULL) AS empty, 0 AS unmatched
+   FROM vok CROSS JOIN (VALUES ('baseline'),('treatment')) v(view) LEFT JOIN vn USING (view, manifest_id, source) GROUP BY 1,2""")
 oracle("x30_method_compare", summary("condition, density, source", "decm"))
+oracle("x31_seed_summary", f"""SELECT condition, density, avg(macro_delta) AS macro_delta_mean, stddev_pop(macro_delta) AS macro_delta_std, min(macro_delta) AS macro_delta_min,
+   max(macro_delta) AS macro_delta_max, count(macro_delta) AS macro_delta_n FROM ({summary("condition, density, seed", "decm")}) GROUP BY 1,2""")
+cte("finc", """SELECT m.density, m.channel, p.source, p.i, p.j, len-1.0::DOUBLE AS dd, x.i AS a, x.j AS b FROM man m JOIN pred p ON p.rna_id=m.rna_id JOIN base ON base.rna_id=m.rna_id
+   JOIN items x ON x.manifest_id=m.manifest_id""")
+oracle("x23_pair_item_totals", """SELECT density, source, count(*) AS n, round(sum(least(abs(i-a),abs(i-b),abs(j-a),abs(j-b))/dd),6) AS min_distance, round(sum((b-a-j+i)/dd),6) AS span_difference,
+   sum((i=a AND j=b)::INT) AS exact_same, sum((i=a OR i=b OR j=a OR j=b)::INT) AS shared_endpoint, sum(((i=a OR i=b OR j=a OR j=b) AND NOT (i=a AND j=b))::INT) AS direct_conflict,
+   sum((rel='C')::INT) AS relation_CONTAINING, sum((rel='N')::INT) AS relation_NESTED, sum((rel='X')::INT) AS relation_CROSSING, sum((rel='D')::INT) AS relation_DISJOINT
+   FROM (SELECT *, CASE WHEN a>=i AND b<=j THEN 'C' WHEN i>=a AND j<=b THEN 'N' WHEN (i<a AND a<j AND j<b) OR (a<i AND i<b AND b<j) THEN 'X' ELSE 'D' END AS rel
+   FROM finc WHERE channel='positive_pair') GROUP BY 1,2""")
+oracle("x23_unpaired_item_totals", """SELECT density, source, count(*) AS n, round(sum(least(abs(i-a),abs(j-a))/dd),6) AS min_distance, sum((a=i)::INT) AS k_is_i, sum((a=j)::INT) AS k_is_j,
+   sum((i<a AND a<j)::INT) AS k_inside FROM finc WHERE channel='unpaired' GROUP BY 1,2""")
 oracle("x32_zero_evidence_identity", "SELECT rna_id, source, 2 AS distinct_results FROM rec WHERE false")

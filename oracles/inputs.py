@@ -50,9 +50,10 @@ cte("screp", """SELECT *, CASE WHEN min_score_before<0 OR max_score_before>1 THE
 oracle("v10_normalize_scores", "SELECT * FROM screp")
 oracle("v10_normalized_cells", """SELECT rna_id, source, count(*) AS cells, sum(CASE WHEN i=j THEN 0 ELSE s END) AS total, 0 AS diagonal_total
    FROM cells JOIN screp USING (rna_id, source) WHERE code IS NULL GROUP BY 1,2""")
-oracle("v11_record_id", """SELECT doc_id, CASE WHEN w<>'' AND l<>'' AND s<>'' THEN 'docs_v1__'||doc_id||'__'||l||'__'||s||'__'||w END AS record_id FROM (
-   SELECT doc_id, trim(regexp_replace(lower(split_part(text,' ',1)),'[^a-z0-9]+','_','g'),'_') AS w,
-     trim(regexp_replace(lower(lang),'[^a-z0-9]+','_','g'),'_') AS l, trim(regexp_replace(lower(source),'[^a-z0-9]+','_','g'),'_') AS s FROM documents)""")
+oracle("v11_record_id", """SELECT *, CASE WHEN record_id IS NULL THEN 'empty_component' END AS code FROM (
+   SELECT doc_id, CASE WHEN w<>'' AND l<>'' AND s<>'' THEN 'docs_v1__'||doc_id||'__'||l||'__'||s||'__'||w END AS record_id FROM (
+   SELECT doc_id, trim(regexp_replace(lower(CASE WHEN doc_id%50=7 THEN '?!' ELSE text END),'[^a-z0-9]+','_','g'),'_') AS w,
+     trim(regexp_replace(lower(lang),'[^a-z0-9]+','_','g'),'_') AS l, trim(regexp_replace(lower(source),'[^a-z0-9]+','_','g'),'_') AS s FROM documents))""")
 oracle("v12_warnings_summary", """SELECT CASE WHEN source='src_b' THEN 'alias_applied' ELSE 'settings_unknown' END AS code, count(*) AS n FROM rec WHERE d%3=0 GROUP BY 1""")
 oracle("v13_coverage_join_audit", """SELECT doc_id, 'missing' AS finding FROM documents WHERE doc_id NOT IN (SELECT o_custkey FROM orders)
    UNION ALL SELECT DISTINCT o_custkey, 'extra' FROM orders WHERE o_custkey NOT IN (SELECT doc_id FROM documents)

@@ -60,7 +60,7 @@ oracle("p1_error_consolidation", """SELECT source, macro_f1, false_pairs, wrong_
 cte("pats", """SELECT *, n::DOUBLE/d AS rate, row_number() OVER (PARTITION BY source ORDER BY n DESC, pattern) AS rank FROM (
    SELECT source, 'missing_pair' AS pattern, missing_pairs AS n, missing_pairs+false_pairs AS d FROM r4 UNION ALL SELECT source, 'wrong_partner_fp', wrong_partner_pairs, missing_pairs+false_pairs FROM r4
    UNION ALL SELECT source, 'pure_false_positive_pair', pure_false_pairs, missing_pairs+false_pairs FROM r4)""")
-oracle("p2_rank_patterns", "SELECT * FROM pats WHERE rank<=2")
+oracle("p2_rank_patterns", "SELECT * FROM pats")
 oracle("p3_relative_consistency", """SELECT pattern, min(rate) AS low, max(rate) AS high, CASE WHEN max(rate)=0 THEN 'ABSENT' WHEN min(rate)=0 THEN 'SOURCE_MODEL_SKEWED'
    WHEN max(rate)/min(rate)<=1.25 THEN 'SIMILAR' WHEN max(rate)/min(rate)<=1.75 THEN 'MODERATELY_VARIABLE' ELSE 'SOURCE_MODEL_SKEWED' END AS label FROM pats GROUP BY 1""")
 oracle("p4_event_ratios", """SELECT source, x1::DOUBLE/nullif(x1+x0,0) AS modification_precision, x1::DOUBLE/n1 AS delete_recall, (n0-x0)::DOUBLE/n0 AS preservation FROM (

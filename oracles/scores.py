@@ -36,12 +36,14 @@ oracle("f3_support_enrichment", """SELECT *, delete_share/base_rate AS enrichmen
    SELECT stratum, support, count(*) AS n, sum(label_delete) AS deletes, avg(label_delete) AS delete_share,
      sum(sum(label_delete)) OVER (PARTITION BY stratum)::DOUBLE/sum(count(*)) OVER (PARTITION BY stratum) AS base_rate
    FROM (SELECT source AS stratum, * FROM evs UNION ALL SELECT 'ALL', * FROM evs) GROUP BY 1,2))""")
-oracle("f4_condition_potential", """SELECT source, condition, count(*) AS n, sum(label_delete) AS deletes, count(*)-sum(label_delete) AS keeps
-   FROM (SELECT agr.*, label_delete FROM agr JOIN (SELECT rna_id, source, i, j, label_delete FROM ev) e USING (rna_id, source, i, j)),
-   (VALUES ('support_0'),('support_1'),('support_2'),('support_0_and_conflict'),('support_0_and_singleton'),('support_0_and_stem'),('conflict')) v(condition)
-   WHERE CASE condition WHEN 'support_0' THEN support=0 WHEN 'support_1' THEN support=1 WHEN 'support_2' THEN support=2
-     WHEN 'support_0_and_conflict' THEN support=0 AND any_conflict=1 WHEN 'support_0_and_singleton' THEN support=0 AND n=1
-     WHEN 'support_0_and_stem' THEN support=0 AND n>1 ELSE any_conflict=1 END GROUP BY 1,2""")
+oracle("f4_condition_potential", """SELECT stratum AS source, condition, count(*) AS n, sum(label_delete) AS deletes, count(*)-sum(label_delete) AS keeps
+   FROM (SELECT agr.*, label_delete, stratum FROM agr JOIN (SELECT rna_id, source, i, j, label_delete FROM ev) e USING (rna_id, source, i, j), (VALUES (0),(1)) k(k),
+     LATERAL (SELECT CASE WHEN k=0 THEN agr.source ELSE 'ALL' END AS stratum)),
+   (VALUES ('support_other_count_0'),('support_other_count_1'),('support_other_count_2'),('no_exact_support_plus_partner_conflict'),
+     ('no_exact_support_plus_singleton'),('exact_support_by_one_other_model'),('exact_support_by_both_other_models')) v(condition)
+   WHERE CASE condition WHEN 'support_other_count_0' THEN support=0 WHEN 'support_other_count_1' THEN support=1 WHEN 'support_other_count_2' THEN support=2
+     WHEN 'no_exact_support_plus_partner_conflict' THEN support=0 AND any_conflict=1 WHEN 'no_exact_support_plus_singleton' THEN support=0 AND n=1
+     WHEN 'exact_support_by_one_other_model' THEN support=1 ELSE support=2 END GROUP BY 1,2""")
 
 
 def _t(a: str, b: str) -> str:
@@ -72,21 +74,38 @@ oracle("f7_label_balance", """SELECT source, count(*) AS n, count(*)-sum(label_d
    count(DISTINCT rna_id) AS rnas, count(DISTINCT CASE WHEN label_delete=1 THEN rna_id END) AS rnas_with_delete
    FROM (SELECT source, rna_id, label_delete FROM ev UNION ALL SELECT 'ALL', rna_id, label_delete FROM ev) GROUP BY 1""")
 _class = "CASE WHEN pair_type IN ('AU','UA','GC','CG') THEN 'watson_crick' WHEN pair_type IN ('GU','UG') THEN 'wobble' ELSE 'other' END"
-cte("dims", f"""SELECT dimension, CASE dimension WHEN 'singleton' THEN CAST(singleton_flag AS VARCHAR)
-     WHEN 'stem_length' THEN CASE WHEN strict_stem_length=0 THEN 'none' WHEN strict_stem_length=2 THEN '2' WHEN strict_stem_length<=4 THEN '3-4' ELSE '5+' END
-     WHEN 'outer_boundary' THEN CAST(outer_boundary_flag AS VARCHAR) WHEN 'inner_boundary' THEN CAST(inner_boundary_flag AS VARCHAR)
-     WHEN 'pair_class' THEN {_class} WHEN 'pair_type' THEN pair_type
-     WHEN 'separation' THEN CASE WHEN relative_separation<=0.25 THEN 'short' WHEN relative_separation<=0.5 THEN 'middle' ELSE 'long' END
-     WHEN 'outward_neighbor' THEN CAST(outward_neighbor_exists AS VARCHAR) WHEN 'inward_neighbor' THEN CAST(inward_neighbor_exists AS VARCHAR)
-     ELSE source END AS value, label_delete, risk FROM lab, (VALUES ('singleton'),('stem_length'),('outer_boundary'),('inner_boundary'),('pair_class'),
-     ('pair_type'),('separation'),('outward_neighbor'),('inward_neighbor'),('source')) v(dimension)""")
-oracle("f8_feature_balance", "SELECT dimension, value, count(*) AS n, sum(label_delete) AS deletes, avg(label_delete) AS delete_fraction FROM dims GROUP BY 1,2")
+_place = "CASE WHEN n=1 THEN 'singleton' WHEN pos=0 THEN 'outer_boundary' WHEN pos=n-1 THEN 'inner_boundary' ELSE '{mid}' END"
+
+
+def dims(**values: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{d}' AS dimension, {v} AS value, label_delete, risk FROM lab" for d, v in values.items())
+
+
+def _yes(c: str) -> str:
+    return f"CASE WHEN {c} THEN 'yes' ELSE 'no' END"
+
+
+cte("adims", dims(
+    structural_unit="CASE WHEN n>1 THEN 'strict_stem' ELSE 'singleton' END",
+    stem_length="CASE n WHEN 1 THEN 'not_in_stem' WHEN 2 THEN 'length_2' WHEN 3 THEN 'length_3' ELSE 'length_4_plus' END",
+    stem_position=_place.format(mid="interior"), pair_class=_class, pair_type="pair_type"))
+cte("hdims", dims(
+    singleton=_yes("n=1"), strict_stem=_yes("n>1"), two_pair_stem=_yes("n=2"), outer_boundary=_yes("n>1 AND pos=0"), inner_boundary=_yes("n>1 AND pos=n-1"),
+    topology_position=_place.format(mid="stem_interior"), pair_type="pair_type",
+    raw_separation_bin="CASE WHEN j-i<10 THEN 'lt10' WHEN j-i<25 THEN '10_24' WHEN j-i<50 THEN '25_49' ELSE 'ge50' END",
+    relative_separation_bin="CASE WHEN relative_separation<=0.25 THEN 'q0_0.25' WHEN relative_separation<=0.5 THEN 'q0.25_0.50' WHEN relative_separation<=0.75 THEN 'q0.50_0.75' ELSE 'q0.75_1.00' END",
+    stem_length="CASE WHEN n=1 THEN 'singleton' WHEN n<5 THEN CAST(n AS VARCHAR) ELSE '5_plus' END"))
+cte("ddims", dims(
+    singleton="CASE WHEN n=1 THEN '1' ELSE '0' END", stem_length="CASE WHEN n=1 THEN '0' ELSE CAST(n AS VARCHAR) END",
+    boundary="CASE WHEN n>1 AND (pos=0 OR pos=n-1) THEN 'boundary' ELSE 'interior' END", pair_type="pair_type",
+    separation="CASE WHEN j-i<10 THEN 'short' WHEN j-i<25 THEN 'medium' ELSE 'long' END"))
+oracle("f8_feature_balance", "SELECT dimension, value, count(*) AS n, sum(label_delete) AS deletes, avg(label_delete) AS delete_fraction FROM adims GROUP BY 1,2")
 oracle("f9_pair_class", f"SELECT source, {_class} AS pair_class, count(*) AS n, sum(label_delete) AS deletes FROM lab GROUP BY 1,2")
 _std = "CASE WHEN singleton_flag=0 THEN ({c}-(SELECT avg({c}) FROM lab WHERE \"partition\"='train'))/(SELECT stddev_pop({c}) FROM lab WHERE \"partition\"='train') ELSE 0 END AS {c}"
 oracle("f10_standardize", "SELECT rna_id, source, i, j, " + ", ".join(_std.format(c=c) for c in ("raw_separation", "relative_separation", "strict_stem_length")) + " FROM lab")
 oracle("f11_harm_profile", """SELECT *, harmful::DOUBLE/nullif(sum(harmful) OVER (PARTITION BY dimension),0) AS harm_share,
    beneficial::DOUBLE/nullif(sum(beneficial) OVER (PARTITION BY dimension),0) AS benefit_share FROM (
-   SELECT dimension, value, count(*) AS deletions, count(*) FILTER (label_delete=0) AS harmful, sum(label_delete) AS beneficial FROM dims WHERE risk>=0.5 GROUP BY 1,2)""")
+   SELECT dimension, value, count(*) AS deletions, count(*) FILTER (label_delete=0) AS harmful, sum(label_delete) AS beneficial FROM hdims WHERE risk>=0.5 GROUP BY 1,2)""")
 
 _canon = "('AU','UA','GC','CG','GU','UG')"
 cte("trig", f"""SELECT rna_id, source, i, j, 'R1' AS rule FROM topo WHERE n=1 UNION ALL SELECT rna_id, source, i, j, 'R2' FROM topo WHERE n=2
@@ -160,7 +179,7 @@ def dcls(source: str, cond: str, keys: str) -> str:
 
 
 oracle("m8_delete_classification", dcls("doc", "score>=0.5", "source"))
-oracle("m9_delete_classification_by_feature", dcls("dims", "risk>=0.5", "dimension, value"))
+oracle("m9_delete_classification_by_feature", dcls("ddims", "risk>=0.5", "dimension, value"))
 
 _div = "CASE WHEN ({b})>0 THEN ({a})::DOUBLE/({b}) END"
 

@@ -166,9 +166,9 @@ cte("reach", """SELECT DISTINCT rna_id, source, t_left_start AS ri, t_right_end
    UNION SELECT r.rna_id, r.source, r.ri, r.rj, b.t_left_start, b.t_right_end FROM reach r
    JOIN tang a ON a.rna_id=r.rna_id AND a.source=r.source AND a.t_left_start=r.ti AND a.t_right_end=r.tj
    JOIN tang b ON b.rna_id=r.rna_id AND b.source=r.source AND b.p_left_start=a.p_left_start AND b.p_right_end=a.p_right_end""")
-cte("label", """SELECT rna_id, source, ti, tj, min(ri*100000+rj) AS root FROM reach GROUP BY 1,2,3,4""")
-cte("comp", """SELECT rna_id, source, ti, tj, 'ambiguous_'||lpad(CAST(dense_rank() OVER (PARTITION BY rna_id, source ORDER BY root) AS VARCHAR),3,'0')
-   AS component_id FROM label""")
+cte("label", """SELECT rna_id, source, ti, tj, min((ri, rj)) AS root FROM reach GROUP BY 1,2,3,4""")
+cte("comp", """SELECT rna_id, source, ti, tj, 'ambiguous_'||lpad(num,CAST(greatest(3,length(num)) AS INTEGER),'0')
+   AS component_id FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY rna_id, source ORDER BY root) AS VARCHAR) AS num FROM label)""")
 cte("compmem", """SELECT rna_id, source, component_id, 'truth' AS role, ti AS left_start, tj AS right_end FROM comp
    UNION SELECT a.rna_id, a.source, component_id, 'prediction', p_left_start, p_right_end FROM tang a JOIN comp c
    ON c.rna_id=a.rna_id AND c.source=a.source AND c.ti=a.t_left_start AND c.tj=a.t_right_end""")

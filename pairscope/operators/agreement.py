@@ -36,10 +36,10 @@ def source_bit(sources: Sequence[str]) -> Column:
     return bit
 
 
-def support(predicted: DataFrame) -> DataFrame:
-    """Add how many other sources predict the same pair, and 2 minus that as a risk."""
+def support(predicted: DataFrame, sources: int = 3) -> DataFrame:
+    """Add how many other sources predict the same pair, and as a risk how many of the others do not."""
     others = F.count("*").over(Window.partitionBy("rna_id", *PAIR)) - 1
-    return predicted.withColumn("support", others.cast("int")).withColumn("support_risk", 2 - F.col("support"))
+    return predicted.withColumn("support", others.cast("int")).withColumn("support_risk", sources - 1 - F.col("support"))
 
 
 def agreement_features(predicted: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -99,14 +99,20 @@ def support_enrichment(events: DataFrame) -> DataFrame:
 
 
 def condition_potential(features: DataFrame) -> DataFrame:
-    """Keep and delete counts under seven observable predicates; ``features`` has support, any_conflict, n_pairs, label_delete."""
-    none, singleton = F.col("support") == 0, F.col("n_pairs") == 1
+    """Keep and delete counts under seven observable predicates, by source and over all (source ALL).
+
+    ``features`` has support, any_conflict, n_pairs, label_delete.
+    """
+    none, one, two = [F.col("support") == n for n in range(3)]
+    # fixed values: names of the published conditions
     predicates = {
-        "support_0": none, "support_1": F.col("support") == 1, "support_2": F.col("support") == 2,
-        "support_0_and_conflict": none & (F.col("any_conflict") == 1), "support_0_and_singleton": none & singleton,
-        "support_0_and_stem": none & ~singleton, "conflict": F.col("any_conflict") == 1,
+        "support_other_count_0": none, "support_other_count_1": one, "support_other_count_2": two,
+        "no_exact_support_plus_partner_conflict": none & (F.col("any_conflict") == 1),
+        "no_exact_support_plus_singleton": none & (F.col("n_pairs") == 1),
+        "exact_support_by_one_other_model": one, "exact_support_by_both_other_models": two,
     }
-    return long_counts(features, predicates, "condition")
+    everywhere = features.withColumn("source", F.explode(F.array(F.col("source"), F.lit("ALL"))))
+    return long_counts(everywhere, predicates, "condition")
 
 
 def long_counts(rows: DataFrame, predicates: dict[str, Column], name: str) -> DataFrame:
@@ -175,38 +181,71 @@ def label_balance(events: DataFrame) -> DataFrame:
         "keeps": F.col("n") - F.col("deletes"), "delete_fraction": ratio(F.col("deletes"), F.col("n"))})
 
 
-def dimensions() -> dict[str, Column]:
-    """Named topology dimensions of a feature row, as text values."""
-    relative, length = F.col("relative_separation"), F.col("strict_stem_length")
+# fixed values: the published dimensions and their bins
+def audit_dimensions() -> dict[str, Column]:
+    """Dimensions of the feature audit."""
+    stem, n, pos = F.col("strict_stem_length") >= 2, F.col("strict_stem_length"), stem_place()
     return {
-        "singleton": F.col("singleton_flag").cast("string"),
-        "stem_length": F.when(length == 0, "none").when(length == 2, "2").when(length <= 4, "3-4").otherwise("5+"),
-        "outer_boundary": F.col("outer_boundary_flag").cast("string"),
-        "inner_boundary": F.col("inner_boundary_flag").cast("string"),
+        "structural_unit": F.when(stem, "strict_stem").otherwise("singleton"),
+        "stem_length": F.when(~stem, "not_in_stem").when(n == 2, "length_2").when(n == 3, "length_3").otherwise("length_4_plus"),
+        "stem_position": F.when(pos == "stem_interior", "interior").otherwise(pos),
         "pair_class": pair_class(F.col("pair_type")),
         "pair_type": F.col("pair_type"),
-        "separation": F.when(relative <= 0.25, "short").when(relative <= 0.5, "middle").otherwise("long"),
-        "outward_neighbor": F.col("outward_neighbor_exists").cast("string"),
-        "inward_neighbor": F.col("inward_neighbor_exists").cast("string"),
-        "source": F.col("source"),
     }
 
 
-def by_dimension(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """Measures for each value of each topology dimension, from one pass over the rows."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), c.alias("value")) for n, c in dimensions().items()]))
+def stem_place() -> Column:
+    return (
+        F.when(F.col("singleton_flag") == 1, "singleton").when(F.col("outer_boundary_flag") == 1, "outer_boundary")
+        .when(F.col("inner_boundary_flag") == 1, "inner_boundary").otherwise("stem_interior"))
+
+
+def harm_dimensions() -> dict[str, Column]:
+    """Dimensions of the harm profile."""
+    yes = lambda c: F.when(c, "yes").otherwise("no")
+    n, raw, relative = F.col("strict_stem_length"), F.col("raw_separation"), F.col("relative_separation")
+    return {
+        "singleton": yes(F.col("singleton_flag") == 1),
+        "strict_stem": yes(n >= 2),
+        "two_pair_stem": yes(n == 2),
+        "outer_boundary": yes(F.col("outer_boundary_flag") == 1),
+        "inner_boundary": yes(F.col("inner_boundary_flag") == 1),
+        "topology_position": stem_place(),
+        "pair_type": F.col("pair_type"),
+        "raw_separation_bin": F.when(raw < 10, "lt10").when(raw < 25, "10_24").when(raw < 50, "25_49").otherwise("ge50"),
+        "relative_separation_bin": F.when(relative <= 0.25, "q0_0.25").when(relative <= 0.5, "q0.25_0.50").when(relative <= 0.75, "q0.50_0.75").otherwise("q0.75_1.00"),
+        "stem_length": F.when(n == 0, "singleton").when(n < 5, n.cast("string")).otherwise("5_plus"),
+    }
+
+
+def diagnostic_dimensions() -> dict[str, Column]:
+    """Dimensions of the classification diagnostics."""
+    raw = F.col("raw_separation")
+    edge = (F.col("outer_boundary_flag") == 1) | (F.col("inner_boundary_flag") == 1)
+    return {
+        "singleton": F.col("singleton_flag").cast("string"),
+        "stem_length": F.col("strict_stem_length").cast("string"),
+        "boundary": F.when(edge, "boundary").otherwise("interior"),
+        "pair_type": F.col("pair_type"),
+        "separation": F.when(raw < 10, "short").when(raw < 25, "medium").otherwise("long"),
+    }
+
+
+def by_dimension(rows: DataFrame, dimensions: dict[str, Column], measures: dict[str, Column]) -> DataFrame:
+    """Measures for each value of each dimension, from one pass over the rows."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), c.alias("value")) for n, c in dimensions.items()]))
     return rows.withColumn("_d", pairs).groupBy(F.col("_d.dimension").alias("dimension"), F.col("_d.value").alias("value")).agg(
         *[m.alias(n) for n, m in measures.items()])
 
 
 def feature_balance(features: DataFrame) -> DataFrame:
-    return by_dimension(features, {
+    return by_dimension(features, audit_dimensions(), {
         "n": F.count("*"), "deletes": F.sum("label_delete"), "delete_fraction": F.avg("label_delete")})
 
 
 def harm_profile(selected: DataFrame) -> DataFrame:
     """Selected deletions by dimension, with the share of all harm and benefit inside the dimension."""
-    rows = by_dimension(selected, {
+    rows = by_dimension(selected, harm_dimensions(), {
         "deletions": F.count("*"), "harmful": F.count_if(F.col("label_delete") == 0), "beneficial": F.sum("label_delete")})
     w = Window.partitionBy("dimension")  # a handful of values
     return rows.withColumns({

@@ -72,8 +72,12 @@ PARTS = ("preserved_tp", "lost_tp", "removed_fp", "preserved_fp", "new_tp", "new
          "fn_before", "fn_after")
 
 
-def edit_decomposition(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return flags.groupBy(*keys).agg(*[F.count_if(_flag(p)).alias(p) for p in PARTS])
+def edit_decomposition(flags: DataFrame, keys: Sequence[str], contexts: DataFrame | None = None) -> DataFrame:
+    """Edit parts per key; with ``contexts`` (the key columns) a context without any pair counts zero everywhere."""
+    counted = flags.groupBy(*keys).agg(*[F.count_if(_flag(p)).alias(p) for p in PARTS])
+    if contexts is None:
+        return counted
+    return contexts.select(*keys).join(counted, list(keys), "left").fillna(0, list(PARTS))
 
 
 def edit_counts(parts: DataFrame) -> DataFrame:

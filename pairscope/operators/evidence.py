@@ -18,6 +18,7 @@ VERSION = "evidence_v1"
 PAIR, UNPAIRED = "positive_pair", "unpaired"
 SEPARATOR = chr(31)
 MINIMUM_LOOP = 3
+CELL = 64  # positions that share a cell when crossings are looked up
 MANIFEST = ["rna_id", "channel", "density", "seed"]
 
 
@@ -160,21 +161,31 @@ def crossing_structures(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Read every left end as an opening and every right end as a closing symbol: the structure is free of crossings
     exactly when the one nested matching of those symbols is its own pairs. So a crossing shows as a closing symbol whose
-    nearest unmatched opening symbol is not its partner.
+    nearest unmatched opening symbol is not its partner. That reading needs one partner per position; structures that
+    share a position are compared cell by cell.
     """
     keys = list(keys)
-    ends = endpoints(pairs, keys, "pos", "partner").withColumn("step", F.when(F.col("pos") < F.col("partner"), 1).otherwise(-1))
+    every = endpoints(pairs, keys, "pos", "partner")
+    shared = every.groupBy(*keys, "pos").agg(F.count("*").alias("n")).where("n > 1").select(*keys).distinct()
+    slow = _cell_crossings(pairs.select(*keys, "i", "j").join(shared, keys, "left_semi"), keys, CELL).select(*keys)
+    ends = every.join(shared, keys, "left_anti").withColumn("step", F.when(F.col("pos") < F.col("partner"), 1).otherwise(-1))
     deep = running_totals(ends.withColumn("_bucket", coordinate_bucket("pos")), keys, ["pos"], {"depth": "step"})
     level = F.when(F.col("step") == 1, F.col("depth")).otherwise(F.col("depth") + 1)
     from pyspark.sql import Window
     before = F.lag("pos").over(Window.partitionBy(*keys, "level").orderBy("pos"))
     return (
         deep.withColumn("level", level).withColumn("before", before)
-        .where("step = -1 AND before <> partner").select(*keys).distinct()
+        .where("step = -1 AND before <> partner").select(*keys).unionByName(slow).distinct()
     )
 
 
-def crossing_pairs(pairs: DataFrame, keys: Sequence[str], width: int = 64) -> DataFrame:
+def _cell_crossings(pairs: DataFrame, keys: list[str], width: int) -> DataFrame:
+    outer = pairs.withColumn("cell", F.explode(F.sequence(F.floor(F.col("i") / width), F.floor(F.col("j") / width))))
+    inner = pairs.select(*keys, F.col("i").alias("k"), F.col("j").alias("l"), F.floor(F.col("i") / width).alias("cell"))
+    return outer.join(inner, keys + ["cell"]).where("i < k AND k < j AND j < l").select(*keys, "i", "j", "k", "l")
+
+
+def crossing_pairs(pairs: DataFrame, keys: Sequence[str], width: int = CELL) -> DataFrame:
     """Every ordered crossing ``i < k < j < l``.
 
     Only structures that hold a crossing enter the join. A pair is looked up in the coordinate cells it spans by the
@@ -182,9 +193,7 @@ def crossing_pairs(pairs: DataFrame, keys: Sequence[str], width: int = 64) -> Da
     """
     keys = list(keys)
     tangled = pairs.select(*keys, "i", "j").join(crossing_structures(pairs, keys), keys, "left_semi")
-    outer = tangled.withColumn("cell", F.explode(F.sequence(F.floor(F.col("i") / width), F.floor(F.col("j") / width))))
-    inner = tangled.select(*keys, F.col("i").alias("k"), F.col("j").alias("l"), F.floor(F.col("i") / width).alias("cell"))
-    return outer.join(inner, keys + ["cell"]).where("i < k AND k < j AND j < l").select(*keys, "i", "j", "k", "l")
+    return _cell_crossings(tangled, keys, width)
 
 
 def minimum_loop(pairs: DataFrame) -> DataFrame:

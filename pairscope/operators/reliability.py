@@ -16,8 +16,20 @@ from pairscope.operators.metrics import exact_prf
 
 
 def score_blocks(events: DataFrame, group: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
-    return events.groupBy(*group, F.col(score).alias("score")).agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
+    """Rows, positives per group and score. A score that is no finite number or a label other than 0 and 1 raises."""
+    return events.groupBy(*group, finite(F.col(score)).alias("score")).agg(
+        F.count("*").alias("n"), F.sum(binary(F.col(label))).alias("pos"))
+
+
+def finite(value: Column) -> Column:
+    number = value.cast("double")
+    bad = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("score is not a finite number")).cast("double")).otherwise(value)
+
+
+def binary(value: Column) -> Column:
+    number = value.cast("bigint")
+    return F.when(F.coalesce(number.isin(0, 1), F.lit(False)), number).otherwise(F.raise_error(F.lit("label is not 0 or 1")).cast("bigint"))
 
 
 def ranking_metrics(events: DataFrame, group: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pairscope.operators.agreement import CANONICAL
-from pairscope.operators.metrics import PAIR, RECORD, pair_metrics, summarize
+from pairscope.operators.metrics import PAIR, RECORD, pair_metrics, summarize, with_prf
 
 # fixed values: conditions and the rules they apply
 CONDITION_RULES = {
@@ -45,15 +45,21 @@ def rule_refine(predicted: DataFrame, edits: DataFrame) -> DataFrame:
         edits.select("condition", *RECORD, *PAIR), ["condition", *RECORD, *PAIR], "left_anti")
 
 
-def rule_outcomes(records: DataFrame, truth: DataFrame, refined: DataFrame) -> DataFrame:
-    """Summary by condition and source with deltas to ORIGINAL and an outcome label."""
-    tagged = [F.concat_ws("|", "condition", "source").alias("source")]
+def rule_outcomes(records: DataFrame, truth: DataFrame, predicted: DataFrame, edits: DataFrame) -> DataFrame:
+    """Summary by condition and source with deltas to ORIGINAL and an outcome label.
+
+    Pairs are compared once; a condition's counts are those of the original less the deleted pairs.
+    """
+    original = pair_metrics(records, truth, predicted).select(*RECORD, "tp", "fp", "fn")
+    known = truth.select("rna_id", *PAIR, F.lit(1).alias("_true"))
+    lost = edits.join(known, ["rna_id", *PAIR], "left").groupBy("condition", *RECORD).agg(
+        F.count("_true").alias("lost_tp"), F.count_if(F.col("_true").isNull()).alias("lost_fp"))
     conditions = F.explode(F.array(*[F.lit(c) for c in CONDITION_RULES])).alias("condition")
-    metrics = pair_metrics(
-        records.select("rna_id", "source", conditions).select("rna_id", *tagged), truth,
-        refined.select("rna_id", *tagged, *PAIR))
-    rows = summarize(metrics, ["source"]).withColumns({
-        "condition": F.split("source", r"\|")[0], "source": F.split("source", r"\|")[1]})
+    after = original.select("*", conditions).join(lost, ["condition", *RECORD], "left").fillna(0, ["lost_tp", "lost_fp"])
+    metrics = with_prf(after.select(
+        "condition", *RECORD, (F.col("tp") - F.col("lost_tp")).alias("tp"), (F.col("fp") - F.col("lost_fp")).alias("fp"),
+        (F.col("fn") + F.col("lost_tp")).alias("fn")))
+    rows = summarize(metrics, ["condition", "source"])
     base = rows.where("condition = 'ORIGINAL'").select(
         "source", *[F.col(c).alias(f"base_{c}") for c in ("macro_f1", "micro_f1", "sum_tp", "sum_fp")])
     out = rows.join(base, "source").withColumns({

@@ -201,9 +201,10 @@ def ambiguous_components(candidates: DataFrame) -> DataFrame:
         F.col("component.a").alias("i"))
     numbered = running_totals(
         firsts.withColumn("_bucket", coordinate_bucket()), RECORD, ["i"], {"component_number": F.lit(1)})
+    number = F.col("component_number").cast("string")  # three digits at least, never cut
     return members.join(numbered.select("component", "component_number"), "component").select(
         F.col("node.rna_id").alias("rna_id"), F.col("node.source").alias("source"),
-        F.concat(F.lit("ambiguous_"), F.lpad(F.col("component_number").cast("string"), 3, "0")).alias("component_id"),
+        F.concat(F.lit("ambiguous_"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0"))).alias("component_id"),
         F.when(F.col("node.predicted"), "prediction").otherwise("truth").alias("role"),
         F.col("node.a").alias("left_start"), F.col("node.z").alias("right_end"),
     )

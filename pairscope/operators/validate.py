@@ -165,7 +165,7 @@ def slug(column: Column) -> Column:
 
 
 def record_id(*components: Column) -> Column:
-    """Slugged components joined by ``__``; null when any slug is empty."""
+    """Slugged components joined by ``__``; null when any slug is empty. ``record_ids`` reports those rows."""
     slugs = [slug(c) for c in components]
     usable = F.lit(True)
     for s in slugs:
@@ -173,6 +173,12 @@ def record_id(*components: Column) -> Column:
     return F.when(usable, F.concat_ws("__", *slugs))
 
 
+def record_ids(rows: DataFrame, *components: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with a record_id, rejects with the code ``empty_component``)."""
+    named = rows.withColumn("record_id", record_id(*components))
+    return named.where("record_id IS NOT NULL"), named.where("record_id IS NULL").drop("record_id").withColumn("code", F.lit("empty_component"))
+
+
 def warnings_summary(records: DataFrame) -> DataFrame:
     return records.select(F.explode("warnings").alias("w")).groupBy(F.col("w.code").alias("code")).agg(F.count("*").alias("n"))
 

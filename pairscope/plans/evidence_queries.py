@@ -1,13 +1,16 @@
 """Queries on evidence and edits. Evidence grids are operator parameters; every RNA takes part."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from pairscope.operators import edits, evidence
 from pairscope.operators.metrics import RECORD
 from pairscope.plans.catalog import query
+from pairscope.session import cut_lineage
 from pairscope.sources.derived import DENSITIES, EVIDENCE_SEEDS, SOURCES
 
-NARROW = ((10, 50), (101,))  # the grid of the row-level edit queries
+NOISE = (5, 10, 20, 30)
 
 
 class Setup:
@@ -17,24 +20,33 @@ class Setup:
         self.t = t
         self.universe = evidence.evidence_universe(t.truth, t.rnas)
         self.manifests = evidence.manifests(self.universe, t.rnas, *grid)
-        self.items = evidence.sample_evidence(self.universe, self.manifests)
+        # sampled once, whatever reads it
+        self.items = cut_lineage(evidence.sample_evidence(self.universe, self.manifests))
 
-    @property
+    @cached_property
     def scoped(self):
         return edits.with_scope(edits.candidates_per_manifest(self.t.predicted, self.manifests), self.items)
 
-    @property
+    @cached_property
     def results(self):
-        return edits.hard_conditions(self.scoped, self.items, self.manifests, self.t.records)
+        return cut_lineage(edits.hard_conditions(self.scoped, self.items, self.manifests, self.t.records))
 
-    def flags(self):
-        """Membership flags of original, truth and result for each condition and context."""
+    def conditions(self):
+        """(manifest, rna, condition)."""
         condition = F.explode(F.when(F.col("channel") == evidence.PAIR, F.array(
             F.lit("PAIR_PROTECT_ONLY"), F.lit("PAIR_HARD_ENFORCE"))).otherwise(F.array(F.lit("UNPAIRED_HARD_DELETE")))).alias("condition")
-        base = self.manifests.select("manifest_id", "rna_id", condition)
-        original = base.join(self.t.predicted, "rna_id")
-        truth = base.join(self.t.records.select(*RECORD), "rna_id").join(self.t.truth, "rna_id")
-        return edits.edit_flags(original, truth, self.results, ["condition", *edits.CONTEXT])
+        return self.manifests.select("manifest_id", "rna_id", condition)
+
+    def contexts(self):
+        """Every (condition, manifest, record), pairs or not."""
+        return self.conditions().join(self.t.records.select(*RECORD), "rna_id")
+
+    @cached_property
+    def flags(self):
+        """Membership flags of original, truth and result for each condition and context."""
+        original = self.conditions().join(self.t.predicted, "rna_id")
+        truth = self.contexts().join(self.t.truth, "rna_id")
+        return cut_lineage(edits.edit_flags(original, truth, self.results, ["condition", *edits.CONTEXT]))
 
 
 @query("x4_evidence_universe", "rna_id:s channel:s i:i j:i")
@@ -49,16 +61,20 @@ def _(t):
 
 @query("x5_item_index", "manifest_id:s item_index:i i:i")
 def _(t):
-    return evidence.with_item_index(Setup(t, NARROW).items)
+    return evidence.with_item_index(Setup(t).items)
 
 
-@query("x6_corrupt_unpaired", "manifest_id:s clean_i:i i:i status:s")
+@query("x6_corrupt_unpaired", "noise:i manifest_id:s clean_i:i i:i status:s")
 def _(t):
-    return evidence.corrupt_unpaired(Setup(t, NARROW).items, t.truth, 20)
+    items, out = Setup(t).items, None
+    for noise in NOISE:
+        part = evidence.corrupt_unpaired(items, t.truth, noise).withColumn("noise", F.lit(noise))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def corrupted(t):
-    s = Setup(t, NARROW)
+    s = Setup(t)
     return s, evidence.corrupt_unpaired(s.items, t.truth, 20)
 
 
@@ -74,7 +90,7 @@ def _(t):
 
 @query("x8_payload_hash", "manifest_id:s payload_sha256:s")
 def _(t):
-    s = Setup(t, NARROW)
+    s = Setup(t)
     return evidence.payload_hash(s.manifests, s.items)
 
 
@@ -84,7 +100,7 @@ def _(t):
 
 
 def condition(t, name):
-    return Setup(t, NARROW).results.where(F.col("condition") == name)
+    return Setup(t).results.where(F.col("condition") == name)
 
 
 @query("x10_pair_protect", "manifest_id:s source:s i:i j:i")
@@ -116,7 +132,7 @@ def _(t):
 
 @query("x15_manifest_eligibility", "manifest_id:s eligibility:s crossing_flag:i loop_flag:i min_separation:i")
 def _(t):
-    s = Setup(t, NARROW)
+    s = Setup(t)
     return evidence.manifest_eligibility(s.items, s.manifests)
 
 
@@ -143,7 +159,7 @@ def _(t):
 
 @query("x19_local_conflict_risk", "manifest_id:s source:s i:i j:i local:i")
 def _(t):
-    return Setup(t, NARROW).scoped
+    return Setup(t).scoped
 
 
 @query("x20_disagreement_risk", "rna_id:s source:s i:i j:i risk:i")
@@ -159,8 +175,8 @@ def _(t):
 
 @query("x22_scope_partition", "condition:s source:s scope:s n:i in_truth:i in_original:i in_result:i")
 def _(t):
-    s = Setup(t, NARROW)
-    flags = s.flags().join(s.manifests.select("manifest_id", "channel"), "manifest_id")
+    s = Setup(t)
+    flags = s.flags.join(s.manifests.select("manifest_id", "channel"), "manifest_id")
     return edits.with_scope(flags, s.items).groupBy("condition", "source", "scope").agg(
         F.count("*").alias("n"), F.sum("t").alias("in_truth"), F.sum("o").alias("in_original"), F.sum("r").alias("in_result"))
 
@@ -188,6 +204,25 @@ def _(t):
     return incidence(t, evidence.UNPAIRED)[1]
 
 
+def totals(t, channel, columns):
+    """Sums of the incidence features by source and density over the whole grid of manifests."""
+    s = Setup(t)
+    candidates = edits.candidates_per_manifest(t.predicted, s.manifests.where(F.col("channel") == channel))
+    items = s.items.where(F.col("channel") == channel)
+    rows = (edits.pair_item_features if channel == evidence.PAIR else edits.unpaired_item_features)(candidates, items, t.rnas)
+    return rows.groupBy("density", "source").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 6).alias(c) for c in columns])
+
+
+@query("x23_pair_item_totals", "density:i source:s n:i " + " ".join(f"{c}:m" for c in ("min_distance", "span_difference")) + " " + " ".join(f"{c}:i" for c in FLAGS))
+def _(t):
+    return totals(t, evidence.PAIR, ["min_distance", "span_difference", *FLAGS])
+
+
+@query("x23_unpaired_item_totals", "density:i source:s n:i min_distance:m k_is_i:i k_is_j:i k_inside:i")
+def _(t):
+    return totals(t, evidence.UNPAIRED, ["min_distance", "k_is_i", "k_is_j", "k_inside"])
+
+
 @query("l2_evidence_pooled_features", "rna_id:s source:s i:i j:i item_count:i mean_abs_i_k:d max_abs_i_k:d mean_min_distance:d max_min_distance:d mean_k_inside:d max_k_inside:i")
 def _(t):
     candidates, features = incidence(t, evidence.UNPAIRED)
@@ -199,19 +234,20 @@ PARTS = " ".join(f"{p}:i" for p in edits.PARTS)
 
 @query("x24_edit_decomposition", "condition:s manifest_id:s source:s " + PARTS)
 def _(t):
-    return edits.edit_decomposition(Setup(t, NARROW).flags(), ["condition", *edits.CONTEXT])
+    s = Setup(t)
+    return edits.edit_decomposition(s.flags, ["condition", *edits.CONTEXT], s.contexts())
 
 
 @query("x25_edit_counts",
        "condition:s source:s beneficial_deletions:i harmful_deletions:i beneficial_insertions:i harmful_insertions:i beneficial_edits:i "
        "harmful_edits:i modified:i")
 def _(t):
-    return edits.edit_counts(edits.edit_decomposition(Setup(t, NARROW).flags(), ["condition", "source"]))
+    return edits.edit_counts(edits.edit_decomposition(Setup(t).flags, ["condition", "source"]))
 
 
 @query("x26_evidence_compliance", "channel:s source:s items:i before:i after:i recovered:i")
 def _(t):
-    s, out = Setup(t, NARROW), None
+    s, out = Setup(t), None
     results = s.results
     for channel, name in ((evidence.PAIR, "PAIR_HARD_ENFORCE"), (evidence.UNPAIRED, "UNPAIRED_HARD_DELETE")):
         rows = s.manifests.where(F.col("channel") == channel)
@@ -226,13 +262,13 @@ def _(t):
 
 @query("x27_scope_metrics", "condition:s source:s scope:s f1_before:d f1_after:d preservation:d lost_tp:i removed_fp:i new_tp:i new_fp:i")
 def _(t):
-    s = Setup(t, NARROW)
-    flags = s.flags().join(s.manifests.select("manifest_id", "channel"), "manifest_id")
+    s = Setup(t)
+    flags = s.flags.join(s.manifests.select("manifest_id", "channel"), "manifest_id")
     return edits.before_after(edits.edit_decomposition(edits.with_scope(flags, s.items), ["condition", "source", "scope"]))
 
 
 def per_context(s):
-    parts = edits.before_after(edits.edit_decomposition(s.flags(), ["condition", *edits.CONTEXT]))
+    parts = edits.before_after(edits.edit_decomposition(s.flags, ["condition", *edits.CONTEXT], s.contexts()))
     return parts.join(s.manifests.select("manifest_id", "channel", "density", "seed"), "manifest_id")
 
 
@@ -241,31 +277,35 @@ SUMMARY = "n:i macro_before:d macro_after:d macro_delta:d f1_before:d f1_after:d
 
 @query("x28_gain_attribution", "density:i source:s full_delta:d local_delta:d insertion_delta:d")
 def _(t):
-    rows = edits.summarize_conditions(per_context(Setup(t, NARROW)), ["condition", "density", "source"])
+    rows = edits.summarize_conditions(per_context(Setup(t)), ["condition", "density", "source"])
     full = rows.where("condition = 'PAIR_HARD_ENFORCE'").select("density", "source", F.col("micro_delta").alias("full_delta"))
     local = rows.where("condition = 'PAIR_PROTECT_ONLY'").select("density", "source", F.col("micro_delta").alias("local_delta"))
     return full.join(local, ["density", "source"]).withColumn("insertion_delta", F.col("full_delta") - F.col("local_delta"))
 
 
-@query("x29_matched_views", "view:s manifests:i rows:i")
+@query("x29_matched_views", "channel:s view:s contexts:i rows:i empty:i unmatched:i")
 def _(t):
-    s = Setup(t, NARROW)
-    eligible = evidence.manifest_eligibility(s.items, s.manifests).where("channel = 'positive_pair'")
+    s = Setup(t)
+    eligible = evidence.manifest_eligibility(s.items, s.manifests)
     baseline = edits.candidates_per_manifest(t.predicted, s.manifests).select("manifest_id", "source", "i", "j")
-    treatment = s.results.where("condition = 'PAIR_HARD_ENFORCE'").select("manifest_id", "source", "i", "j")
+    treatment = s.results.where("condition <> 'PAIR_PROTECT_ONLY'").select("manifest_id", "source", "i", "j")
     rows = edits.matched_views(baseline, treatment, eligible, ["manifest_id"])
-    return rows.groupBy("view", "manifest_id").agg(F.count("*").alias("n")).groupBy("view").agg(
-        F.count("*").alias("manifests"), F.sum("n").alias("rows"))
+    contexts = eligible.where("eligibility = 'ELIGIBLE'").select("manifest_id", "rna_id", "channel").join(t.records.select(*RECORD), "rna_id")
+    views = contexts.withColumn("view", F.explode(F.array(F.lit("baseline"), F.lit("treatment"))))
+    counted = views.join(rows.groupBy("view", "manifest_id", "source").agg(F.count("*").alias("n")), ["view", "manifest_id", "source"], "full_outer")
+    return counted.groupBy("channel", "view").agg(
+        F.count("*").alias("contexts"), F.sum(F.coalesce("n", F.lit(0))).alias("rows"), F.count_if(F.col("n").isNull()).alias("empty"),
+        F.count_if(F.col("rna_id").isNull()).alias("unmatched"))
 
 
 @query("x30_method_compare", "condition:s density:i source:s " + SUMMARY)
 def _(t):
-    return edits.summarize_conditions(per_context(Setup(t, NARROW)), ["condition", "density", "source"])
+    return edits.summarize_conditions(per_context(Setup(t)), ["condition", "density", "source"])
 
 
 @query("x31_seed_summary", "condition:s density:i macro_delta_mean:d macro_delta_std:d macro_delta_min:d macro_delta_max:d macro_delta_n:i")
 def _(t):
-    rows = edits.summarize_conditions(per_context(Setup(t, ((10,), (101, 103, 107)))), ["condition", "density", "seed"])
+    rows = edits.summarize_conditions(per_context(Setup(t)), ["condition", "density", "seed"])
     return edits.seed_summary(rows, ["condition", "density"], ["macro_delta"])
 
 

@@ -81,10 +81,12 @@ def _(t):
         F.sum(F.when(F.col("i") == F.col("j"), F.col("score")).otherwise(0.0)).alias("diagonal_total"))
 
 
-@query("v11_record_id", "doc_id:i record_id:s")
+@query("v11_record_id", "doc_id:i record_id:s code:s")
 def _(t):
-    return t.documents.select("doc_id", validate.record_id(
-        F.lit("Docs v1"), F.col("doc_id").cast("string"), F.col("lang"), F.col("source"), F.split("text", " ")[0]).alias("record_id"))
+    # a text of punctuation alone has no slug
+    rows = t.documents.select("doc_id", "lang", "source", F.when(F.col("doc_id") % 50 == 7, F.lit("?!")).otherwise(F.col("text")).alias("text"))
+    named, rejects = validate.record_ids(rows, F.lit("Docs v1"), F.col("doc_id").cast("string"), F.col("lang"), F.col("source"), F.col("text"))
+    return named.unionByName(rejects, allowMissingColumns=True)
 
 
 @query("v12_warnings_summary", "code:s n:i")

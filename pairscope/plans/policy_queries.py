@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from pairscope.operators import errors, grouping, learn, metrics, policy, reports, stems, thresholds
 from pairscope.operators.metrics import PAIR, RECORD
 from pairscope.plans.catalog import query
-from pairscope.plans.evidence_queries import NARROW, Setup
+from pairscope.plans.evidence_queries import Setup
 
 
 def decided(t):
     """Scored pairs under each manifest, with scope, two scores and the three-way action at 0.5."""
-    s = Setup(t, NARROW)
+    s = Setup(t)
     events = t.pair_events.select(*RECORD, *PAIR, "fold", "label_delete", "risk", "gt_pair_count")
     rows = s.scoped.join(events, [*RECORD, *PAIR]).join(s.manifests.select("manifest_id", F.col("selected").alias("item_count")), "manifest_id")
     other = F.when(F.col("i") % 3 == 0, 1 - F.col("risk")).otherwise(F.col("risk"))
@@ -158,7 +158,7 @@ def patterns(t, top):
 
 @query("p2_rank_patterns", "source:s rank:i pattern:s n:i rate:d")
 def _(t):
-    return patterns(t, 2)
+    return patterns(t, 3)
 
 
 @query("p3_relative_consistency", "pattern:s low:d high:d label:s")

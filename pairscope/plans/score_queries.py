@@ -109,7 +109,7 @@ def _(t):
        "benefit_share:d outcome:s")
 def _(t):
     edits = rules.rule_edits(rules.rule_triggers(agreement.topology_features(t.predicted, t.rnas)))
-    return rules.rule_outcomes(t.records, t.truth, rules.rule_refine(t.predicted, edits))
+    return rules.rule_outcomes(t.records, t.truth, t.predicted, edits)
 
 
 @query("m1_average_precision", "rna_id:s n_events:i positives:i average_precision:d")
@@ -168,7 +168,7 @@ def _(t):
 
 @query("m9_delete_classification_by_feature", "dimension:s value:s tp:i fp:i fn:i precision:d recall:d f1:d")
 def _(t):
-    rows = agreement.by_dimension(labelled(t), reliability.delete_counts(F.col("label_delete"), F.col("risk") >= 0.5))
+    rows = agreement.by_dimension(labelled(t), agreement.diagnostic_dimensions(), reliability.delete_counts(F.col("label_delete"), F.col("risk") >= 0.5))
     p, r, f = exact_prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return rows.withColumns({"precision": p, "recall": r, "f1": f})
 
