@@ -51,6 +51,8 @@ cte("sim", """SELECT a, b, 1-dist::DOUBLE/longer AS identity FROM (SELECT x.sequ
    FROM mutd x JOIN mutd y ON x.sequence<y.sequence AND 5*abs(x.n-y.n)<=greatest(x.n,y.n)) WHERE 5*dist<=longer""")
 oracle("g1_similar_sequences", "SELECT * FROM sim")
 oracle("g4_fold_roles", """SELECT r AS rotation, rna_id, CASE WHEN d%5=r THEN 'test' WHEN d%5=(r+1)%5 THEN 'validation' ELSE 'train' END AS role FROM base, range(0,5) x(r)""")
+oracle("g6_leave_one_source_out", """SELECT h.source AS held_out, r AS rotation, rec.rna_id, rec.source, CASE WHEN d%5=r THEN 'test' WHEN d%5=(r+1)%5 THEN 'validation' ELSE 'train' END AS role
+   FROM rec CROSS JOIN src h, range(0,5) x(r) WHERE CASE WHEN rec.source=h.source THEN d%5=r ELSE d%5<>r END""")
 oracle("g5_nearest_reference", """SELECT f.rna_id, identity, nearest, CASE WHEN identity IS NULL THEN 'eligible' ELSE 'redundant' END AS reason FROM
    (SELECT * FROM mut WHERE CAST(rna_id AS BIGINT)%5<>0) f LEFT JOIN (SELECT a, max(identity) AS identity, arg_min(ref, (-identity, ref)) AS nearest FROM (
      SELECT s.a, s.identity, r.rna_id AS ref FROM (SELECT a, b, identity FROM sim UNION ALL SELECT b, a, identity FROM sim UNION ALL SELECT sequence, sequence, 1.0 FROM mutd) s

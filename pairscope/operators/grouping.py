@@ -19,13 +19,13 @@ def similar_sequences(rows: DataFrame, identity: float = 0.8) -> DataFrame:
 
     This similarity is declared: an edit-distance identity, not an alignment score. Exact: a pair within k edits shares
     at least ``longer - 2 - 3k`` trigrams, so both prefixes of rarest trigrams must share one (prefix filter). Copies are
-    collapsed first and hot trigrams fall outside the prefixes. Sequences shorter than six letters raise.
+    collapsed first and hot trigrams fall outside the prefixes. Below six letters that bound is empty; there at most one
+    edit is allowed, and two sequences within one edit share a form with one letter left out or none.
     """
     if identity < 0.8:
         raise ValueError("the trigram bound needs identity >= 0.8")
     base = distinct_sequences(rows).select("sequence", F.length("sequence").alias("n"))
-    checked = base.withColumn("n", F.when(F.col("n") < 6, F.raise_error(F.lit("sequence shorter than 6")).cast("int")).otherwise(F.col("n")))
-    grams = checked.withColumn("p", F.explode(F.sequence(F.lit(1), F.col("n") - (GRAM - 1)))).select(
+    grams = base.where(F.col("n") >= GRAM).withColumn("p", F.explode(F.sequence(F.lit(1), F.col("n") - (GRAM - 1)))).select(
         "sequence", "n", F.substring(F.col("sequence"), F.col("p"), F.lit(GRAM)).alias("g"), "p")
     # repeated trigrams are numbered, so multisets become sets
     numbered = grams.withColumn("k", F.row_number().over(Window.partitionBy("sequence", "g").orderBy("p")))
@@ -40,13 +40,34 @@ def similar_sequences(rows: DataFrame, identity: float = 0.8) -> DataFrame:
     b = tokens.select("g", "k", F.col("sequence").alias("b"), F.col("n").alias("nb"))
     longer = F.greatest("na", "nb")
     close = a.join(b, ["g", "k"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= F.floor(F.round(longer * edits, 9))))
-    pairs = close.select("a", "b", longer.alias("longer")).distinct()
+    pairs = close.select("a", "b", longer.alias("longer")).unionByName(_short_pairs(base)).distinct()
     limit = F.floor(F.round(F.col("longer") * edits, 9)).cast("int")
     # the distance itself is only needed up to the limit
     return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= limit).withColumn(
         "identity", 1 - F.col("distance") / F.col("longer")).select("a", "b", "identity")
 
 
+def _short_pairs(base: DataFrame) -> DataFrame:
+    """Candidate pairs of sequences of up to five letters within one edit."""
+    left_out = F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.concat(
+        F.substring(F.col("sequence"), F.lit(1), p - 1), F.substring(F.col("sequence"), p + 1, F.col("n"))))
+    forms = base.where(F.col("n").between(1, 5)).select("sequence", "n", F.explode(F.array_distinct(F.concat(F.array("sequence"), left_out))).alias("form"))
+    other = forms.select(F.col("sequence").alias("b"), F.col("n").alias("m"), "form")
+    return forms.withColumnRenamed("sequence", "a").join(other, "form").where("a < b").select("a", "b", F.greatest("n", "m").alias("longer"))
+
+
+def leave_one_source_out(records: DataFrame, roles: DataFrame) -> DataFrame:
+    """(held_out, rotation, rna_id, source, role): the held-out source is tested, the others train and validate.
+
+    ``roles`` has rotation, rna_id, role of :func:`fold_roles`; a source never meets its own test sequences in training.
+    """
+    held = records.select("source").distinct().withColumnRenamed("source", "held_out")
+    rows = records.select("rna_id", "source").join(roles.select("rotation", "rna_id", "role"), "rna_id")
+    crossed = rows.join(F.broadcast(held))  # one row per source
+    own = F.col("source") == F.col("held_out")
+    return crossed.where((own & (F.col("role") == "test")) | (~own & (F.col("role") != "test"))).select("held_out", "rotation", "rna_id", "source", "role")
+
+
 def identity_components(rows: DataFrame, similar: DataFrame) -> DataFrame:
     """rna_id -> component (smallest sequence of the component); a copy shares its sequence's component."""
     found = connected_components(similar.select("a", "b")).select(F.col("node").alias("sequence"), "component")

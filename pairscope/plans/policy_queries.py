@@ -135,6 +135,11 @@ def _(t):
     return grouping.fold_roles(t.folds)
 
 
+@query("g6_leave_one_source_out", "held_out:s rotation:i rna_id:s source:s role:s")
+def _(t):
+    return grouping.leave_one_source_out(t.records, grouping.fold_roles(t.folds))
+
+
 @query("g5_nearest_reference", "rna_id:s identity:d nearest:s reason:s")
 def _(t):
     rows = mutated(t)
