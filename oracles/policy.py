@@ -1,7 +1,7 @@
 """Oracle SQL: decisions, grouping, reports."""
 
 from oracles.base import cte, oracle
-from oracles.scores import curve
+from oracles.scores import curve, util
 
 cte("dcd", """SELECT *, CASE WHEN scope='DIRECT' THEN 'KEEP' WHEN scope='LOCAL_CONFLICT' THEN 'DELETE' WHEN risk>=0.5 AND other>=0.5 THEN 'DELETE'
    WHEN risk<0.5 AND other<0.5 THEN 'KEEP' ELSE 'ABSTAIN' END AS "action", least(risk, other) AS q FROM (
@@ -18,18 +18,37 @@ cte("dcurve", curve("dval", ("s", "label_delete")).replace(
     "(SELECT DISTINCT s AS threshold FROM dval UNION ALL SELECT NULL)",
     "(SELECT DISTINCT s AS threshold FROM dval WHERE s BETWEEN 0 AND 1 UNION ALL SELECT 5.0::DOUBLE)"))
 oracle("u10_policy_threshold", "SELECT CASE WHEN threshold<=1 THEN threshold END AS threshold, * EXCLUDE (threshold) FROM dcurve")
-oracle("u11_action_accounting", """SELECT channel, source, count(*) FILTER ("action"='KEEP') AS keep, count(*) FILTER ("action"='DELETE') AS "delete", count(*) FILTER ("action"='ABSTAIN') AS abstain,
+for _k in range(5):
+    cte(f"dval{_k}", f"""SELECT rna_id, label_delete, CASE scope WHEN 'LOCAL_CONFLICT' THEN 9.0::DOUBLE WHEN 'DIRECT' THEN -9.0::DOUBLE ELSE q END AS s FROM dcd WHERE fold={(_k + 1) % 5}""")
+    cte(f"dcurve{_k}", curve(f"dval{_k}", ("s", "label_delete")).replace(
+        f"(SELECT DISTINCT s AS threshold FROM dval{_k} UNION ALL SELECT NULL)",
+        f"(SELECT DISTINCT s AS threshold FROM dval{_k} WHERE s BETWEEN 0 AND 1 UNION ALL SELECT 5.0::DOUBLE)"))
+oracle("u10_policy_selected", " UNION ALL ".join(f"""SELECT * FROM (SELECT {k} AS rotation, CASE WHEN threshold<=1 THEN threshold END AS threshold, eligible, deleted, balanced_fp_removal,
+   balanced_modification_precision FROM dcurve{k} WHERE eligible=1 ORDER BY round(balanced_fp_removal,12) DESC, coalesce(round(balanced_modification_precision,12),-1) DESC, deleted,
+   dcurve{k}.threshold DESC LIMIT 1)""" for k in range(5)))
+cte("dctx", """SELECT channel, density, manifest_id, rna_id, source, max(item_count) AS items, count(*) FILTER (label_delete=0) AS tp0, count(*) FILTER (label_delete=1) AS fp0,
+   max(gt_pair_count)-count(*) FILTER (label_delete=0) AS fn0, count(*) FILTER (label_delete=0 AND "action"='DELETE') AS lost, count(*) FILTER (label_delete=1 AND "action"='DELETE') AS removed
+   FROM dcd GROUP BY 1,2,3,4,5""")
+oracle("u11_action_accounting", f"""SELECT * FROM (SELECT channel, source, count(*) FILTER ("action"='KEEP') AS keep, count(*) FILTER ("action"='DELETE') AS "delete", count(*) FILTER ("action"='ABSTAIN') AS abstain,
    count(*) AS total, count(*) FILTER ("action"='DELETE' AND scope='NON_EVIDENCED') AS outside_deletes,
-   count(*) FILTER ("action"='DELETE' AND scope='NON_EVIDENCED')::DOUBLE/nullif(count(*) FILTER ("action"='DELETE'),0) AS outside_fraction FROM dcd GROUP BY 1,2""")
+   count(*) FILTER ("action"='DELETE' AND scope='NON_EVIDENCED')::DOUBLE/nullif(count(*) FILTER ("action"='DELETE'),0) AS outside_fraction FROM dcd GROUP BY 1,2)
+   JOIN ({util('channel, source', '', 'dctx', 'channel, source')}) USING (channel, source)""")
 _r = """1-lost::DOUBLE/nullif(tp,0) AS tp_preservation, removed::DOUBLE/nullif(fp,0) AS fp_removal, removed::DOUBLE/nullif(lost+removed,0) AS modification_precision,
    (lost+removed)::DOUBLE/nullif(tp+fp,0) AS coverage"""
 cte("sacc", """SELECT channel, scope, rna_id, count(*) FILTER (label_delete=0) AS tp, count(*) FILTER (label_delete=1) AS fp,
    count(*) FILTER (label_delete=0 AND "action"='DELETE') AS lost, count(*) FILTER (label_delete=1 AND "action"='DELETE') AS removed FROM dcd GROUP BY 1,2,3""")
+cte("dscope", """SELECT channel, v.scope, manifest_id, rna_id, source, count(*) FILTER (label_delete=0) AS tp0, count(*) FILTER (label_delete=1) AS fp0,
+   max(gt_pair_count)-count(*) FILTER (label_delete=0) AS fn0, count(*) FILTER (label_delete=0 AND "action"='DELETE' AND d.scope=v.scope) AS lost,
+   count(*) FILTER (label_delete=1 AND "action"='DELETE' AND d.scope=v.scope) AS removed FROM dcd d, (VALUES ('DIRECT'),('LOCAL_CONFLICT'),('NON_EVIDENCED')) v(scope) GROUP BY 1,2,3,4,5""")
 oracle("u12_scope_accounting", f"""SELECT * FROM (SELECT *, {_r} FROM (SELECT channel, scope, sum(tp) AS tp, sum(fp) AS fp, sum(lost) AS lost, sum(removed) AS removed FROM sacc GROUP BY 1,2))
    JOIN (SELECT channel, scope, count(*) AS rnas, avg(tp_preservation) AS rna_tp_preservation, avg(fp_removal) AS rna_fp_removal, avg(modification_precision) AS rna_modification_precision,
-     avg(coverage) AS rna_coverage, count(fp_removal) AS rna_fp_removal_defined FROM (SELECT *, {_r} FROM sacc) GROUP BY 1,2) USING (channel, scope)""")
-oracle("u13_evidence_efficiency", """SELECT channel, density, sum(items) AS items, sum(removed) AS removed, sum(removed)::DOUBLE/nullif(sum(items),0) AS removed_per_item FROM (
-   SELECT channel, density, manifest_id, source, max(item_count) AS items, count(*) FILTER (label_delete=1 AND "action"='DELETE') AS removed FROM dcd GROUP BY 1,2,3,4) GROUP BY 1,2""")
+     avg(coverage) AS rna_coverage, count(fp_removal) AS rna_fp_removal_defined FROM (SELECT *, {_r} FROM sacc) GROUP BY 1,2) USING (channel, scope)
+   JOIN (SELECT channel, scope, delta_f1 FROM ({util('channel, scope', '', 'dscope', 'channel, scope')})) USING (channel, scope)""")
+oracle("u13_evidence_efficiency", f"""SELECT * FROM (SELECT channel, density, items, removed, removed::DOUBLE/nullif(items,0) AS removed_per_item, delta_f1/nullif(items,0) AS delta_f1_per_item
+     FROM ({util('channel, density', ', sum(items) AS items', 'dctx', 'channel, density')}))
+   JOIN (SELECT channel, density, avg(removed::DOUBLE/nullif(items,0)) AS rna_removed_per_item, count(removed::DOUBLE/nullif(items,0)) AS rna_removed_per_item_defined,
+     avg(delta_f1/nullif(items,0)) AS rna_delta_f1_per_item, count(delta_f1/nullif(items,0)) AS rna_delta_f1_per_item_defined
+     FROM ({util('channel, density, rna_id', ', sum(items) AS items', 'dctx', 'channel, density, rna_id')}) GROUP BY 1,2) USING (channel, density)""")
 oracle("u17_marginal_breakdown", """SELECT source, count(*) AS n, count(*) FILTER (a AND NOT b AND label_delete=1) AS only_a_removed, count(*) FILTER (a AND NOT b AND label_delete=0) AS only_a_lost,
    count(*) FILTER (b AND NOT a AND label_delete=1) AS only_b_removed, count(*) FILTER (b AND NOT a AND label_delete=0) AS only_b_lost
    FROM (SELECT *, "action"='DELETE' AS a, risk>=0.6 AS b FROM dcd) GROUP BY 1""")

@@ -213,8 +213,8 @@ def curve(source: str, score: str) -> str:
         {_div.format(a='sum(removed)', b='sum(lost)+sum(removed)')} AS event_modification_precision, sum(lost)+sum(removed) AS deleted,
         avg(CASE WHEN tp>0 THEN 1-lost::DOUBLE/tp END) AS balanced_tp_preservation, avg(CASE WHEN fp>0 THEN removed::DOUBLE/fp END) AS balanced_fp_removal,
         avg(CASE WHEN lost+removed>0 THEN removed::DOUBLE/(lost+removed) END) AS balanced_modification_precision FROM (
-        SELECT threshold, rna_id, count(*) FILTER (l=0) AS tp, count(*) FILTER (l=1) AS fp, count(*) FILTER (l=0 AND s>=threshold) AS lost,
-          count(*) FILTER (l=1 AND s>=threshold) AS removed FROM (SELECT rna_id, {score[1]} AS l, {score[0]} AS s FROM {source}),
+        SELECT threshold, rna_id, coalesce(sum(n) FILTER (l=0),0) AS tp, coalesce(sum(n) FILTER (l=1),0) AS fp, coalesce(sum(n) FILTER (l=0 AND s>=threshold),0) AS lost,
+          coalesce(sum(n) FILTER (l=1 AND s>=threshold),0) AS removed FROM (SELECT rna_id, {score[1]} AS l, {score[0]} AS s, count(*) AS n FROM {source} GROUP BY ALL),
           (SELECT DISTINCT {score[0]} AS threshold FROM {source} UNION ALL SELECT NULL) GROUP BY 1,2) GROUP BY 1)"""
 
 

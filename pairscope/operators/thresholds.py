@@ -15,7 +15,8 @@ from pairscope.operators.metrics import exact_prf
 from pairscope.session import cut_lineage
 
 MINIMUM_PRESERVATION = 0.99
-GRID = tuple(round(0.50 + 0.05 * k, 2) for k in range(10))  # .50, .55, ... .95
+# fixed values: the published grid and the names of the utility ratios
+GRID = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
 
 COUNTS = ("tp0", "fp0", "fn0", "lost", "removed")
 RATIOS = ("tp_preservation", "fp_removal", "modification_precision", "coverage", "resulting_precision", "resulting_recall",

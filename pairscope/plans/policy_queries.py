@@ -6,6 +6,7 @@ from pairscope.operators import errors, grouping, learn, metrics, policy, report
 from pairscope.operators.metrics import PAIR, RECORD
 from pairscope.plans.catalog import query
 from pairscope.plans.evidence_queries import Setup
+from pairscope.session import cut_lineage
 
 
 def decided(t):
@@ -35,19 +36,30 @@ def _(t):
     return policy.policy_curve(decided(t).where("fold = 1"), "q")
 
 
-@query("u11_action_accounting", "channel:s source:s keep:i delete:i abstain:i total:i outside_deletes:i outside_fraction:d")
+@query("u10_policy_selected", "rotation:i threshold:d eligible:i deleted:i balanced_fp_removal:d balanced_modification_precision:d")
+def _(t):
+    rows, out = cut_lineage(decided(t).select("rna_id", "fold", "scope", "q", "label_delete")), None
+    for rotation in range(5):
+        part = policy.policy_threshold(rows.where(F.col("fold") == (rotation + 1) % 5), "q").withColumn("rotation", F.lit(rotation))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("u11_action_accounting", "channel:s source:s keep:i delete:i abstain:i total:i outside_deletes:i outside_fraction:d tp_preservation:d "
+       "fp_removal:d modification_precision:d delta_f1:d")
 def _(t):
     return policy.action_accounting(decided(t), ["channel", "source"])
 
 
 @query("u12_scope_accounting",
        "channel:s scope:s tp:i fp:i lost:i removed:i tp_preservation:d fp_removal:d modification_precision:d coverage:d rnas:i "
-       "rna_tp_preservation:d rna_fp_removal:d rna_modification_precision:d rna_coverage:d rna_fp_removal_defined:i")
+       "rna_tp_preservation:d rna_fp_removal:d rna_modification_precision:d rna_coverage:d rna_fp_removal_defined:i delta_f1:d")
 def _(t):
     return policy.scope_accounting(decided(t), ["channel"])
 
 
-@query("u13_evidence_efficiency", "channel:s density:i items:i removed:i removed_per_item:d")
+@query("u13_evidence_efficiency", "channel:s density:i items:i removed:i removed_per_item:d delta_f1_per_item:d rna_removed_per_item:d "
+       "rna_removed_per_item_defined:i rna_delta_f1_per_item:d rna_delta_f1_per_item_defined:i")
 def _(t):
     return policy.evidence_efficiency(decided(t), ["channel", "density"])
 
