@@ -10,9 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairscope.functions.graph import mutual_best
 from pairscope.functions.running import COORDINATE_BUCKET, coordinate_bucket, running_totals
 from pairscope.operators.agreement import CANONICAL
 from pairscope.operators.errors import endpoints
+from pairscope.session import cut_lineage
 
 VERSION = "evidence_v1"
 PAIR, UNPAIRED = "positive_pair", "unpaired"
@@ -109,6 +111,46 @@ def corrupt_unpaired(items: DataFrame, truth: DataFrame, noise_percent: int) ->
         F.when(~F.col("requested"), "CLEAN").when(F.col("p").isNull(), "CORRUPTION_UNAVAILABLE").otherwise("CORRUPTED").alias("status"))
 
 
+def corrupt_pairs(items: DataFrame, truth: DataFrame, rnas: DataFrame, noise_levels: Sequence[int]) -> DataFrame:
+    """Replace a rounded share of the pair items at each noise level: one end stays, the other moves.
+
+    The new pair is canonical and not true, and its moved end is used by no other delivered item. Which items change and
+    which end stays are hash choices. Moves are the edges item - position; taken greedily in hash order they are
+    rounds of mutually best edges, so an item is CORRUPTION_UNAVAILABLE only where no allowed position is left.
+    Columns: noise, manifest keys, manifest_id, clean_i, clean_j, i, j, status.
+    """
+    case = ["manifest_id", "noise"]
+    base = items.where(F.col("channel") == PAIR).withColumn("noise", F.explode(F.array(*[F.lit(n) for n in noise_levels])))
+    sizes = base.groupBy(*case).agg(F.count("*").alias("size"))
+    tagged = base.join(sizes, case).withColumns({
+        "digest": _hash(F.col("manifest_id"), F.col("noise"), F.col("i"), F.lit("choice")),
+        "wanted": rounded_count(F.col("size"), F.col("noise"), False)})
+    ranked = running_totals(
+        tagged.withColumn("_bucket", _prefix_bucket(F.col("size"), "digest")), case, ["digest"], {"rank": F.lit(1)})
+    upper = F.conv(F.substring(_hash(F.col("manifest_id"), F.col("noise"), F.col("i"), F.lit("end")), 1, 1), 16, 10).cast("int") % 2 == 1
+    chosen = cut_lineage(ranked.withColumn("requested", F.col("rank") <= F.col("wanted")).withColumn(
+        "kept", F.when(F.col("requested"), F.when(upper, F.col("j")).otherwise(F.col("i")))).select(*MANIFEST, *case, "i", "j", "requested", "kept"))
+    taken = chosen.select(*case, F.explode(F.when(F.col("requested"), F.array("kept")).otherwise(F.array("i", "j"))).alias("p")).distinct()
+    letters = rnas.select("rna_id", F.posexplode(F.split("sequence", "")).alias("p", "letter")).where("letter <> ''")
+    moves = (
+        chosen.where("requested").select("rna_id", *case, F.col("i").alias("item"), "kept")
+        .join(letters.select("rna_id", F.col("p").alias("kept"), F.col("letter").alias("a")), ["rna_id", "kept"])
+        .join(letters.select("rna_id", "p", F.col("letter").alias("b")), "rna_id").where("p <> kept")
+        .join(taken, [*case, "p"], "left_anti")
+        .withColumns({"di": F.least("kept", "p"), "dj": F.greatest("kept", "p")})
+        .where(F.when(F.col("p") > F.col("kept"), F.concat("a", "b")).otherwise(F.concat("b", "a")).isin(*CANONICAL))
+        .join(truth.select("rna_id", F.col("i").alias("di"), F.col("j").alias("dj")), ["rna_id", "di", "dj"], "left_anti")
+    )
+    order = _hash(F.col("manifest_id"), F.col("noise"), F.col("item"), F.col("p"), F.lit("move"))
+    made = mutual_best(moves.select(*case, "item", "p", "di", "dj"), [*case, "item"], [*case, "p"], [order.alias("o")])
+    out = chosen.join(made.withColumnRenamed("item", "i"), [*case, "i"], "left")
+    keep = ~F.col("requested")
+    return out.select(
+        "noise", *MANIFEST, "manifest_id", F.col("i").alias("clean_i"), F.col("j").alias("clean_j"),
+        F.when(keep, F.col("i")).otherwise(F.col("di")).alias("i"), F.when(keep, F.col("j")).otherwise(F.col("dj")).alias("j"),
+        F.when(keep, "CLEAN").when(F.col("di").isNull(), "CORRUPTION_UNAVAILABLE").otherwise("CORRUPTED").alias("status"))
+
+
 def validate_evidence(items: DataFrame, manifest_rows: DataFrame, universe: DataFrame, truth: DataFrame) -> DataFrame:
     """Findings per manifest: counts, membership, uniqueness, one partner, status rules. Empty when all is well.
 
@@ -123,16 +165,19 @@ def validate_evidence(items: DataFrame, manifest_rows: DataFrame, universe: Data
     held = items.select("manifest_id", F.explode(ends).alias("e")).groupBy("manifest_id", "e").agg(F.count("*").alias("n"))
     shared = held.groupBy("manifest_id").agg(F.max("n").alias("most"))
     moved = F.col("status") == "CORRUPTED"
+    # a corrupted pair keeps exactly one end of its clean pair
+    held_ends = (F.col("i").isin(F.col("clean_i"), F.col("clean_j"))).cast("int") + (F.col("j").isin(F.col("clean_i"), F.col("clean_j"))).cast("int")
     stats = known.groupBy("manifest_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("_in").isNull()).alias("outside"),
         F.count_if((F.col("status") == "CLEAN") & ~(F.col("i").eqNullSafe(F.col("clean_i")) & F.col("j").eqNullSafe(F.col("clean_j")))).alias("modified"),
         F.count_if(moved & F.col("_true").isNotNull()).alias("true_pair"), F.count_if(moved & F.col("i").isNull()).alias("empty"),
+        F.count_if(moved & (F.col("channel") == PAIR) & (held_ends != 1)).alias("loose"),
         F.count_if((F.col("status") == "CORRUPTION_UNAVAILABLE") & F.col("i").isNotNull()).alias("delivered"))
     rows = manifest_rows.select("manifest_id", "selected").join(stats, "manifest_id", "left").join(shared, "manifest_id", "left")
     checks = {
         "selected_count": F.coalesce("n", F.lit(0)) != F.col("selected"), "outside_universe": F.col("outside") > 0,
         "clean_item_modified": F.col("modified") > 0, "corrupted_is_true": F.col("true_pair") > 0,
-        "corrupted_without_value": F.col("empty") > 0, "unavailable_delivers": F.col("delivered") > 0,
+        "endpoint_not_preserved": F.col("loose") > 0, "corrupted_without_value": F.col("empty") > 0, "unavailable_delivers": F.col("delivered") > 0,
         "position_used_twice": F.col("most") > 1,
     }
     return rows.select("manifest_id", F.explode(F.array_compact(F.array(*[

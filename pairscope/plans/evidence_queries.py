@@ -73,6 +73,11 @@ def _(t):
     return out
 
 
+@query("x6_corrupt_pair", "noise:i manifest_id:s clean_i:i clean_j:i i:i j:i status:s")
+def _(t):
+    return evidence.corrupt_pairs(Setup(t).items, t.truth, t.rnas, NOISE)
+
+
 def corrupted(t):
     s = Setup(t)
     return s, evidence.corrupt_unpaired(s.items, t.truth, 20)

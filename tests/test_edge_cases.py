@@ -100,3 +100,46 @@ def test_empty_against_empty_scores_one(spark):
     predicted = spark.createDataFrame([("q", "a", 0, 5)], "rna_id string, source string, i int, j int")
     rows = {r["rna_id"]: (r["precision"], r["recall"], r["f1"]) for r in metrics.pair_metrics(records, none, predicted).collect()}
     assert rows == {"r": (1.0, 1.0, 1.0), "q": (0.0, 0.0, 0.0)}
+
+
+def test_corrupted_pairs_follow_the_rules(spark):
+    rng = random.Random(4)
+    rnas, truth = [], []
+    for k in range(12):
+        length = rng.randint(12, 40)
+        rnas.append((str(k), "".join(rng.choice("ACGU") for _ in range(length)), length))
+        truth += [(str(k), i, length - 1 - i) for i in range(length // 3)]
+    sequences = {r: s for r, s, _ in rnas}
+    pairs = set(truth)
+    rna_table = spark.createDataFrame(rnas, "rna_id string, sequence string, sequence_length int")
+    true_table = spark.createDataFrame(truth, "rna_id string, i int, j int")
+    universe = evidence.evidence_universe(true_table, rna_table)
+    manifest_rows = evidence.manifests(universe, rna_table, (50, 90), (1, 2))
+    items = evidence.sample_evidence(universe, manifest_rows)
+    out = evidence.corrupt_pairs(items, true_table, rna_table, (20, 30)).cache()
+    again = {tuple(r) for r in evidence.corrupt_pairs(items.repartition(3), true_table, rna_table, (20, 30)).collect()}
+    assert again == {tuple(r) for r in out.collect()}
+    cases = {}
+    for r in out.collect():
+        cases.setdefault((r["manifest_id"], r["noise"]), []).append(r)
+    assert sum(r["status"] == "CORRUPTED" for rows in cases.values() for r in rows) > 40
+    for (_, noise), rows in cases.items():
+        rna, sequence = rows[0]["rna_id"], sequences[rows[0]["rna_id"]]
+        asked = [r for r in rows if r["status"] != "CLEAN"]
+        assert len(asked) == (len(rows) * noise + 50) // 100
+        ends = [e for r in rows if r["i"] is not None for e in (r["i"], r["j"])]
+        assert len(ends) == len(set(ends))
+        for r in rows:
+            if r["status"] == "CLEAN":
+                assert (r["i"], r["j"]) == (r["clean_i"], r["clean_j"])
+            elif r["status"] == "CORRUPTED":
+                assert (rna, r["i"], r["j"]) not in pairs and len({r["i"], r["j"]} & {r["clean_i"], r["clean_j"]}) == 1
+                assert sequence[r["i"]] + sequence[r["j"]] in agreement.CANONICAL and r["i"] < r["j"]
+            else:
+                assert r["i"] is None and r["j"] is None
+    one = out.where("noise = 20").drop("noise")
+    sized = manifest_rows.where("channel = 'positive_pair'")
+    assert evidence.validate_evidence(one, sized, universe, true_table).isEmpty()
+    loose = one.withColumn("i", F.when(F.col("status") == "CORRUPTED", F.lit(-1)).otherwise(F.col("i"))).withColumn(
+        "j", F.when(F.col("status") == "CORRUPTED", F.lit(-2)).otherwise(F.col("j")))
+    assert "endpoint_not_preserved" in {r["finding"] for r in evidence.validate_evidence(loose, sized, universe, true_table).collect()}
