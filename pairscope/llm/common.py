@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,6 +35,11 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.coalesce(column, F.lit("")), SPACES), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of ``df`` has, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

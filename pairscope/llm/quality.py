@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairscope.functions.shaping import computed_once
-from pairscope.llm.common import fresh, words
+from pairscope.llm.common import fresh, let, words
 
 #: Rows that cost and selectivity are estimated on, and the characters one of them has at most; verdicts come from every row.
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 50_000
@@ -39,7 +39,7 @@ def n_symbols(text: Column, tokens: Column) -> Column:
 def n_dup_lines(text: Column, tokens: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
-    return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint")
+    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint")
 
 
 def n_repeat_words(text: Column, tokens: Column) -> Column:
@@ -56,7 +56,7 @@ def n_repeat_words(text: Column, tokens: Column) -> Column:
         many = F.size(F.array_distinct(found)) < F.size(found)
         return F.when(many, _covered(found)).otherwise(0)
 
-    return F.when(n < 4, 0).otherwise(_let(windows, covered)).cast("bigint")
+    return F.when(n < 4, 0).otherwise(let(windows, covered)).cast("bigint")
 
 
 def _covered(windows: Column) -> Column:
@@ -73,12 +73,7 @@ def _covered(windows: Column) -> Column:
         own = F.transform(at, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - i, F.lit(3))))
         return F.aggregate(own, F.lit(0), lambda a, b: a + b)
 
-    return _let(_let(ordered, places), total)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(let(ordered, places), total)
 
 
 MEASURES: dict[str, Callable[[Column, Column], Column]] = {

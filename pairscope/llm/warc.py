@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairscope.functions.shaping import computed_once
+from pairscope.llm.common import let
 from pairscope.session import cut_lineage
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 BUCKET_SECONDS = 86_400
+BLANK = "\r\n\r\n"
 #: Fixed list: headers of a 304 answer that update a stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary")
 
@@ -31,30 +34,27 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
-def parse_record(raw: Column) -> Column:
-    """A WARC record text -> struct(warc: map, status: int, http: map, body). Header names are in lower case.
-
-    The WARC block, the HTTP block and the body are separated by empty lines. Lines without a colon are skipped; of a
-    repeated header the last one counts. A null record gives null.
-    """
-    warc, rest = _until_blank(raw)
-    http, body = _until_blank(rest)
-    status = F.regexp_extract(http, r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
-    return F.when(raw.isNotNull(), F.struct(
-        _headers(warc).alias("warc"), F.when(status != "", status.cast("int")).alias("status"), _headers(http).alias("http"), body.alias("body")))
+def _block(text: Column) -> Column:
+    """What stands before the first empty line, or everything."""
+    return F.substring_index(text, BLANK, 1)
 
 
-def _until_blank(text: Column) -> tuple[Column, Column]:
-    cut = F.locate("\r\n\r\n", text) if isinstance(text, str) else F.instr(text, "\r\n\r\n")
-    return F.when(cut > 0, F.substring(text, F.lit(1), cut - 1)).otherwise(text), F.when(cut > 0, F.substring(text, cut + 4, F.length(text))).otherwise("")
+def _after(text: Column) -> Column:
+    """What stands after the first empty line, or nothing."""
+    cut = F.instr(text, BLANK)
+    return F.when(cut > 0, F.substring(text, cut + len(BLANK), F.lit(2**31 - 1))).otherwise("")
 
 
 def _headers(block: Column) -> Column:
+    """Header lines as a map with lower-case names; lines without a colon are skipped, of a repeated name the last counts."""
     lines = F.filter(F.split(block, "\r\n"), lambda x: F.instr(x, ":") > 1)
     pairs = F.transform(lines, lambda x: F.struct(
         F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+
+    def last(found: Column) -> Column:
+        return F.filter(found, lambda p, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda q: q["k"] == p["k"]))
+
+    return F.map_from_entries(let(pairs, last))
 
 
 def render_record(kind: Column, identifier: Column, url: Column, at: Column, extra: Column, http: Column, body: Column) -> Column:
@@ -69,15 +69,21 @@ def render_record(kind: Column, identifier: Column, url: Column, at: Column, ext
 def records(raw: DataFrame, record_col: str = "record") -> DataFrame:
     """Columns record_id, kind, url, canonical, at (seconds), status, headers, body of WARC record texts.
 
-    Records without an identifier, address or readable date are left out; a response has status 200 to be full.
+    The WARC block, the HTTP block and the body are separated by empty lines. Records without an identifier, address or
+    readable date are left out, null ones too; a response has status 200 to be full.
     """
-    parsed = raw.select(F.explode(F.array(parse_record(F.col(record_col)))).alias("r")).where("r IS NOT NULL")
-    field = lambda name: F.col("r.warc")[name]
+    # each step's value is computed once, as bodies may be long
+    whole = raw.select(F.col(record_col).alias("record")).where("record IS NOT NULL")
+    split = computed_once(whole, "s", F.struct(_headers(_block(F.col("record"))).alias("warc"), _after(F.col("record")).alias("rest")))
+    http = _block(F.col("s.rest"))
+    parsed = split.select("s.warc", "s.rest", http.alias("http"))
+    field = lambda name: F.col("warc")[name]
+    status = F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     return parsed.select(
         F.regexp_extract(field("warc-record-id"), "([^:<>]*)>?$", 1).alias("record_id"), field("warc-type").alias("kind"),
         field("warc-target-uri").alias("url"), canonical_url(field("warc-target-uri")).alias("canonical"),
         F.unix_seconds(F.try_to_timestamp(field("warc-date"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("at"),
-        F.col("r.status").alias("status"), F.col("r.http").alias("headers"), F.col("r.body").alias("body"),
+        F.when(status != "", status.cast("int")).alias("status"), _headers(F.col("http")).alias("headers"), _after(F.col("rest")).alias("body"),
     ).where("record_id IS NOT NULL AND canonical IS NOT NULL AND at IS NOT NULL")
 
 
@@ -89,16 +95,18 @@ def resolve(found: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame
     at the same second the one with the largest identifier is the latest; a response at the revisit's own second is not earlier.
     """
     full = F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("at", "record_id"))
+    # all but the bodies, which are read again for the final join only
     thin = cut_lineage(found.where((F.col("kind") == "response") & (F.col("status") == 200) | (F.col("kind") == "revisit")).select(
-        "record_id", "kind", "canonical", "at", full.alias("full"), F.floor(F.col("at") / bucket_seconds).alias("bucket")))
+        "record_id", "kind", "canonical", "at", full.alias("full"), F.floor(F.col("at") / bucket_seconds).alias("bucket"),
+        F.when(F.col("kind") == "revisit", F.col("headers")).alias("own")))
     inside = Window.partitionBy("canonical", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = thin.groupBy("canonical", "bucket").agg(F.max("full").alias("best")).withColumn("carried", F.max("best").over(earlier)).drop("best")
     matched = (
-        thin.withColumn("near", F.max("full").over(inside)).where("kind = 'revisit'").join(carried, ["canonical", "bucket"])
+        thin.drop("own").withColumn("near", F.max("full").over(inside)).where("kind = 'revisit'").join(carried, ["canonical", "bucket"])
         .select("record_id", F.coalesce("near", "carried")["record_id"].alias("response_id"))
     )
-    revisit = found.where("kind = 'revisit'").select("record_id", "canonical", "at", F.col("headers").alias("own")).join(matched, "record_id")
+    revisit = thin.where("kind = 'revisit'").select("record_id", "canonical", "at", "own").join(matched, "record_id")
     response = found.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "body")
     both = revisit.join(response, "response_id", "left")
     stored, own = F.col("stored"), F.col("own")
