@@ -86,13 +86,17 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     A path's rank is by the sum of its messages' scores (null: 0), ties by the smaller leaf.
     """
     steps = paths(nodes)
-    own = nodes.select(F.col("conv").alias("c"), F.col("node").alias("n"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
-    full = steps.join(own, steps["conv"].eqNullSafe(own["c"]) & (steps["node"] == own["n"])).drop("c", "n")
-    rated = full.groupBy("conv", "leaf").agg(F.sum("score").alias("total"), F.max("back").alias("length"))
+    scores = nodes.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    scored = steps.join(scores, steps["conv"].eqNullSafe(scores["c"]) & (steps["node"] == scores["n"])).drop("c", "n")
+    rated = scored.groupBy("conv", "leaf").agg(F.sum("score").alias("total"), F.max("back").alias("length"))
     ranked = rated.withColumn("branch", F.row_number().over(Window.partitionBy("conv").orderBy(F.col("total").desc(), "leaf")))
     best = ranked.where(F.col("branch") <= branches).select(F.col("conv").alias("c"), F.col("leaf").alias("l"), "branch", "length")
-    return full.join(best, full["conv"].eqNullSafe(best["c"]) & (full["leaf"] == best["l"])).select(
-        "conv", "leaf", "branch", (F.col("length") - F.col("back")).alias("place"), "role", "text")
+    chosen = cut_lineage(steps.join(best, steps["conv"].eqNullSafe(best["c"]) & (steps["leaf"] == best["l"])).select(
+        "conv", "leaf", "node", "branch", (F.col("length") - F.col("back")).alias("place")))
+    # the texts join last, once
+    said = nodes.select(F.col("conv").alias("c"), F.col("node").alias("n"), "role", "text")
+    return chosen.join(said, chosen["conv"].eqNullSafe(said["c"]) & (chosen["node"] == said["n"])).select(
+        "conv", "leaf", "branch", "place", "role", "text")
 
 
 def format_paths(chosen: DataFrame) -> DataFrame:
@@ -169,4 +173,4 @@ def with_probe(spark: SparkSession, turns: DataFrame) -> DataFrame:
 
 def chat_report(turns: DataFrame) -> DataFrame:
     """One row per conversation: conv_id and the digests of its formatted form. An empty table gives none."""
-    return read_back(format_paths(chosen_paths(chain(turns)))).select(F.col("conv").alias("conv_id"), *_DIGESTS)
+    return read_back(format_paths(chosen_paths(cut_lineage(chain(turns))))).select(F.col("conv").alias("conv_id"), *_DIGESTS)
