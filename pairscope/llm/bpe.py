@@ -52,11 +52,15 @@ def splitter() -> Callable[[str], list[str]]:
         # a range a-b, its end moved on while code points follow each other
         later = f"{later[:-1]}{chr(o)}" if o == last + 1 else f"{later}{chr(o)}-{chr(o)}"
         last = o
+    plain = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+").findall
     if not later:
-        return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+").findall
+        return plain
+    first = later[0]
     letter, digit = rf"[\p{{L}}--[{later}]]", rf"[\p{{N}}--[{later}]]"
     other = rf"[[^{_WHITE}\p{{L}}\p{{N}}]||[{later}]]"
-    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|{other}+", regex.V1).findall
+    exact = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|{other}+", regex.V1).findall
+    # the set difference is slow; no text below the first such letter needs it
+    return lambda text: plain(text) if not text or max(text) < first else exact(text)
 
 
 class Bpe:
@@ -131,7 +135,7 @@ class Bpe:
         return ids
 
     def rendered(self, part: str) -> list[tuple[str, str] | None]:
-        """For each word of a text: its ids joined by spaces, its strings joined for decoding; None without ids."""
+        """For each word of a normalised text: its ids joined by spaces, its strings joined for decoding; None without ids."""
         # a piece never holds white space, so words are encoded apart
         found = [part] if any(c in part for c in _SEPARATORS) else part.split()
         known = self.known_words
@@ -139,7 +143,7 @@ class Bpe:
             known.clear()
         new = {}
         for word in set(found).difference(known):
-            ids = [i for piece in self.pieces(normalise(word)) for i in self.piece(piece)]
+            ids = [i for piece in self.pieces(word.translate(_LOWER)) for i in self.piece(piece)]
             (known if len(word) <= 64 else new)[word] = (" ".join(map(str, ids)), self.decode(ids)) if ids else None
         return [known[w] if w in known else new[w] for w in found] if new else [known[w] for w in found]
 
@@ -154,7 +158,7 @@ class Bpe:
             if k % 2:
                 yield True, part
             else:
-                for piece in self.pieces(normalise(part)):
+                for piece in self.pieces(normalise(part).translate(_LOWER)):
                     yield False, piece
 
     def encode(self, text: str | None) -> list[int]:
@@ -171,15 +175,15 @@ class Bpe:
         parts = self.parts(text or "")
         found: list[tuple[str, str]] = []
         for k, part in enumerate(parts):
-            found += [(str(self.special[part]), part)] if k % 2 else filter(None, self.rendered(part))
+            found += [(str(self.special[part]), part)] if k % 2 else filter(None, self.rendered(normalise(part)))
         ids = " ".join([f[0] for f in found])
         decoded = self.joint.join([f[1] for f in found])
         return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def normalise(text: str) -> str:
-    """NFC, then lower case letter by letter: no letter's form depends on its neighbours."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(_LOWER)
+    """NFC, then lower case letter by letter: no letter's form depends on its neighbours. ``_LOWER`` completes it."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 def _loader(spark: SparkSession, path: str) -> Callable[[], Bpe]:
