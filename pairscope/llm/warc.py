@@ -92,23 +92,31 @@ def resolve(found: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame
 
     ``outcome`` is resolved, mismatch (a validator differs), unverified (no validator in common) or missing (no earlier
     full response). The headers and body are those of the response, updated, where it is resolved, else null. Of responses
-    at the same second the one with the largest identifier is the latest; a response at the revisit's own second is not earlier.
+    at the same second the one with the largest identifier is the latest, of those with equal identifiers the one with the
+    largest digest of its content; a response at the revisit's own second is not earlier. Identifiers may repeat.
     """
-    full = F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("at", "record_id"))
+    digest = F.xxhash64(F.array_sort(F.map_entries("headers")), "body")
+    full = F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("at", "record_id", digest.alias("digest")))
     # all but the bodies, which are read again for the final join only
     thin = cut_lineage(found.where((F.col("kind") == "response") & (F.col("status") == 200) | (F.col("kind") == "revisit")).select(
-        "record_id", "kind", "canonical", "at", full.alias("full"), F.floor(F.col("at") / bucket_seconds).alias("bucket"),
+        F.monotonically_increasing_id().alias("row"), "record_id", "kind", "canonical", "at", full.alias("full"), F.floor(F.col("at") / bucket_seconds).alias("bucket"),
         F.when(F.col("kind") == "revisit", F.col("headers")).alias("own")))
     inside = Window.partitionBy("canonical", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = thin.groupBy("canonical", "bucket").agg(F.max("full").alias("best")).withColumn("carried", F.max("best").over(earlier)).drop("best")
     matched = (
         thin.drop("own").withColumn("near", F.max("full").over(inside)).where("kind = 'revisit'").join(carried, ["canonical", "bucket"])
-        .select("record_id", F.coalesce("near", "carried")["record_id"].alias("response_id"))
+        .select("row", F.coalesce("near", "carried").alias("chosen"))
     )
-    revisit = thin.where("kind = 'revisit'").select("record_id", "canonical", "at", "own").join(matched, "record_id")
-    response = found.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "body")
-    both = revisit.join(response, "response_id", "left")
+    revisit = thin.where("kind = 'revisit'").select("row", "record_id", "canonical", "at", "own").join(matched, "row").select(
+        "record_id", "canonical", "at", "own", F.col("chosen.record_id").alias("response_id"),
+        F.col("chosen.at").alias("response_at"), F.col("chosen.digest").alias("digest"))
+    # one row per response, as equal rows may repeat
+    key = ["canonical", "response_id", "response_at", "digest"]
+    response = found.where("kind = 'response' AND status = 200").select(
+        "canonical", F.col("record_id").alias("response_id"), F.col("at").alias("response_at"), digest.alias("digest"),
+        F.col("headers").alias("stored"), "body").dropDuplicates(key)
+    both = revisit.join(response, key, "left")
     stored, own = F.col("stored"), F.col("own")
     weak = lambda m: F.regexp_replace(m["etag"], "^W/", "")
     agrees = F.coalesce(weak(stored) == weak(own), stored["last-modified"] == own["last-modified"])
