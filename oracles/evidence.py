@@ -31,6 +31,10 @@ cte("ucor", """SELECT u.noise, u.manifest_id, u.rna_id, u.i AS clean_i, CASE WHE
 oracle("x6_corrupt_unpaired", "SELECT * FROM ucor")
 oracle("x7_validate_evidence", """SELECT manifest_id, 'selected_count' AS finding FROM nman WHERE channel='unpaired' AND CAST(rna_id AS BIGINT)%5=0
    UNION ALL SELECT DISTINCT manifest_id, 'clean_item_modified' FROM ucor WHERE noise=20 AND CAST(rna_id AS BIGINT)%3=0 AND status='CLEAN'""")
+# of a pair manifest with items, noise of 30 % or less always leaves a clean one
+oracle("x7_validate_corruption", """SELECT noise, manifest_id, 'selected_count' AS finding FROM nman CROSS JOIN noisy WHERE CAST(rna_id AS BIGINT)%5=0
+   UNION ALL SELECT DISTINCT noise, manifest_id, 'clean_item_modified' FROM ucor WHERE CAST(rna_id AS BIGINT)%3=0 AND status='CLEAN'
+   UNION ALL SELECT noise, manifest_id, 'clean_item_modified' FROM nman CROSS JOIN noisy WHERE channel='positive_pair' AND selected>0 AND CAST(rna_id AS BIGINT)%3=0""")
 oracle("x8_payload_hash", """SELECT m.manifest_id, sha256('{"channel":"'||m.channel||'","density":'||m.density||',"items":['||
    coalesce(string_agg('{"i":'||i.i||',"j":'||coalesce(CAST(i.j AS VARCHAR),'null')||'}', ',' ORDER BY i.i, i.j),'')||'],"manifest_id":"'||m.manifest_id||'","rna_id":"'||m.rna_id||
    '","seed":'||m.seed||',"selected":'||m.selected||',"universe_size":'||m.sz||'}') AS payload_sha256

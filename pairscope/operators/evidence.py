@@ -151,36 +151,39 @@ def corrupt_pairs(items: DataFrame, truth: DataFrame, rnas: DataFrame, noise_lev
         F.when(keep, "CLEAN").when(F.col("di").isNull(), "CORRUPTION_UNAVAILABLE").otherwise("CORRUPTED").alias("status"))
 
 
-def validate_evidence(items: DataFrame, manifest_rows: DataFrame, universe: DataFrame, truth: DataFrame) -> DataFrame:
+def validate_evidence(
+        items: DataFrame, manifest_rows: DataFrame, universe: DataFrame, truth: DataFrame, keys: Sequence[str] = ("manifest_id",)) -> DataFrame:
     """Findings per manifest: counts, membership, uniqueness, one partner, status rules. Empty when all is well.
 
-    ``items``: manifest_id, rna_id, channel, clean_i, clean_j, i, j, status.
+    ``items``: keys, rna_id, channel, clean_i, clean_j, i, j, status; ``manifest_rows``: keys, selected. The keys are
+    those of a delivery: the manifest, and the noise level where there are several.
     """
+    keys = list(keys)
     key = F.concat_ws("-", "clean_i", "clean_j")
     inside = universe.select("rna_id", "channel", F.concat_ws("-", "i", "j").alias("_k"), F.lit(1).alias("_in"))
     known = items.withColumn("_k", key).join(inside, ["rna_id", "channel", "_k"], "left")
     is_true = truth.select("rna_id", "i", "j", F.lit(1).alias("_true"))
     known = known.join(is_true, ["rna_id", "i", "j"], "left")
     ends = F.array_compact(F.array("i", "j"))
-    held = items.select("manifest_id", F.explode(ends).alias("e")).groupBy("manifest_id", "e").agg(F.count("*").alias("n"))
-    shared = held.groupBy("manifest_id").agg(F.max("n").alias("most"))
+    held = items.select(*keys, F.explode(ends).alias("e")).groupBy(*keys, "e").agg(F.count("*").alias("n"))
+    shared = held.groupBy(*keys).agg(F.max("n").alias("most"))
     moved = F.col("status") == "CORRUPTED"
     # a corrupted pair keeps exactly one end of its clean pair
     held_ends = (F.col("i").isin(F.col("clean_i"), F.col("clean_j"))).cast("int") + (F.col("j").isin(F.col("clean_i"), F.col("clean_j"))).cast("int")
-    stats = known.groupBy("manifest_id").agg(
+    stats = known.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(F.col("_in").isNull()).alias("outside"),
         F.count_if((F.col("status") == "CLEAN") & ~(F.col("i").eqNullSafe(F.col("clean_i")) & F.col("j").eqNullSafe(F.col("clean_j")))).alias("modified"),
         F.count_if(moved & F.col("_true").isNotNull()).alias("true_pair"), F.count_if(moved & F.col("i").isNull()).alias("empty"),
         F.count_if(moved & (F.col("channel") == PAIR) & (held_ends != 1)).alias("loose"),
         F.count_if((F.col("status") == "CORRUPTION_UNAVAILABLE") & F.col("i").isNotNull()).alias("delivered"))
-    rows = manifest_rows.select("manifest_id", "selected").join(stats, "manifest_id", "left").join(shared, "manifest_id", "left")
+    rows = manifest_rows.select(*keys, "selected").join(stats, keys, "left").join(shared, keys, "left")
     checks = {
         "selected_count": F.coalesce("n", F.lit(0)) != F.col("selected"), "outside_universe": F.col("outside") > 0,
         "clean_item_modified": F.col("modified") > 0, "corrupted_is_true": F.col("true_pair") > 0,
         "endpoint_not_preserved": F.col("loose") > 0, "corrupted_without_value": F.col("empty") > 0, "unavailable_delivers": F.col("delivered") > 0,
         "position_used_twice": F.col("most") > 1,
     }
-    return rows.select("manifest_id", F.explode(F.array_compact(F.array(*[
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*[
         F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))).alias("finding"))
 
 

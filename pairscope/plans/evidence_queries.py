@@ -93,6 +93,21 @@ def _(t):
     return evidence.validate_evidence(broken, rows, s.universe, t.truth)
 
 
+@query("x7_validate_corruption", "noise:i manifest_id:s finding:s")
+def _(t):
+    # both channels at every noise level, with the faults of x7_validate_evidence
+    s = Setup(t)
+    pairs = evidence.corrupt_pairs(s.items, t.truth, t.rnas, NOISE)
+    items, d = pairs, F.col("rna_id").cast("bigint")
+    for noise in NOISE:
+        items = items.unionByName(evidence.corrupt_unpaired(s.items, t.truth, noise).withColumn("noise", F.lit(noise)))
+    items = cut_lineage(items)
+    broken = items.withColumn("i", F.when((d % 3 == 0) & (F.col("status") == "CLEAN"), F.col("i") + 1000).otherwise(F.col("i")))
+    rows = s.manifests.withColumn("selected", F.col("selected") + F.when(d % 5 == 0, 1).otherwise(0)).withColumn(
+        "noise", F.explode(F.array(*[F.lit(n) for n in NOISE])))
+    return evidence.validate_evidence(broken, rows, s.universe, t.truth, ["noise", "manifest_id"])
+
+
 @query("x8_payload_hash", "manifest_id:s payload_sha256:s")
 def _(t):
     s = Setup(t)
