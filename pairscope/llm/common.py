@@ -64,3 +64,10 @@ def semi(df: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:
         same = df[key].eqNullSafe(right[name])
         on = same if on is None else on & same
     return df.join(right, on, "left_semi")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the checkpoint folder that driver and executors share."""
+    prepare(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"

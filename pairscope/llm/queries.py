@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairscope.llm import bpe, chat, exact_dedup, language, licenses, mixing, quality, simhash, toxicity, warc
-from pairscope.llm.common import read
+from pairscope.llm import bpe, chat, exact_dedup, language, licenses, mixing, quality, simhash, token_files, toxicity, warc
+from pairscope.llm.common import read, shared_folder
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,13 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "copies", "taken")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "tokens")
+    token_files.write_tokens(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_checksums(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_quality_rules, op3_exact_dedup, op4_bpe_round_trip, op5_language_id, op6_toxicity,
-        op7_chat_format, op8_warc_revisits, op9_license_scan, op10_source_mix)}
+        op7_chat_format, op8_warc_revisits, op9_license_scan, op10_source_mix, op13_token_files)}
