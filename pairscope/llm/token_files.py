@@ -10,7 +10,6 @@ sum inside each range and one over the ranges' totals.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,8 +25,8 @@ from pairscope.llm.common import partitions, workers_import
 SEGMENT = 1 << 15
 #: Appended to each document.
 END_ID = 0
-#: A run of this many characters goes to the library, whose merging does not slow down on long runs.
-_LONG_RUN = re.compile(r"\S{256}|\s{256}")
+#: Texts with a run of so many bytes go to the library, whose merging does not slow down on long runs.
+_LONG_RUN = 1024
 #: Fixed value of byte-level vocabularies: the pattern that splits a text before merging.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value of byte-level vocabularies: the bytes that stand for themselves; the others follow from code point 256 on.
@@ -55,7 +54,16 @@ def _same_as_ranks(spec: dict) -> bool:
     return None not in merged and all(a < b for a, b in zip(merged, merged[1:]))
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
+def _has_long_run(text: str) -> bool:
+    """Whether ``_LONG_RUN`` bytes in a row are all blank (up to the space) or all not."""
+    if len(text) < _LONG_RUN // 4:
+        return False
+    blank = np.frombuffer(text.encode(), dtype=np.uint8) <= 0x20
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return int(np.diff(edges, prepend=-1, append=len(blank) - 1).max()) >= _LONG_RUN
+
+
+def encoder(path: str) -> Callable[[str], np.ndarray]:
     """The ids the tokenizers library gives with ``add_special_tokens=False``, truncation and padding unused.
 
     A byte-level vocabulary whose ids rise with its merge list needs no merge list: tiktoken then gives the same ids at four
@@ -67,8 +75,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     library.no_truncation()
     library.no_padding()
 
-    def whole(text: str) -> list[int]:
-        return library.encode(text, add_special_tokens=False).ids
+    def whole(text: str) -> np.ndarray:
+        return np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
@@ -80,8 +88,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     ranked = tiktoken.Encoding("byte-level", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(text: str) -> list[int]:
-        return whole(text) if _LONG_RUN.search(text) else ranked.encode(text, allowed_special="all")
+    def encode(text: str) -> np.ndarray:
+        return whole(text) if _has_long_run(text) else ranked.encode_to_numpy(text, allowed_special="all")
 
     return encode
 
@@ -101,6 +109,7 @@ def _segments(docs: DataFrame, path: str, id_col: str, text_col: str, segment: i
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, number = encoder(path), TaskContext.get().partitionId(), 0
         ids, lengths, parts, size, kind = [], [], [], 0, None
+        end = np.array([END_ID], dtype=np.uint32)
 
         def closed() -> pa.RecordBatch:
             data = simple8b.encode(np.concatenate(parts))
@@ -112,11 +121,11 @@ def _segments(docs: DataFrame, path: str, id_col: str, text_col: str, segment: i
         for batch in batches:
             kind = batch.column(0).type
             for one, text in zip(batch.column(0), batch.column(1)):
-                found = np.array([*encode(text.as_py() or ""), END_ID], dtype=np.uint64)
+                found = encode(text.as_py() or "")
                 ids.append(one.as_py())
-                lengths.append(len(found))
-                parts.append(found)
-                size += len(found)
+                lengths.append(len(found) + 1)
+                parts += [found, end]
+                size += len(found) + 1
                 if size >= segment:
                     yield closed()
                     ids, lengths, parts, size, number = [], [], [], 0, number + 1

@@ -49,13 +49,22 @@ def test_encoder_agrees_with_the_library(text):
     global _encode
     if "_encode" not in globals():
         _encode = token_files.encoder(PATH)
-    assert _encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert _encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [255, 256, 1_023, 1_024, 1_500])
+@pytest.mark.parametrize("piece", ["x", " ", "é", "\u00a0"])
+def test_long_runs_get_the_same_ids(piece, n):
+    encode = token_files.encoder(PATH)
+    for text in (piece * n, "a b " + piece * n + " c", piece * n + "\n"):
+        assert encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert token_files._has_long_run("y" * 1_024 + " z") and not token_files._has_long_run("y " * 5_000)
 
 
 def test_other_vocabularies_go_to_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     text = "Some Words, and others."
-    assert token_files.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert token_files.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("segment", [1, 50, token_files.SEGMENT])
