@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairscope.llm import bpe, chat, exact_dedup, language, licenses, mixing, quality, simhash, token_files, toxicity, warc
+from pairscope.llm import bpe, chat, exact_dedup, language, licenses, mixing, quality, simhash, spelling, token_files, toxicity, warc, whitening
 from pairscope.llm.common import read, shared_folder
 
 
@@ -51,6 +51,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "copies", "taken")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     token_files.write_tokens(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -60,4 +68,4 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_quality_rules, op3_exact_dedup, op4_bpe_round_trip, op5_language_id, op6_toxicity,
-        op7_chat_format, op8_warc_revisits, op9_license_scan, op10_source_mix, op13_token_files)}
+        op7_chat_format, op8_warc_revisits, op9_license_scan, op10_source_mix, op11_embedding_whitening, op12_spelling_variants, op13_token_files)}

@@ -108,5 +108,58 @@ SELECT record_id, canonical_url, CASE WHEN other IS NOT NULL THEN 'p' || other E
 FROM judged
 """
 
+_SPELLING = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+  ) WHERE length(run) >= 6 GROUP BY doc_id, run
+), messages AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)) AS bytes FROM runs
+), bits AS (
+  SELECT CAST(b AS BIGINT) AS b, 0 AS s, CAST(b AS BIGINT) AS reg FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL SELECT b, s + 1, xor(reg >> 1, CASE WHEN reg & 1 = 1 THEN 3988292384 ELSE 0 END) FROM bits WHERE s < 8
+), crc AS (SELECT b, reg FROM bits WHERE s = 8),
+after AS (
+  SELECT 0 AS k, b, reg FROM (SELECT b, reg FROM crc UNION ALL SELECT -1, 4294967295)
+  UNION ALL SELECT a.k + 1, a.b, xor(a.reg >> 8, t.reg) FROM after a JOIN crc t ON t.b = a.reg & 255
+  WHERE a.k < (SELECT max(len(bytes)) FROM messages)
+), parts AS (
+  SELECT doc_id, run, n, b, n - i AS k FROM (
+    SELECT doc_id, run, len(bytes) AS n, unnest(bytes) AS b, unnest(range(1, len(bytes) + 1)) AS i FROM messages)
+), coded AS (
+  SELECT p.doc_id, p.run, any_value(p.n) AS n, bit_xor(a.reg) AS part FROM parts p JOIN after a ON a.b = p.b AND a.k = p.k GROUP BY p.doc_id, p.run
+), hashed AS (
+  SELECT r.run, r.c, xor(xor(c.part, a.reg), 4294967295) AS h FROM coded c
+  JOIN after a ON a.b = -1 AND a.k = c.n JOIN runs r ON r.run = c.run AND r.doc_id IS NOT DISTINCT FROM c.doc_id
+), words AS (
+  SELECT word, sum(c) AS n FROM (
+    SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), dels AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM dels a JOIN dels b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM dels d JOIN words w ON w.word = d.rest
+  UNION SELECT w.word, d.word FROM dels d JOIN words w ON w.word = d.rest
+), ranked AS (
+  SELECT p.word, p.other, o.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+    row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS k
+  FROM near p JOIN words o ON o.word = p.other
+), named AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 5 * w.n THEN r.other END AS form,
+    CASE WHEN r.other_n >= 5 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1
+), chain AS (
+  SELECT word, word AS root, 0 AS depth FROM named
+  UNION ALL SELECT c.word, f.form, c.depth + 1 FROM chain c JOIN named f ON f.word = c.root WHERE f.form IS NOT NULL
+), last AS (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word)
+SELECT n.word, n.form, l.root, CAST(n.n AS BIGINT) AS n, CAST(n.n_near AS BIGINT) AS n_near, CAST(n.form_n AS BIGINT) AS form_n
+FROM named n JOIN last l USING (word)
+"""
+
 ORACLES: dict[str, str] = {
-    "op2_quality_rules": _QUALITY, "op3_exact_dedup": _EXACT, "op7_chat_format": _CHAT, "op8_warc_revisits": _WARC, "op10_source_mix": _MIX}
+    "op2_quality_rules": _QUALITY, "op3_exact_dedup": _EXACT, "op7_chat_format": _CHAT, "op8_warc_revisits": _WARC, "op10_source_mix": _MIX,
+    "op12_spelling_variants": _SPELLING,
+}
