@@ -29,7 +29,8 @@ def exact_groups(
     ``keep`` is "smallest" or "largest" identifier of each group of equal texts. A null text counts as
     the empty text; a null identifier is smaller than all others. Rows that repeat an identifier inside
     a group are all marked kept when that identifier stays. An empty table gives no rows; further
-    columns of ``docs`` are ignored.
+    columns of ``docs`` are ignored. ``docs`` should be a scan or a checkpointed table: rows of a large
+    group are spread by their place in it.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
@@ -45,9 +46,10 @@ def exact_groups(
         counts.withColumn("share", F.floor(total.scalar() / (2 * parts)) + 1).where("n > share")
         .select("hash", F.ceil(F.col("n") / F.col("share")).cast("int").alias("salts"))
     )
-    row_salt = F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id", F.lit(7)), F.col("salts")).cast("int"))
+    # by place in the input, for rows that repeat an identifier, or have none, must spread too
+    row_salt = F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id", "row"), F.col("salts")).cast("int"))
     dealt = (
-        base.join(F.broadcast(hot), "hash", "left").withColumn("salt", row_salt).drop("salts")
+        base.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(hot), "hash", "left").withColumn("salt", row_salt).drop("salts", "row")
         .repartitionByRange(parts, "prefix", "hash", "salt")
     )
     place = ["prefix", "hash", "salt"]

@@ -50,18 +50,21 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix",
+    weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix", row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: <id_col>, size, source_size, target, copies, taken.
+    """One row per input row: <id_col>, size, source_size, target, copies, taken, and <row_col> if one is given.
 
     ``copies`` is how often the mix holds the document, ``taken`` = copies * size. The last document of a source
     goes in if its middle lies within the budget, so a source misses its target by half a document at most. Null sources
     are one source, the last. Null texts have size 0; documents of size 0 take part in whole epochs and in the cut like
-    others and take no words. Repeated identifiers share a key and are cut in order of size. An empty table gives no rows.
+    others and take no words. Repeated identifiers share a key and are cut in order of size, then of ``row_col``, a column
+    that tells rows apart. An empty table gives no rows.
     """
+    row = ["row"] if row_col else []
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     sized = cut_lineage(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_sizes(text_col).alias("size"), key.alias("key")))
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_sizes(text_col).alias("size"), key.alias("key"),
+        *[F.col(row_col).alias("row") for _ in row]))
     source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = cut_lineage(targets(source, weights, share, most))
     # the number of buckets follows the rows, as a power of two
@@ -69,7 +72,7 @@ def mix(
         F.pow(F.lit(2), F.least(F.ceil(F.log2(F.greatest(F.col("n") / F.lit(BUCKET_ROWS), F.lit(1.0)))), F.lit(20))).cast("bigint").alias("b"))
     lead = F.conv(F.substring("key", 1, 5), 16, 10).cast("bigint")
     placed = sized.withColumn("bucket", F.floor(lead * rows.scalar() / F.lit(16**5)))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     totals = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
@@ -81,14 +84,18 @@ def mix(
     left = F.col("target") - epochs * F.col("source_size")
     copies = (epochs + (2 * F.col("upto") - F.col("size") < 2 * left).cast("bigint")).cast("bigint")
     return placed.withColumn("copies", F.least(copies, F.lit(int(most)))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        *[F.col("row").alias(row_col) for _ in row])
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as the mix holds them: repeated for each copy, with all their columns."""
-    plan = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    key, copies, copy = fresh(docs, "_id", "_copies", "_copy")
-    plan = plan.groupBy(id_col).agg(F.max("copies").alias(copies)).withColumnRenamed(id_col, key)
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan[key]))
+    """The rows of ``docs`` as the mix holds them: repeated for each copy, with all their columns.
+
+    Rows are numbered first, so that those of one identifier, or without one, are taken each by its own plan.
+    """
+    row, copies, copy = fresh(docs, "_row", "_copies", "_copy")
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = mix(numbered, id_col, text_col, source_col, row_col=row, **options).where("copies > 0")
+    joined = numbered.join(plan.select(F.col(row), F.col("copies").alias(copies)), row)
     repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
-    return repeated.drop(key, copies, copy)
+    return repeated.select(*docs.columns)

@@ -25,21 +25,29 @@ SEED = 42
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None) -> int:
-    """64 bits, each set if it is set in over half of the hashes of the text's word shingles; 0 without words.
+def word_spans(text: str | None, shingle: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """The words (A-Z lower-cased, split at the six ASCII spaces) joined by one space, and the bytes of each run of ``shingle`` words.
 
-    A-Z are lower-cased, words are split at the six ASCII spaces, a text of fewer words than a shingle is
-    one shingle. Memory is one block of hashes, however long the text is.
+    Fewer words are one run; no words, none.
     """
     found = text.encode().lower().split() if text else []
-    if not found:
-        return 0
     joined, ends, at = b" ".join(found), [], -1
     for word in found:
         at += len(word) + 1
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[:-1]]]
-    spans = [(0, ends[-1])] if len(found) < SHINGLE else list(zip(starts, ends[SHINGLE - 1:]))
+    return joined, ([(0, len(joined))] if 0 < len(found) < shingle else list(zip(starts, ends[shingle - 1:])))
+
+
+def fingerprint(text: str | None) -> int:
+    """64 bits, each set if it is set in over half of the hashes of the text's word shingles; 0 without words.
+
+    A-Z are lower-cased, words are split at the six ASCII spaces, a text of fewer words than a shingle is
+    one shingle. Memory is one block of hashes, however long the text is.
+    """
+    joined, spans = word_spans(text, SHINGLE)
+    if not spans:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(spans), _BLOCK):
         hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans[k:k + _BLOCK]], dtype="<u8")

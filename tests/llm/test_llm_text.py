@@ -271,6 +271,29 @@ def test_mixed_documents_repeat_rows(spark):
     assert mixing.mixed_documents(docs_of(spark, [])).collect() == [] and mixing.mix(docs_of(spark, [])).collect() == []
 
 
+def test_mixed_documents_of_repeated_and_missing_identifiers(spark):
+    rows = [(k % 5 if k % 7 else None, "word " * (1 + k % 9), "a" if k % 3 else "b") for k in range(90)]
+    docs = docs_of(spark, rows)
+    target = {r["source"]: r["target"] for r in mixing.targets(docs.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("source_size"))).collect()}
+    taken = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    assert all(abs(taken[s] - target[s]) <= 4.5 for s in target)
+    plan = [tuple(r) for r in mixing.mix(docs).collect()]
+    assert len(plan) == 90 and sum(r[-1] for r in plan) == sum(taken.values())
+
+
+def test_exact_groups_of_one_identifier(spark):
+    rows = [(7, "copy", "a")] * 4_000 + [(None, "copy", "a")] * 2_000 + [(k, f"text {k}", "a") for k in range(100, 160)]
+    found = exact_dedup.exact_groups(docs_of(spark, rows)).groupBy("keep_id", "group_size", "kept").count().where("group_size > 1").collect()
+    assert {tuple(r) for r in found} == {(7, 6_000, True, 4_000), (7, 6_000, False, 2_000)}
+
+
+def _grams(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(found[k:k + 5]) for k in range(max(1, len(found) - 4))}
+
+
 # pipeline ---------------------------------------------------------------------------------------------------
 def test_pipeline_matches_plain_python(spark):
     import corpus_pipeline
@@ -281,10 +304,13 @@ def test_pipeline_matches_plain_python(spark):
     for i, t, s in sorted(rows):
         first.setdefault(t, (i, t, s))
     rows = list(first.values())
-    roots = plain_components({plain_fingerprint(t) for _, t, _ in rows}, lambda a, b: (a ^ b).bit_count() <= 2)
+    # groups of texts that five-word shingles link at a similarity of 0.8
+    grams = {t: _grams(t) for _, t, _ in rows}
+    roots = plain_components(set(grams), lambda a, b: 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]))
     least = {}
     for i, t, s in sorted(rows):
-        least.setdefault(roots[plain_fingerprint(t)], (i, t, s))
+        least.setdefault(roots[t], (i, t, s))
+    assert len(least) < len(rows)
     rows = list(least.values())
     sizes = defaultdict(int)
     for _, t, s in rows:
