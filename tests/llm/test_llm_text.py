@@ -285,7 +285,7 @@ def test_mixed_documents_of_repeated_and_missing_identifiers(spark):
 
 def test_exact_groups_of_one_identifier(spark):
     rows = [(7, "copy", "a")] * 4_000 + [(None, "copy", "a")] * 2_000 + [(k, f"text {k}", "a") for k in range(100, 160)]
-    found = exact_dedup.exact_groups(docs_of(spark, rows)).groupBy("keep_id", "group_size", "kept").count().where("group_size > 1").collect()
+    found = exact_dedup.exact_groups(docs_of(spark, rows), keep="largest").groupBy("keep_id", "group_size", "kept").count().where("group_size > 1").collect()
     assert {tuple(r) for r in found} == {(7, 6_000, True, 4_000), (7, 6_000, False, 2_000)}
 
 
