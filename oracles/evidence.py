@@ -98,22 +98,30 @@ cte("sflags", """SELECT f.*, CASE WHEN x.i IS NOT NULL THEN 'DIRECT' WHEN a.e IS
    FROM flags f LEFT JOIN nitems x ON x.manifest_id=f.manifest_id AND x.i=f.i AND x.j=f.j
    LEFT JOIN touch a ON a.manifest_id=f.manifest_id AND a.e=f.i LEFT JOIN touch b ON b.manifest_id=f.manifest_id AND b.e=f.j""")
 oracle("x22_scope_partition", "SELECT condition, source, scope, count(*) AS n, sum(t) AS in_truth, sum(o) AS in_original, sum(r) AS in_result FROM sflags GROUP BY 1,2,3")
-cte("inc", """SELECT p.*, len-1.0::DOUBLE AS dd, x.i AS a, x.j AS b, m.channel FROM man m JOIN pred p ON p.rna_id=m.rna_id JOIN base ON base.rna_id=m.rna_id
-   JOIN items x ON x.manifest_id=m.manifest_id WHERE m.density=10 AND m.seed=101""")
-oracle("x23_pair_item_features", """SELECT rna_id, source, i, j, a, b, abs(i-a)/dd AS abs_i_a, abs(i-b)/dd AS abs_i_b, abs(j-a)/dd AS abs_j_a, abs(j-b)/dd AS abs_j_b,
-   least(abs(i-a),abs(i-b),abs(j-a),abs(j-b))/dd AS min_distance, greatest(abs(i-a),abs(i-b),abs(j-a),abs(j-b))/dd AS max_distance, (j-i)/dd AS candidate_span,
-   (b-a)/dd AS evidence_span, (b-a-j+i)/dd AS span_difference, abs(i+j-a-b)/(2*dd) AS midpoint_distance, (i=a AND j=b)::INT AS exact_same,
-   (i=a OR i=b OR j=a OR j=b)::INT AS shared_endpoint, ((i=a OR i=b OR j=a OR j=b) AND NOT (i=a AND j=b))::INT AS direct_conflict,
-   (rel='C')::INT AS relation_CONTAINING, (rel='N')::INT AS relation_NESTED, (rel='X')::INT AS relation_CROSSING, (rel='D')::INT AS relation_DISJOINT
-   FROM (SELECT *, CASE WHEN a>=i AND b<=j THEN 'C' WHEN i>=a AND j<=b THEN 'N' WHEN (i<a AND a<j AND j<b) OR (a<i AND i<b AND b<j) THEN 'X' ELSE 'D' END AS rel
-   FROM inc WHERE channel='positive_pair')""")
-oracle("x23_unpaired_item_features", """SELECT rna_id, source, i, j, a AS k, abs(i-a)/dd AS abs_i_k, abs(j-a)/dd AS abs_j_k, least(abs(i-a),abs(j-a))/dd AS min_distance,
-   greatest(abs(i-a),abs(j-a))/dd AS max_distance, abs(i+j-2*a)/(2*dd) AS midpoint_distance, (a=i)::INT AS k_is_i, (a=j)::INT AS k_is_j, (i<a AND a<j)::INT AS k_inside
-   FROM inc WHERE channel='unpaired'""")
-oracle("l2_evidence_pooled_features", """SELECT p.rna_id, p.source, p.i, p.j, count(a) AS item_count, coalesce(avg(abs(p.i-a)/dd),0) AS mean_abs_i_k, coalesce(max(abs(p.i-a)/dd),0) AS max_abs_i_k,
-   coalesce(avg(least(abs(p.i-a),abs(p.j-a))/dd),0) AS mean_min_distance, coalesce(max(least(abs(p.i-a),abs(p.j-a))/dd),0) AS max_min_distance,
-   coalesce(avg((p.i<a AND a<p.j)::INT),0) AS mean_k_inside, coalesce(max((p.i<a AND a<p.j)::INT),0) AS max_k_inside
-   FROM pred p LEFT JOIN (SELECT * FROM inc WHERE channel='unpaired') x ON x.rna_id=p.rna_id AND x.source=p.source AND x.i=p.i AND x.j=p.j GROUP BY 1,2,3,4""")
+# published names of the item features, as SQL of a candidate (i, j) and an item: a pair (a, b), or a position a
+_pair_features = {
+    "abs_i_a_norm": "abs(i-a)/dd", "abs_i_b_norm": "abs(i-b)/dd", "abs_j_a_norm": "abs(j-a)/dd", "abs_j_b_norm": "abs(j-b)/dd",
+    "min_endpoint_distance_norm": "least(abs(i-a),abs(i-b),abs(j-a),abs(j-b))/dd", "max_endpoint_distance_norm": "greatest(abs(i-a),abs(i-b),abs(j-a),abs(j-b))/dd",
+    "candidate_span_norm": "CASE WHEN a IS NOT NULL THEN (j-i)/dd END", "evidence_span_norm": "(b-a)/dd", "signed_span_difference_norm": "(b-a-j+i)/dd", "midpoint_distance_norm": "abs(i+j-a-b)/(2*dd)",
+    "exact_same_pair": "(i=a AND j=b)::INT", "shared_endpoint": "(i=a OR i=b OR j=a OR j=b)::INT", "direct_conflict": "((i=a OR i=b OR j=a OR j=b) AND NOT (i=a AND j=b))::INT",
+    "relation_CONTAINING": "(a>=i AND b<=j)::INT", "relation_NESTED": "(NOT (a>=i AND b<=j) AND i>=a AND j<=b)::INT",
+    "relation_CROSSING": "((i<a AND a<j AND j<b) OR (a<i AND i<b AND b<j))::INT",
+    "relation_DISJOINT": "(NOT (a>=i AND b<=j) AND NOT (i>=a AND j<=b) AND NOT ((i<a AND a<j AND j<b) OR (a<i AND i<b AND b<j)))::INT"}
+_unpaired_features = {
+    "abs_i_k_norm": "abs(i-a)/dd", "abs_j_k_norm": "abs(j-a)/dd", "min_endpoint_distance_norm": "least(abs(i-a),abs(j-a))/dd",
+    "max_endpoint_distance_norm": "greatest(abs(i-a),abs(j-a))/dd", "midpoint_distance_norm": "abs(i+j-2*a)/(2*dd)", "k_equals_i": "(a=i)::INT", "k_equals_j": "(a=j)::INT",
+    "k_strictly_inside_pair_interval": "(i<a AND a<j)::INT"}
+cte("inc", """SELECT p.*, len, len-1.0::DOUBLE AS dd, x.i AS a, x.j AS b, m.channel, m.manifest_id, m.density FROM man m JOIN pred p ON p.rna_id=m.rna_id
+   JOIN base ON base.rna_id=m.rna_id LEFT JOIN items x ON x.manifest_id=m.manifest_id""")
+for _key, _channel, _features, _item in (("pair", "positive_pair", _pair_features, "a, b"), ("unpaired", "unpaired", _unpaired_features, "a AS k")):
+    cte(f"inc_{_key}", f"SELECT manifest_id, density, rna_id, source, i, j, len, a AS ea, {_item}, {', '.join(f'{x} AS {n}' for n, x in _features.items())} FROM inc WHERE channel='{_channel}'")
+    oracle(f"x23_{_key}_item_features", f"SELECT * FROM inc_{_key} WHERE ea IS NOT NULL AND density=10 AND manifest_id LIKE '%__10__101'")
+    oracle(f"x23_{_key}_item_totals", f"SELECT density, source, count(*) AS n, {', '.join(f'sum({n}) AS {n}' for n in _features)} FROM inc_{_key} WHERE ea IS NOT NULL GROUP BY 1,2")
+    _pools = ", ".join(f"coalesce(avg({n}),0) AS mean_{n}, coalesce(max({n}),0) AS max_{n}" for n in _features)
+    _support = "coalesce(max(exact_same_pair),0)" if _key == "pair" else "0"
+    _conflict = "coalesce(max(direct_conflict),0)" if _key == "pair" else "coalesce(max(greatest(k_equals_i,k_equals_j)),0)"
+    oracle("l2_pair_pooled_features" if _key == "pair" else "l2_evidence_pooled_features", f"""SELECT manifest_id, source, i, j, {_pools}, count(ea) AS item_count,
+      count(ea)::DOUBLE/any_value(len) AS item_count_div_sequence_length, {_conflict} AS e1_local_conflict, {_support} AS direct_pair_support FROM inc_{_key} GROUP BY 1,2,3,4""")
 _p = """count(*) FILTER (o=1 AND t=1 AND r=1) AS preserved_tp, count(*) FILTER (o=1 AND t=1 AND r=0) AS lost_tp, count(*) FILTER (o=1 AND t=0 AND r=0) AS removed_fp,
    count(*) FILTER (o=1 AND t=0 AND r=1) AS preserved_fp, count(*) FILTER (o=0 AND t=1 AND r=1) AS new_tp, count(*) FILTER (o=0 AND t=0 AND r=1) AS new_fp,
    count(*) FILTER (o=1 AND r=1) AS unchanged, count(*) FILTER (o=1 AND r=0) AS deleted, count(*) FILTER (o=0 AND r=1) AS added,
@@ -162,13 +170,4 @@ oracle("x29_matched_views", """SELECT channel, v.view, count(*) AS contexts, sum
 oracle("x30_method_compare", summary("condition, density, source", "decm"))
 oracle("x31_seed_summary", f"""SELECT condition, density, avg(macro_delta) AS macro_delta_mean, stddev_pop(macro_delta) AS macro_delta_std, min(macro_delta) AS macro_delta_min,
    max(macro_delta) AS macro_delta_max, count(macro_delta) AS macro_delta_n FROM ({summary("condition, density, seed", "decm")}) GROUP BY 1,2""")
-cte("finc", """SELECT m.density, m.channel, p.source, p.i, p.j, len-1.0::DOUBLE AS dd, x.i AS a, x.j AS b FROM man m JOIN pred p ON p.rna_id=m.rna_id JOIN base ON base.rna_id=m.rna_id
-   JOIN items x ON x.manifest_id=m.manifest_id""")
-oracle("x23_pair_item_totals", """SELECT density, source, count(*) AS n, round(sum(least(abs(i-a),abs(i-b),abs(j-a),abs(j-b))/dd),6) AS min_distance, round(sum((b-a-j+i)/dd),6) AS span_difference,
-   sum((i=a AND j=b)::INT) AS exact_same, sum((i=a OR i=b OR j=a OR j=b)::INT) AS shared_endpoint, sum(((i=a OR i=b OR j=a OR j=b) AND NOT (i=a AND j=b))::INT) AS direct_conflict,
-   sum((rel='C')::INT) AS relation_CONTAINING, sum((rel='N')::INT) AS relation_NESTED, sum((rel='X')::INT) AS relation_CROSSING, sum((rel='D')::INT) AS relation_DISJOINT
-   FROM (SELECT *, CASE WHEN a>=i AND b<=j THEN 'C' WHEN i>=a AND j<=b THEN 'N' WHEN (i<a AND a<j AND j<b) OR (a<i AND i<b AND b<j) THEN 'X' ELSE 'D' END AS rel
-   FROM finc WHERE channel='positive_pair') GROUP BY 1,2""")
-oracle("x23_unpaired_item_totals", """SELECT density, source, count(*) AS n, round(sum(least(abs(i-a),abs(j-a))/dd),6) AS min_distance, sum((a=i)::INT) AS k_is_i, sum((a=j)::INT) AS k_is_j,
-   sum((i<a AND a<j)::INT) AS k_inside FROM finc WHERE channel='unpaired' GROUP BY 1,2""")
 oracle("x32_zero_evidence_identity", "SELECT rna_id, source, 2 AS distinct_results FROM rec WHERE false")

@@ -88,6 +88,32 @@ def running_totals(
     return joined.drop(*[f"{p}_{n}" for n in sums for p in ("_in", "_w", "_o")], *[f"_k_{k}" for k in group + [bucket]])
 
 
+def cumulative_at(points: DataFrame, queries: DataFrame, group: Sequence[str], position: str, sums: Sequence[str]) -> DataFrame:
+    """Sums of the points at or before each position, and the nearest points: one row per position of points and queries.
+
+    Columns group..., position, the sums, ``below`` (largest point at or before), ``above`` (smallest point after). Points may
+    share a position. Work is linear in points and queries, and no group is one task.
+    """
+    group, sums = list(group), list(sums)
+    both = points.select(*group, position, *sums, F.col(position).alias("_at")).unionByName(
+        queries.select(*group, position, *[F.lit(0).alias(s) for s in sums], F.lit(None).cast("bigint").alias("_at")))
+    rows = both.groupBy(*group, position).agg(*[F.sum(s).alias(f"_p_{s}") for s in sums], F.max("_at").alias("_at")).withColumn(
+        "_bucket", coordinate_bucket(position))
+    totals = running_totals(rows, group, [position], {s: f"_p_{s}" for s in sums})
+    ends = rows.groupBy(*group, "_bucket").agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    over = Window.partitionBy(*group).orderBy("_bucket")
+    sides = ends.select(
+        *[F.col(g).alias(f"_k_{g}") for g in group], F.col("_bucket").alias("_k_bucket"),
+        F.max("_high").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_low").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inside = Window.partitionBy(*group, "_bucket").orderBy(position)
+    marked = totals.withColumns({
+        "_below": F.max("_at").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        "_above": F.min("_at").over(inside.rowsBetween(1, Window.unboundedFollowing))})
+    joined = marked.join(sides, [*[marked[g].eqNullSafe(F.col(f"_k_{g}")) for g in group], marked["_bucket"] == F.col("_k_bucket")])
+    return joined.select(*group, position, *sums, F.coalesce("_below", "_before").alias("below"), F.coalesce("_above", "_after").alias("above"))
+
+
 def _null_safe(df: DataFrame, keys: list[str]) -> DataFrame:
     for key in keys:
         df = df.withColumnRenamed(key, f"_k_{key}")

@@ -13,6 +13,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairscope.functions.ratios import exact_prf, ratio
 from pairscope.operators.evidence import PAIR as PAIR_CHANNEL
 
+# fixed values: published names of the item features, scaled ones before flags, and of the evidence descriptors
+PAIR_ITEM_FEATURES = (
+    "abs_i_a_norm", "abs_i_b_norm", "abs_j_a_norm", "abs_j_b_norm", "min_endpoint_distance_norm", "max_endpoint_distance_norm",
+    "candidate_span_norm", "evidence_span_norm", "signed_span_difference_norm", "midpoint_distance_norm",
+    "exact_same_pair", "shared_endpoint", "direct_conflict",
+    "relation_CONTAINING", "relation_NESTED", "relation_CROSSING", "relation_DISJOINT",
+)
+UNPAIRED_ITEM_FEATURES = (
+    "abs_i_k_norm", "abs_j_k_norm", "min_endpoint_distance_norm", "max_endpoint_distance_norm", "midpoint_distance_norm",
+    "k_equals_i", "k_equals_j", "k_strictly_inside_pair_interval",
+)
+DESCRIPTORS = ("item_count", "item_count_div_sequence_length", "e1_local_conflict", "direct_pair_support")
+SCALED = {"positive_pair": 10, "unpaired": 5}
+
 PAIR = ["i", "j"]
 CONTEXT = ["manifest_id", "rna_id", "source"]
 
@@ -115,55 +129,62 @@ def evidence_compliance(items: DataFrame, original: DataFrame, result: DataFrame
         F.count_if(~good("_b") & good("_a")).alias("recovered"))
 
 
-def pair_item_features(candidates: DataFrame, items: DataFrame, lengths: DataFrame, salts: int = 16) -> DataFrame:
-    """Seventeen geometric features of every candidate against every evidence pair of its manifest.
+def pair_item_features(candidates: DataFrame, items: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The published features of every candidate against every evidence pair (a, b) of its manifest.
 
-    The incidence table is the result itself. Candidates are salted and items copied once per salt, so a manifest that
-    holds a large share of the rows is spread over tasks; a following aggregate by candidate needs no further shuffle.
+    The incidence table is the result itself; ``pooling`` gives means and maxima without it.
     """
-    rows = _incidence(candidates, items.select("manifest_id", F.col("i").alias("a"), F.col("j").alias("b")), lengths, salts)
+    rows = _incidence(candidates, items.select("manifest_id", F.col("i").alias("a"), F.col("j").alias("b")), lengths)
     i, j, a, b = [F.col(c) for c in ("i", "j", "a", "b")]
-    d = F.greatest(F.col("sequence_length") - 1, F.lit(1)).cast("double")
-    gaps = [F.abs(i - a), F.abs(i - b), F.abs(j - a), F.abs(j - b)]
-    same = (i == a) & (j == b)
-    shared = i.isin(a, b) | j.isin(a, b)
-    relation = (
+    relation = pair_relation(i, j, a, b)
+    same, shared = (i == a) & (j == b), i.isin(a, b) | j.isin(a, b)
+    gaps = {"abs_i_a_norm": F.abs(i - a), "abs_i_b_norm": F.abs(i - b), "abs_j_a_norm": F.abs(j - a), "abs_j_b_norm": F.abs(j - b)}
+    scaled = gaps | {
+        "candidate_span_norm": j - i, "evidence_span_norm": b - a, "signed_span_difference_norm": (b - a) - (j - i),
+        "min_endpoint_distance_norm": F.least(*gaps.values()), "max_endpoint_distance_norm": F.greatest(*gaps.values()),
+        "midpoint_distance_norm": F.abs((i + j) - (a + b)) / 2}
+    flags = {"exact_same_pair": same, "shared_endpoint": shared, "direct_conflict": shared & ~same} | {
+        name: relation == name.removeprefix("relation_") for name in PAIR_ITEM_FEATURES if name.startswith("relation_")}
+    return rows.withColumns({n: scaled[n] / _scale() if n in scaled else flags[n].cast("int") for n in PAIR_ITEM_FEATURES})
+
+
+def pair_relation(i: Column, j: Column, a: Column, b: Column) -> Column:
+    """How the candidate lies to the evidence pair; equal pairs contain each other."""
+    return (
         F.when((i <= a) & (b <= j), "CONTAINING").when((a <= i) & (j <= b), "NESTED")
         .when(((i < a) & (a < j) & (j < b)) | ((a < i) & (i < b) & (b < j)), "CROSSING").otherwise("DISJOINT"))
-    out = {n: g / d for n, g in zip(("abs_i_a", "abs_i_b", "abs_j_a", "abs_j_b"), gaps)}
-    out.update({
-        "min_distance": F.least(*gaps) / d, "max_distance": F.greatest(*gaps) / d, "candidate_span": (j - i) / d, "evidence_span": (b - a) / d,
-        "span_difference": ((b - a) - (j - i)) / d, "midpoint_distance": F.abs((i + j) - (a + b)) / (2 * d),
-        "exact_same": same.cast("int"), "shared_endpoint": shared.cast("int"), "direct_conflict": (shared & ~same).cast("int")})
-    out.update({f"relation_{r}": (relation == r).cast("int") for r in ("CONTAINING", "NESTED", "CROSSING", "DISJOINT")})
-    return rows.withColumns(out)
 
 
-def unpaired_item_features(candidates: DataFrame, items: DataFrame, lengths: DataFrame, salts: int = 16) -> DataFrame:
-    rows = _incidence(candidates, items.select("manifest_id", F.col("i").alias("k")), lengths, salts)
+def unpaired_item_features(candidates: DataFrame, items: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The published features of every candidate against every unpaired position k of its manifest."""
+    rows = _incidence(candidates, items.select("manifest_id", F.col("i").alias("k")), lengths)
     i, j, k = F.col("i"), F.col("j"), F.col("k")
-    d = F.greatest(F.col("sequence_length") - 1, F.lit(1)).cast("double")
-    gi, gj = F.abs(i - k), F.abs(j - k)
-    return rows.withColumns({
-        "abs_i_k": gi / d, "abs_j_k": gj / d, "min_distance": F.least(gi, gj) / d, "max_distance": F.greatest(gi, gj) / d,
-        "midpoint_distance": F.abs((i + j) - 2 * k) / (2 * d), "k_is_i": (k == i).cast("int"), "k_is_j": (k == j).cast("int"),
-        "k_inside": ((i < k) & (k < j)).cast("int")})
+    near, far = F.abs(i - k), F.abs(j - k)
+    scaled = {
+        "abs_i_k_norm": near, "abs_j_k_norm": far, "min_endpoint_distance_norm": F.least(near, far),
+        "max_endpoint_distance_norm": F.greatest(near, far), "midpoint_distance_norm": F.abs(i + j - 2 * k) / 2}
+    flags = {"k_equals_i": k == i, "k_equals_j": k == j, "k_strictly_inside_pair_interval": (i < k) & (k < j)}
+    return rows.withColumns({n: scaled[n] / _scale() if n in scaled else flags[n].cast("int") for n in UNPAIRED_ITEM_FEATURES})
 
 
-def _incidence(candidates: DataFrame, items: DataFrame, lengths: DataFrame, salts: int) -> DataFrame:
-    left = candidates.join(lengths.select("rna_id", "sequence_length"), "rna_id").withColumn(
-        "salt", F.pmod(F.xxhash64("source", *PAIR), F.lit(salts)).cast("int"))
-    right = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, ["manifest_id", "salt"])
+def _scale() -> Column:
+    return F.greatest(F.col("sequence_length") - 1, F.lit(1)).cast("double")
 
 
-def pooled_features(features: DataFrame, candidates: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean and max of each item feature per candidate; candidates without evidence get zeros."""
-    key = [*CONTEXT, *PAIR]
-    stats = [s for c in columns for s in (F.avg(c).alias(f"mean_{c}"), F.max(c).alias(f"max_{c}"))]
-    # the salt is part of the key: the incidence join already clustered the rows by it
-    pooled = features.groupBy("salt", *key).agg(F.count("*").alias("item_count"), *stats).drop("salt")
-    return candidates.select(*key).join(pooled, key, "left").fillna(0)
+#: Rows of a manifest's incidence above which its candidates are dealt to one more task.
+SALTED_ROWS = 1 << 20
+
+
+def _incidence(candidates: DataFrame, items: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Candidates joined with the items of their manifest. Items are copied only where the manifest's incidence is large."""
+    left = candidates.join(lengths.select("rna_id", "sequence_length"), "rna_id")
+    counts = items.groupBy("manifest_id").agg(F.count("*").alias("m")).join(
+        candidates.groupBy("manifest_id").agg(F.count("*").alias("n")), "manifest_id")
+    large = counts.withColumn("salts", F.ceil(F.col("m") * F.col("n") / SALTED_ROWS).cast("int")).where("salts > 1").select("manifest_id", "salts")
+    salts = F.coalesce("salts", F.lit(1))
+    left = left.join(large, "manifest_id", "left").withColumn("salt", F.pmod(F.xxhash64("source", *PAIR), salts).cast("int")).drop("salts")
+    right = items.join(large, "manifest_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, ["manifest_id", "salt"])
 
 
 def summarize_conditions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from pairscope.operators import edits, evidence
+from pairscope.operators import edits, evidence, pooling
 from pairscope.operators.metrics import RECORD
 from pairscope.plans.catalog import query
 from pairscope.session import cut_lineage
@@ -20,8 +20,11 @@ class Setup:
         self.t = t
         self.universe = evidence.evidence_universe(t.truth, t.rnas)
         self.manifests = evidence.manifests(self.universe, t.rnas, *grid)
-        # sampled once, whatever reads it
-        self.items = cut_lineage(evidence.sample_evidence(self.universe, self.manifests))
+
+    @cached_property
+    def items(self):
+        """Sampled once, whatever reads it, and only if something does."""
+        return cut_lineage(evidence.sample_evidence(self.universe, self.manifests))
 
     @cached_property
     def scoped(self):
@@ -201,52 +204,69 @@ def _(t):
         F.count("*").alias("n"), F.sum("t").alias("in_truth"), F.sum("o").alias("in_original"), F.sum("r").alias("in_result"))
 
 
-ITEM = "abs_i_a abs_i_b abs_j_a abs_j_b min_distance max_distance candidate_span evidence_span span_difference midpoint_distance".split()
-FLAGS = "exact_same shared_endpoint direct_conflict relation_CONTAINING relation_NESTED relation_CROSSING relation_DISJOINT".split()
+def incidence(t, channel, grid=(DENSITIES, EVIDENCE_SEEDS)):
+    """The item features of each candidate with every item of its manifest."""
+    candidates, items = side(t, channel, grid)
+    return (edits.pair_item_features if channel == evidence.PAIR else edits.unpaired_item_features)(candidates, items, t.rnas)
+
+
+#: Grid point of the row-level tables; totals and pooled features cover the grid (see README for the rows of all of it).
 ONE = ((10,), (101,))
 
 
-def incidence(t, channel):
-    s = Setup(t, ONE)
-    candidates = edits.candidates_per_manifest(t.predicted, s.manifests.where(F.col("channel") == channel))
-    items = s.items.where(F.col("channel") == channel)
-    return candidates, (edits.pair_item_features if channel == evidence.PAIR else edits.unpaired_item_features)(candidates, items, t.rnas)
+def side(t, channel, grid=(DENSITIES, EVIDENCE_SEEDS)):
+    """Candidates under each manifest of a channel, and the items of those manifests."""
+    s = Setup(t, grid)
+    return edits.candidates_per_manifest(t.predicted, s.manifests.where(F.col("channel") == channel)), s.items.where(F.col("channel") == channel)
 
 
-@query("x23_pair_item_features", "rna_id:s source:s i:i j:i a:i b:i " + " ".join(f"{c}:d" for c in ITEM) + " " + " ".join(f"{c}:i" for c in FLAGS))
+def columns_of(channel, names):
+    """Contract text: scaled features as numbers, flags as whole ones."""
+    return " ".join(f"{n}:{'d' if k < edits.SCALED[channel] else 'i'}" for k, n in enumerate(names))
+
+
+@query("x23_pair_item_features", "manifest_id:s source:s i:i j:i a:i b:i " + columns_of(evidence.PAIR, edits.PAIR_ITEM_FEATURES))
 def _(t):
-    return incidence(t, evidence.PAIR)[1]
+    return incidence(t, evidence.PAIR, ONE)
 
 
-@query("x23_unpaired_item_features",
-       "rna_id:s source:s i:i j:i k:i abs_i_k:d abs_j_k:d min_distance:d max_distance:d midpoint_distance:d k_is_i:i k_is_j:i k_inside:i")
+@query("x23_unpaired_item_features", "manifest_id:s source:s i:i j:i k:i " + columns_of(evidence.UNPAIRED, edits.UNPAIRED_ITEM_FEATURES))
 def _(t):
-    return incidence(t, evidence.UNPAIRED)[1]
+    return incidence(t, evidence.UNPAIRED, ONE)
 
 
 def totals(t, channel, columns):
     """Sums of the incidence features by source and density over the whole grid of manifests."""
-    s = Setup(t)
-    candidates = edits.candidates_per_manifest(t.predicted, s.manifests.where(F.col("channel") == channel))
-    items = s.items.where(F.col("channel") == channel)
-    rows = (edits.pair_item_features if channel == evidence.PAIR else edits.unpaired_item_features)(candidates, items, t.rnas)
-    return rows.groupBy("density", "source").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 6).alias(c) for c in columns])
+    return incidence(t, channel).groupBy("density", "source").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 6).alias(c) for c in columns])
 
 
-@query("x23_pair_item_totals", "density:i source:s n:i " + " ".join(f"{c}:m" for c in ("min_distance", "span_difference")) + " " + " ".join(f"{c}:i" for c in FLAGS))
+PAIR_TOTALS = ("min_endpoint_distance_norm", "signed_span_difference_norm")
+PAIR_FLAGS = edits.PAIR_ITEM_FEATURES[edits.SCALED[evidence.PAIR]:]
+UNPAIRED_FLAGS = edits.UNPAIRED_ITEM_FEATURES[edits.SCALED[evidence.UNPAIRED]:]
+
+
+@query("x23_pair_item_totals", "density:i source:s n:i " + " ".join(f"{c}:m" for c in PAIR_TOTALS) + " " + " ".join(f"{c}:i" for c in PAIR_FLAGS))
 def _(t):
-    return totals(t, evidence.PAIR, ["min_distance", "span_difference", *FLAGS])
+    return totals(t, evidence.PAIR, [*PAIR_TOTALS, *PAIR_FLAGS])
+
+
+@query("x23_unpaired_item_totals", "density:i source:s n:i min_endpoint_distance_norm:m " + " ".join(f"{c}:i" for c in UNPAIRED_FLAGS))
+def _(t):
+    return totals(t, evidence.UNPAIRED, ["min_endpoint_distance_norm", *UNPAIRED_FLAGS])
+
+
+def pooled_columns(names):
+    return " ".join(f"mean_{n}:d max_{n}:d" for n in names) + " item_count:i item_count_div_sequence_length:d e1_local_conflict:i direct_pair_support:i"
 
 
-@query("x23_unpaired_item_totals", "density:i source:s n:i min_distance:m k_is_i:i k_is_j:i k_inside:i")
+@query("l2_evidence_pooled_features", "manifest_id:s source:s i:i j:i " + pooled_columns(edits.UNPAIRED_ITEM_FEATURES))
 def _(t):
-    return totals(t, evidence.UNPAIRED, ["min_distance", "k_is_i", "k_is_j", "k_inside"])
+    return pooling.unpaired_pooled(*side(t, evidence.UNPAIRED), t.rnas)
 
 
-@query("l2_evidence_pooled_features", "rna_id:s source:s i:i j:i item_count:i mean_abs_i_k:d max_abs_i_k:d mean_min_distance:d max_min_distance:d mean_k_inside:d max_k_inside:i")
+@query("l2_pair_pooled_features", "manifest_id:s source:s i:i j:i " + pooled_columns(edits.PAIR_ITEM_FEATURES))
 def _(t):
-    candidates, features = incidence(t, evidence.UNPAIRED)
-    return edits.pooled_features(features, candidates, ["abs_i_k", "min_distance", "k_inside"])
+    return pooling.pair_pooled(*side(t, evidence.PAIR), t.rnas)
 
 
 PARTS = " ".join(f"{p}:i" for p in edits.PARTS)
