@@ -13,16 +13,13 @@ cte("dcd", """SELECT *, CASE WHEN scope='DIRECT' THEN 'KEEP' WHEN scope='LOCAL_C
 oracle("u8_corroborated_score", "SELECT * FROM dcd")
 oracle("u9_three_way_actions", "SELECT * FROM dcd")
 # fixed deletions count at every threshold, direct evidence at none: a score beyond every threshold or below all of them
-cte("dval", """SELECT rna_id, label_delete, CASE scope WHEN 'LOCAL_CONFLICT' THEN 9.0::DOUBLE WHEN 'DIRECT' THEN -9.0::DOUBLE ELSE q END AS s FROM dcd WHERE fold=1""")
-cte("dcurve", curve("dval", ("s", "label_delete")).replace(
-    "(SELECT DISTINCT s AS threshold FROM dval UNION ALL SELECT NULL)",
-    "(SELECT DISTINCT s AS threshold FROM dval WHERE s BETWEEN 0 AND 1 UNION ALL SELECT 5.0::DOUBLE)"))
-oracle("u10_policy_threshold", "SELECT CASE WHEN threshold<=1 THEN threshold END AS threshold, * EXCLUDE (threshold) FROM dcurve")
 for _k in range(5):
     cte(f"dval{_k}", f"""SELECT rna_id, label_delete, CASE scope WHEN 'LOCAL_CONFLICT' THEN 9.0::DOUBLE WHEN 'DIRECT' THEN -9.0::DOUBLE ELSE q END AS s FROM dcd WHERE fold={(_k + 1) % 5}""")
     cte(f"dcurve{_k}", curve(f"dval{_k}", ("s", "label_delete")).replace(
         f"(SELECT DISTINCT s AS threshold FROM dval{_k} UNION ALL SELECT NULL)",
         f"(SELECT DISTINCT s AS threshold FROM dval{_k} WHERE s BETWEEN 0 AND 1 UNION ALL SELECT 5.0::DOUBLE)"))
+oracle("u10_policy_threshold", " UNION ALL ".join(
+    f"SELECT {k} AS rotation, CASE WHEN threshold<=1 THEN threshold END AS threshold, * EXCLUDE (threshold) FROM dcurve{k}" for k in range(5)))
 oracle("u10_policy_selected", " UNION ALL ".join(f"""SELECT * FROM (SELECT {k} AS rotation, CASE WHEN threshold<=1 THEN threshold END AS threshold, eligible, deleted, balanced_fp_removal,
    balanced_modification_precision FROM dcurve{k} WHERE eligible=1 ORDER BY round(balanced_fp_removal,12) DESC, coalesce(round(balanced_modification_precision,12),-1) DESC, deleted,
    dcurve{k}.threshold DESC LIMIT 1)""" for k in range(5)))
@@ -89,3 +86,13 @@ oracle("p4_event_ratios", """SELECT source, x1::DOUBLE/nullif(x1+x0,0) AS modifi
    count(*) FILTER (label_delete=0) AS n0 FROM ev GROUP BY 1)""")
 oracle("p5_accounting_audit", """SELECT identity, 0 AS violations FROM (VALUES ('tp_fn_is_truth'),('tp_fp_is_prediction'),('stems_singletons_are_pairs'),('links_mirror')) v(identity)""")
 oracle("p6_runtime_summary", "SELECT event_type, count(value) AS n, sum(value) AS total, avg(value) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
+
+
+cte("zed", """SELECT (fold+4)%5 AS rotation, label_delete AS y, ln(greatest(least(risk,1-1e-7),1e-7)/(1-greatest(least(risk,1-1e-7),1e-7))) AS z FROM ev""")
+cte("newton0", "SELECT rotation, 0.0::DOUBLE AS a, ln(avg(y)/(1-avg(y))) AS b FROM zed GROUP BY 1")
+STEPS = 14
+for _k in range(STEPS):
+    cte(f"newton{_k + 1}", f"""SELECT rotation, a-(hbb*ga-hab*gb)/(haa*hbb-hab*hab) AS a, b-(haa*gb-hab*ga)/(haa*hbb-hab*hab) AS b FROM (
+      SELECT rotation, a, b, sum((p-y)*z) AS ga, sum(p-y) AS gb, sum(p*(1-p)*z*z) AS haa, sum(p*(1-p)*z) AS hab, sum(p*(1-p)) AS hbb FROM (
+      SELECT zed.*, a, b, 1/(1+exp(-(a*z+b))) AS p FROM zed JOIN newton{_k} USING (rotation)) GROUP BY 1,2,3)""")
+oracle("l3_platt_fit", f"SELECT rotation, a, b, avg(1/(1+exp(-(a*z+b)))) AS calibrated_mean FROM zed JOIN newton{STEPS} USING (rotation) GROUP BY 1,2,3")

@@ -218,12 +218,13 @@ def curve(source: str, score: str) -> str:
           (SELECT DISTINCT {score[0]} AS threshold FROM {source} UNION ALL SELECT NULL) GROUP BY 1,2) GROUP BY 1)"""
 
 
-cte("val", "SELECT * FROM ev WHERE \"partition\"='validation'")
-cte("ucurve", curve("val", ("risk", "label_delete")))
-oracle("u2_threshold_curve", "SELECT * FROM ucurve")
+for _r in range(5):
+    cte(f"val{_r}", f"SELECT * FROM ev WHERE fold={(_r + 1) % 5}")
+    cte(f"ucurve{_r}", curve(f"val{_r}", ("risk", "label_delete")))
+oracle("u2_threshold_curve", " UNION ALL ".join(f"SELECT {r} AS rotation, * FROM ucurve{r}" for r in range(5)))
 oracle("u2_item_curve", curve("item", ("score", "label")))
-oracle("u3_threshold_select", """SELECT * FROM ucurve WHERE eligible=1 ORDER BY round(balanced_fp_removal,12) DESC,
-   coalesce(round(balanced_modification_precision,12), -1) DESC, deleted, coalesce(threshold, 'inf'::DOUBLE) DESC LIMIT 1""")
+oracle("u3_threshold_select", " UNION ALL ".join(f"""SELECT * FROM (SELECT {r} AS rotation, * FROM ucurve{r} WHERE eligible=1 ORDER BY round(balanced_fp_removal,12) DESC,
+   coalesce(round(balanced_modification_precision,12), -1) DESC, deleted, coalesce(threshold, 'inf'::DOUBLE) DESC LIMIT 1)""" for r in range(5)))
 
 
 def grid(source: str, score: str, keys: str, veto: str = "true") -> str:

@@ -2,19 +2,24 @@
 
 Rows are split into ordered buckets inside each group. A window totals each bucket
 on its own, and the totals of the earlier buckets (a small table) are added back by a
-join. Bucket edges depend on the data values alone, so a recomputed task always puts
-a row into the same bucket.
+join. Bucket edges are coordinates, or quantiles that are written down first, so a
+recomputed task always puts a row into the same bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairscope.session import cut_lineage
+
 COORDINATE_BUCKET = 4096
-VALUE_BUCKETS = 64
-_SAMPLE = 2048
+#: Values of a bucket, about; buckets of one group go no finer than this many quantiles.
+BUCKET_ROWS = 1 << 16
+FINEST = 4096
 
 
 def coordinate_bucket(position: str = "i") -> Column:
@@ -22,26 +27,34 @@ def coordinate_bucket(position: str = "i") -> Column:
     return F.floor(F.col(position) / F.lit(COORDINATE_BUCKET))
 
 
-def value_buckets(df: DataFrame, value: str, bucket: str = "_bucket") -> DataFrame:
-    """Add an ordered bucket number for an arbitrary numeric column.
+def value_buckets(df: DataFrame, value: str, group: Sequence[str] = (), bucket: str = "_bucket") -> DataFrame:
+    """Add an ordered bucket number for an arbitrary numeric column inside each group.
 
-    Edges come from the rows whose value hashes lowest: a fixed-size uniform sample of the
-    distinct values that is the same on every evaluation.
+    Groups of more than ``BUCKET_ROWS`` values get as many buckets as that asks for, at quantiles of their own: mergeable
+    sketches of those groups only, written down before they are used, so a recomputed task splits in the same places.
+    Smaller groups are one bucket.
     """
-    sample = (
-        df.select(F.col(value).alias("v")).where("v IS NOT NULL")
-        .orderBy(F.xxhash64("v"), "v").limit(_SAMPLE)
-        .agg(F.array_sort(F.collect_set("v")).alias("s"))
-        .select(F.expr(
-            f"transform(sequence(1, {VALUE_BUCKETS - 1}), k -> "
-            f"get(s, cast(floor(k * size(s) / {VALUE_BUCKETS}) as int)))"
-        ).alias("edges"))
-    )
-    return (
-        df.withColumn("_edges", sample.scalar())
-        .withColumn(bucket, F.size(F.filter("_edges", lambda e: e < F.col(value))))
-        .drop("_edges")
-    )
+    group = list(group)
+    known = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    sizes = known.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET_ROWS)
+    sizes = cut_lineage(sizes.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_n"))
+    if sizes.isEmpty():
+        return df.withColumn(bucket, F.lit(0))
+
+    def same(rows: DataFrame) -> Column:
+        return reduce(and_, [rows[g].eqNullSafe(F.col(f"_g_{g}")) for g in group], F.lit(True))
+
+    ranks = F.array(*[F.lit(k / FINEST) for k in range(1, FINEST)])
+    step = F.greatest(F.floor(F.lit(FINEST) * BUCKET_ROWS / F.col("_n")), F.lit(1)).cast("int")
+    large = known.join(sizes, same(known)) if group else known.withColumn("_n", sizes.scalar())
+    keys = [f"_g_{g}" for g in group]
+    drawn = large.groupBy(*keys, "_n").agg(F.kll_sketch_agg_double("_v").alias("_s")).select(
+        *keys, step.alias("_step"), F.kll_sketch_get_quantile_double("_s", ranks).alias("_q"))
+    edges = cut_lineage(drawn.select(*keys, F.array_distinct(F.filter("_q", lambda q, k: (k + 1) % F.col("_step") == 0)).alias("_edges")))
+    # one row per large group
+    placed = df.join(edges, same(df), "left").drop(*keys) if group else df.withColumn("_edges", edges.scalar())
+    number = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))
+    return placed.withColumn(bucket, F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(number)).drop("_edges")
 
 
 def running_totals(
@@ -132,7 +145,7 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, levels: S
     """
     group = list(group)
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    ranked = running_totals(value_buckets(counts, value), group, [value], {"_upto": "_n"})
+    ranked = running_totals(value_buckets(counts, value, group), group, [value], {"_upto": "_n"})
     sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
     # one size row per group; without groups it is a scalar subquery, not a join
     sized = ranked.join(sizes, group) if group else ranked.withColumn("_size", sizes.scalar())

@@ -34,7 +34,7 @@ def binary(value: Column) -> Column:
 
 def ranking_metrics(events: DataFrame, group: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """average_precision (null without positives) and auroc (null with one class) per group."""
-    blocks = value_buckets(score_blocks(events, group, score, label), "score")
+    blocks = value_buckets(score_blocks(events, group, score, label), "score", group)
     ranked = running_totals(blocks, group, ["score"], {"cn": "n", "cp": "pos"}, descending=True)
     neg, cneg = F.col("n") - F.col("pos"), F.col("cn") - F.col("cp")
     sums = ranked.groupBy(*group).agg(

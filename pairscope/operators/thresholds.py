@@ -55,59 +55,63 @@ def deletion_utility(contexts: DataFrame, keys: Sequence[str] = ()) -> tuple[Dat
     return event, balanced
 
 
-def threshold_curve(events: DataFrame, score: str, fixed: Column | None = None, swept: Column | None = None) -> DataFrame:
-    """Utility at every distinct score, equal scores together, plus one row with a null threshold.
+def threshold_curve(events: DataFrame, score: str, fixed: Column | None = None, swept: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Utility at every distinct score of each key, equal scores together, plus one row per key with a null threshold.
 
     ``fixed`` rows are deleted at every point and ``swept`` rows (default: the others) by score. Balanced preservation
     and removal are linear, so each event carries its weight 1/(its RNA's total x number of RNAs); balanced
-    modification precision is the running sum of each RNA's change at its own score blocks.
+    modification precision is the running sum of each RNA's change at its own score blocks. Keys are groups of one plan.
     """
+    if not keys:
+        return threshold_curve(events.withColumn("_all", F.lit(0)), score, fixed, swept, ["_all"]).drop("_all")
+    keys = list(keys)
     fixed = F.lit(False) if fixed is None else fixed
     swept = ~fixed if swept is None else swept
     label = F.col("label_delete")
     zero = F.lit(None).cast("double")
-    # one row per (RNA, score); the fixed rows form a block with a null score
+    # one row per (key, RNA, score); the fixed rows form a block with a null score
     blocks = cut_lineage(
         events.withColumn("_s", F.when(swept, F.col(score).cast("double")).otherwise(zero))
-        .groupBy("rna_id", "_s").agg(
+        .groupBy(*keys, "rna_id", "_s").agg(
             F.count_if(label == 0).alias("tp"), F.count_if(label == 1).alias("fp"),
             F.count_if((label == 0) & (swept | fixed)).alias("lost"), F.count_if((label == 1) & (swept | fixed)).alias("removed"),
         ))
-    per_rna = blocks.groupBy("rna_id").agg(
+    per_rna = blocks.groupBy(*keys, "rna_id").agg(
         F.sum("tp").alias("tp_all"), F.sum("fp").alias("fp_all"),
         F.coalesce(F.sum(F.when(F.col("_s").isNull(), F.col("lost"))), F.lit(0)).alias("lost0"),
         F.coalesce(F.sum(F.when(F.col("_s").isNull(), F.col("removed"))), F.lit(0)).alias("removed0"))
     start_mp = ratio(F.col("removed0"), F.col("lost0") + F.col("removed0"))
-    totals = per_rna.agg(
+    totals = cut_lineage(per_rna.groupBy(*keys).agg(
         F.sum("tp_all").alias("tp"), F.sum("fp_all").alias("fp"), F.count_if(F.col("tp_all") > 0).alias("r_tp"),
         F.count_if(F.col("fp_all") > 0).alias("r_fp"), F.sum("lost0").alias("lost0"), F.sum("removed0").alias("removed0"),
         F.coalesce(F.sum(ratio(F.col("lost0"), F.col("tp_all"))), F.lit(0.0)).alias("wl0"),
         F.coalesce(F.sum(ratio(F.col("removed0"), F.col("fp_all"))), F.lit(0.0)).alias("wr0"),
         F.coalesce(F.sum(start_mp), F.lit(0.0)).alias("mp0"), F.count(start_mp).alias("def0"),
-    )
-    moving = value_buckets(blocks.where("_s IS NOT NULL"), "_s")
-    inside = running_totals(moving, ["rna_id"], ["_s"], {"cl": "lost", "cr": "removed"}, descending=True).join(per_rna, "rna_id")
+    ))
+    group = [*keys, "rna_id"]
+    moving = value_buckets(blocks.where("_s IS NOT NULL"), "_s", group)
+    inside = running_totals(moving, group, ["_s"], {"cl": "lost", "cr": "removed"}, descending=True).join(per_rna, group)
     now_l, now_r = F.col("cl") + F.col("lost0"), F.col("cr") + F.col("removed0")
     was = ratio(now_r - F.col("removed"), now_l + now_r - F.col("lost") - F.col("removed"))
-    by_score = inside.groupBy("_s").agg(
+    by_score = cut_lineage(inside.groupBy(*keys, "_s").agg(
         F.sum("lost").alias("lost"), F.sum("removed").alias("removed"),
         F.coalesce(F.sum(ratio(F.col("lost"), F.col("tp_all"))), F.lit(0.0)).alias("wl"),
         F.coalesce(F.sum(ratio(F.col("removed"), F.col("fp_all"))), F.lit(0.0)).alias("wr"),
         F.sum(ratio(now_r, now_l + now_r) - F.coalesce(was, F.lit(0.0))).alias("dmp"),
-        F.count_if(was.isNull()).alias("ddef"))
+        F.count_if(was.isNull()).alias("ddef")))
     curve = running_totals(
-        value_buckets(by_score, "_s"), [], ["_s"],
+        value_buckets(by_score, "_s", keys), keys, ["_s"],
         {"k_lost": "lost", "k_removed": "removed", "k_wl": "wl", "k_wr": "wr", "k_mp": "dmp", "k_def": "ddef"}, descending=True)
     names = ["k_lost", "k_removed", "k_wl", "k_wr", "k_mp", "k_def"]
-    points = curve.select(F.col("_s").alias("threshold"), *names).unionByName(
-        totals.select(F.lit(None).cast("double").alias("threshold"), *[F.lit(0).cast("double").alias(n) if n in ("k_wl", "k_wr", "k_mp")
-                                                                   else F.lit(0).cast("bigint").alias(n) for n in names]))
-    T = points.withColumn("t", totals.select(F.struct("*")).scalar())
+    points = curve.select(*keys, F.col("_s").alias("threshold"), *names).unionByName(
+        totals.select(*keys, F.lit(None).cast("double").alias("threshold"), *[F.lit(0).cast("double").alias(n) if n in ("k_wl", "k_wr", "k_mp")
+                                                                          else F.lit(0).cast("bigint").alias(n) for n in names]))
+    T = points.join(totals.select(*keys, F.struct(*[c for c in totals.columns if c not in keys]).alias("t")), keys)
     lost, removed = F.col("k_lost") + F.col("t.lost0"), F.col("k_removed") + F.col("t.removed0")
     balanced_tp = 1 - ratio(F.col("k_wl") + F.col("t.wl0"), F.col("t.r_tp"))
     event_tp = 1 - ratio(lost, F.col("t.tp"))
     return T.select(
-        "threshold", event_tp.alias("event_tp_preservation"), ratio(removed, F.col("t.fp")).alias("event_fp_removal"),
+        *keys, "threshold", event_tp.alias("event_tp_preservation"), ratio(removed, F.col("t.fp")).alias("event_fp_removal"),
         ratio(removed, lost + removed).alias("event_modification_precision"), (lost + removed).alias("deleted"),
         balanced_tp.alias("balanced_tp_preservation"),
         ratio(F.col("k_wr") + F.col("t.wr0"), F.col("t.r_fp")).alias("balanced_fp_removal"),
@@ -117,13 +121,14 @@ def threshold_curve(events: DataFrame, score: str, fixed: Column | None = None,
         & (F.round("balanced_tp_preservation", 12) >= MINIMUM_PRESERVATION)).cast("int"))
 
 
-def threshold_select(curve: DataFrame) -> DataFrame:
-    """The eligible point with most balanced removal, then precision (null lowest), fewer deletions, higher threshold."""
+def threshold_select(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key the eligible point with most balanced removal, then precision (null lowest), fewer deletions, higher threshold."""
     key = F.struct(
         F.round("balanced_fp_removal", 12),
         F.coalesce(F.round("balanced_modification_precision", 12), F.lit(float("-inf"))),
         -F.col("deleted"), F.coalesce("threshold", F.lit(float("inf"))))
-    return curve.where("eligible = 1").agg(F.max_by(F.struct(*curve.columns), key).alias("p")).select("p.*")
+    rest = [c for c in curve.columns if c not in keys]
+    return curve.where("eligible = 1").groupBy(*keys).agg(F.max_by(F.struct(*rest), key).alias("p")).select(*keys, "p.*")
 
 
 def grid_points(events: DataFrame, score: str, keys: Sequence[str] = (), veto: Column | None = None, label: str = "label_delete") -> DataFrame:

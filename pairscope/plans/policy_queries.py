@@ -6,7 +6,7 @@ from pairscope.operators import errors, grouping, learn, metrics, policy, report
 from pairscope.operators.metrics import PAIR, RECORD
 from pairscope.plans.catalog import query
 from pairscope.plans.evidence_queries import Setup
-from pairscope.session import cut_lineage
+from pairscope.sources.derived import SOURCES
 
 
 def decided(t):
@@ -29,20 +29,25 @@ def _(t):
     return decided(t)
 
 
+def validated(t):
+    """Decided rows with the rotation whose validation fold they are in."""
+    return decided(t).withColumn("rotation", VALIDATED)
+
+
+#: A fold is the validation part of the rotation before it.
+VALIDATED = (F.col("fold") + learn.FOLDS - 1) % learn.FOLDS
+
+
 @query("u10_policy_threshold",
-       "threshold:d eligible:i event_tp_preservation:d event_fp_removal:d event_modification_precision:d deleted:i "
+       "rotation:i threshold:d eligible:i event_tp_preservation:d event_fp_removal:d event_modification_precision:d deleted:i "
        "balanced_tp_preservation:d balanced_fp_removal:d balanced_modification_precision:d")
 def _(t):
-    return policy.policy_curve(decided(t).where("fold = 1"), "q")
+    return policy.policy_curve(validated(t), "q", ["rotation"])
 
 
 @query("u10_policy_selected", "rotation:i threshold:d eligible:i deleted:i balanced_fp_removal:d balanced_modification_precision:d")
 def _(t):
-    rows, out = cut_lineage(decided(t).select("rna_id", "fold", "scope", "q", "label_delete")), None
-    for rotation in range(5):
-        part = policy.policy_threshold(rows.where(F.col("fold") == (rotation + 1) % 5), "q").withColumn("rotation", F.lit(rotation))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return policy.policy_threshold(validated(t), "q", ["rotation"])
 
 
 @query("u11_action_accounting", "channel:s source:s keep:i delete:i abstain:i total:i outside_deletes:i outside_fraction:d tp_preservation:d "
@@ -103,19 +108,18 @@ def _(t):
     return policy.masked(decided(t), ["exact", "local"]).groupBy("scope").agg(F.count("*").alias("n"), F.sum("exact").alias("exact"))
 
 
-@query("l1_fit_delete_risk", "rna_id:s source:s i:i j:i p_delete:d")
+@query("l1_fit_delete_risk", "variant:s rotation:i rna_id:s source:s i:i j:i p_delete:d")
 def _(t):
     from pairscope.plans.score_queries import labelled
-    rows = labelled(t)
-    return learn.fit_delete_risk(rows.where("`partition` = 'train'"), rows.where("`partition` = 'test'"),
-                                 ["support", "raw_separation", "strict_stem_length", "singleton_flag"])
+    return learn.fit_delete_risk(labelled(t), ["support", "raw_separation", "strict_stem_length", "singleton_flag"], SOURCES)
 
 
-@query("l3_platt_fit", "a:d b:d calibrated_mean:d")
+@query("l3_platt_fit", "rotation:i a:m b:m calibrated_mean:m")
 def _(t):
-    rows = t.pair_events.where("`partition` = 'validation'").withColumn("z", policy.clipped_logit(F.col("risk")))
-    a, b = learn.platt_fit(rows, "z", "label_delete")
-    return rows.agg(F.avg(policy.platt_apply(F.col("z"), F.lit(a), F.lit(b))).alias("calibrated_mean")).withColumns({"a": F.lit(a), "b": F.lit(b)})
+    rows = t.pair_events.withColumns({"z": policy.clipped_logit(F.col("risk")), "rotation": VALIDATED})
+    fitted = learn.platt_fit(rows, "z", "label_delete", ["rotation"])
+    return rows.join(fitted, "rotation").groupBy("rotation", "a", "b").agg(
+        F.avg(policy.platt_apply(F.col("z"), F.col("a"), F.col("b"))).alias("calibrated_mean"))
 
 
 def mutated(t):

@@ -190,9 +190,14 @@ CURVE = ("threshold:d eligible:i event_tp_preservation:d event_fp_removal:d even
          "balanced_tp_preservation:d balanced_fp_removal:d balanced_modification_precision:d")
 
 
-@query("u2_threshold_curve", CURVE)
+def validated(t):
+    """Scored pairs with the rotation whose validation fold they are in: the fold after the rotation's test fold."""
+    return t.pair_events.withColumn("rotation", (F.col("fold") + 4) % 5)
+
+
+@query("u2_threshold_curve", "rotation:i " + CURVE)
 def _(t):
-    return thresholds.threshold_curve(t.pair_events.where("`partition` = 'validation'"), "risk")
+    return thresholds.threshold_curve(validated(t), "risk", keys=["rotation"])
 
 
 @query("u2_item_curve", CURVE)
@@ -200,9 +205,9 @@ def _(t):
     return thresholds.threshold_curve(t.item_events.withColumnRenamed("label", "label_delete"), "score")
 
 
-@query("u3_threshold_select", CURVE)
+@query("u3_threshold_select", "rotation:i " + CURVE)
 def _(t):
-    return thresholds.threshold_select(thresholds.threshold_curve(t.pair_events.where("`partition` = 'validation'"), "risk"))
+    return thresholds.threshold_select(thresholds.threshold_curve(validated(t), "risk", keys=["rotation"]), ["rotation"])
 
 
 @query("u4_grid_threshold_select", "threshold:d f1:d deleted:i tp_preservation:d")
