@@ -83,7 +83,7 @@ oracle("x18_constraint_satisfaction", """SELECT rna_id, count(*) AS n, 'ILLEGAL_
    UNION ALL SELECT DISTINCT rna_id, 1, 'PAIRED_FORCED_UNPAIRED' FROM rf WHERE i=9 OR j=9
    UNION ALL SELECT DISTINCT rna_id, 1, 'CROSSING_OUTPUT' FROM pcross WHERE source='src_b'""")
 oracle("x19_local_conflict_risk", 'SELECT * FROM scoped')
-oracle("x20_disagreement_risk", "SELECT p.*, CASE WHEN o.i IS NULL THEN 1 ELSE 0 END AS risk FROM pred p LEFT JOIN rf o USING (rna_id, i, j)")
+oracle("x20_disagreement_risk", "SELECT rna_id, source, i, j, 1-max(CASE WHEN source='src_b' THEN 1 ELSE 0 END) OVER (PARTITION BY rna_id, i, j) AS risk FROM pred")
 oracle("x21_evidence_scope", """SELECT channel, density, seed, source, scope, count(*) AS n FROM (SELECT m.channel, m.density, m.seed, p.source,
    CASE WHEN x.i IS NOT NULL THEN 'DIRECT' WHEN t.e IS NOT NULL OR u.e IS NOT NULL THEN 'LOCAL_CONFLICT' ELSE 'NON_EVIDENCED' END AS scope
    FROM man m JOIN pred p ON p.rna_id=m.rna_id LEFT JOIN items x ON x.manifest_id=m.manifest_id AND x.i=p.i AND x.j=p.j
@@ -130,14 +130,21 @@ cte("dec", f"SELECT condition, manifest_id, rna_id, source, {_p} FROM flags GROU
 oracle("x24_edit_decomposition", "SELECT * FROM dec")
 oracle("x25_edit_counts", f"""SELECT condition, source, removed_fp AS beneficial_deletions, lost_tp AS harmful_deletions, new_tp AS beneficial_insertions, new_fp AS harmful_insertions,
    removed_fp+new_tp AS beneficial_edits, lost_tp+new_fp AS harmful_edits, deleted+added AS modified FROM (SELECT condition, source, {_p} FROM flags GROUP BY 1,2)""")
-oracle("x26_evidence_compliance", """SELECT channel, source, count(*) AS items, sum(b) AS before, sum(a) AS after, count(*) FILTER (b=0 AND a=1) AS recovered FROM (
+cte("xcomp", """SELECT q.channel AS channel, q.source AS source, count(*) AS items, sum(b) AS before, sum(a) AS after, count(*) FILTER (b=0 AND a=1) AS rec FROM (
    SELECT n.channel, src.source, CASE WHEN EXISTS (SELECT 1 FROM pred p WHERE p.rna_id=n.rna_id AND p.source=src.source AND p.i=n.i AND p.j=n.j) THEN 1 ELSE 0 END AS b,
      CASE WHEN EXISTS (SELECT 1 FROM res r WHERE r.condition='PAIR_HARD_ENFORCE' AND r.manifest_id=n.manifest_id AND r.source=src.source AND r.i=n.i AND r.j=n.j) THEN 1 ELSE 0 END AS a
    FROM nitems n CROSS JOIN src WHERE n.channel='positive_pair'
    UNION ALL SELECT n.channel, src.source, CASE WHEN EXISTS (SELECT 1 FROM pend p WHERE p.rna_id=n.rna_id AND p.source=src.source AND p.e=n.i) THEN 0 ELSE 1 END,
      CASE WHEN EXISTS (SELECT 1 FROM (SELECT manifest_id, source, i AS e FROM res WHERE condition='UNPAIRED_HARD_DELETE' UNION ALL SELECT manifest_id, source, j FROM res WHERE condition='UNPAIRED_HARD_DELETE') r
        WHERE r.manifest_id=n.manifest_id AND r.source=src.source AND r.e=n.i) THEN 0 ELSE 1 END
-   FROM nitems n CROSS JOIN src WHERE n.channel='unpaired') GROUP BY 1,2""")
+   FROM nitems n CROSS JOIN src WHERE n.channel='unpaired') q GROUP BY 1,2""")
+# original pairs that share an end with the evidence without being evidence, and those that the hard condition's result lacks
+cte("xconf", """SELECT s.channel AS channel, s.source AS source, count(*) AS cb, count(*) FILTER (NOT EXISTS (SELECT 1 FROM res r WHERE r.condition IN ('PAIR_HARD_ENFORCE','UNPAIRED_HARD_DELETE')
+     AND r.manifest_id=s.manifest_id AND r.source=s.source AND r.i=s.i AND r.j=s.j)) AS cr FROM scoped s WHERE "local"=1 GROUP BY 1,2""")
+oracle("x26_evidence_compliance", """SELECT channel, source, items, before, after, before::DOUBLE/items AS compliance_before, after::DOUBLE/items AS compliance_after,
+   CASE WHEN channel='unpaired' THEN 0 ELSE rec END AS recovered, CASE WHEN channel='unpaired' THEN 0 ELSE rec END AS inserted,
+   CASE WHEN channel='unpaired' THEN before ELSE 0 END AS already_unpaired, coalesce(cb,0) AS conflicts_before, coalesce(cr,0) AS conflicts_removed,
+   cr::DOUBLE/nullif(cb,0) AS correction_rate FROM xcomp LEFT JOIN xconf USING (channel, source)""")
 
 
 def f1(tp: str, fp: str, fn: str) -> str:

@@ -46,17 +46,42 @@ oracle("u13_evidence_efficiency", f"""SELECT * FROM (SELECT channel, density, it
    JOIN (SELECT channel, density, avg(removed::DOUBLE/nullif(items,0)) AS rna_removed_per_item, count(removed::DOUBLE/nullif(items,0)) AS rna_removed_per_item_defined,
      avg(delta_f1/nullif(items,0)) AS rna_delta_f1_per_item, count(delta_f1/nullif(items,0)) AS rna_delta_f1_per_item_defined
      FROM ({util('channel, density, rna_id', ', sum(items) AS items', 'dctx', 'channel, density, rna_id')}) GROUP BY 1,2) USING (channel, density)""")
-oracle("u17_marginal_breakdown", """SELECT source, count(*) AS n, count(*) FILTER (a AND NOT b AND label_delete=1) AS only_a_removed, count(*) FILTER (a AND NOT b AND label_delete=0) AS only_a_lost,
-   count(*) FILTER (b AND NOT a AND label_delete=1) AS only_b_removed, count(*) FILTER (b AND NOT a AND label_delete=0) AS only_b_lost
-   FROM (SELECT *, "action"='DELETE' AS a, risk>=0.6 AS b FROM dcd) GROUP BY 1""")
+_bin = lambda v, bins, op="<": "CASE " + " ".join(f"WHEN {v}{op}{x} THEN '{n}'" for x, n in bins[:-1]) + f" ELSE '{bins[-1][1]}' END"
+_alone = "CASE WHEN k=1 THEN 'SINGLETON' {rest} END"
+_dims = {
+    "scope": "scope", "source_all_scopes": "source", "channel_all_scopes": "channel", "source_channel_all_scopes": "source||'|'||channel", "source": "source", "channel": "channel",
+    "evidence_density": "CAST(density AS VARCHAR)",
+    "sequence_separation": _bin("(j-i)", ((9, "04-09"), (19, "10-19"), (49, "20-49"), (99, "50-99"), (0, "100+")), "<="),
+    "stem_position": "CASE WHEN k=1 THEN 'SINGLETON' ELSE " + _bin("(pos::DOUBLE/(k-1))", ((0.25, "[0.00,0.25)"), (0.5, "[0.25,0.50)"), (0.75, "[0.50,0.75)"), (0, "[0.75,1.00]"))) + " END",
+    "boundary_status": "CASE WHEN k=1 THEN 'SINGLETON' WHEN pos=0 THEN 'OUTER_BOUNDARY' WHEN pos=k-1 THEN 'INNER_BOUNDARY' ELSE 'STEM_INTERIOR' END",
+    "pair_type": "pair_type", "p2_agreement": "support||'_of_2_other_sources'",
+    "p4_bpp_risk": _bin("risk", ((0.1, "[0.00,0.10)"), (0.25, "[0.10,0.25)"), (0.5, "[0.25,0.50)"), (0.75, "[0.50,0.75)"), (0, "[0.75,1.00]"))),
+    "calibrated_risk": _bin("floor(\"other\"*10)", tuple((k, f"[{(k - 1) / 10:.1f},{k / 10:.1f})") for k in range(1, 10)) + ((0, "[0.9,1.0]"),)),
+    "risk_difference": _bin("(\"other\"-risk)", ((-0.25, "[-1.00,-0.25)"), (-0.1, "[-0.25,-0.10)"), (-0.02, "[-0.10,-0.02)"), (0.02, "[-0.02,0.02)"), (0.1, "[0.02,0.10)"),
+                                              (0.25, "[0.10,0.25)"), (0, "[0.25,1.00]")))}
+cte("dfull", """SELECT d.*, t.n AS k, t.pos, t.pair_type, t.support, "action"='DELETE' AS a, d.risk>=0.6 AS b FROM dcd d
+   JOIN (SELECT rna_id, source, i, j, n, pos, pair_type, support FROM lab) t USING (rna_id, source, i, j)""")
+cte("dstrata", " UNION ALL ".join(f"SELECT '{n}' AS dimension, {x} AS stratum, label_delete=1 AS f, a, b FROM dfull" + ("" if n.endswith("scopes") or n == "scope" else " WHERE scope='NON_EVIDENCED'")
+                                for n, x in _dims.items()))
+_hits = {"removed_a": "f AND a", "removed_b": "f AND b", "lost_a": "NOT f AND a", "lost_b": "NOT f AND b", "only_a_removed": "f AND a AND NOT b", "only_b_removed": "f AND b AND NOT a",
+         "only_a_lost": "NOT f AND a AND NOT b", "only_b_lost": "NOT f AND b AND NOT a"}
+oracle("u17_marginal_breakdown", f"""SELECT *, n/5.0::DOUBLE AS mean_n, {', '.join(f'{n}/5.0::DOUBLE AS mean_{n}' for n in _hits)}, removed_a-removed_b AS delta_removed, lost_a-lost_b AS delta_lost,
+   {', '.join(f"1-lost_{x}::DOUBLE/nullif(tp,0) AS tp_preservation_{x}, removed_{x}::DOUBLE/nullif(fp,0) AS fp_removal_{x}, removed_{x}::DOUBLE/nullif(removed_{x}+lost_{x},0) AS modification_precision_{x}" for x in 'ab')}
+   FROM (SELECT dimension, stratum, count(*) AS n, count(*) FILTER (NOT f) AS tp, count(*) FILTER (f) AS fp, {', '.join(f'count(*) FILTER ({x}) AS {n}' for n, x in _hits.items())} FROM dstrata GROUP BY 1,2)""")
 cte("dgrp", """SELECT g, channel, s, f, 1-count(*) FILTER (label_delete=0 AND "action"='DELETE')::DOUBLE/nullif(count(*) FILTER (label_delete=0),0) AS p FROM (
    SELECT 3 AS g, NULL AS s, NULL AS f, * FROM dcd UNION ALL SELECT 1, seed, NULL, * FROM dcd UNION ALL SELECT 2, NULL, fold, * FROM dcd UNION ALL SELECT 0, seed, fold, * FROM dcd) GROUP BY 1,2,3,4""")
 oracle("u18_channel_stability", """SELECT g AS "grouping", count(*) AS strata, avg(a) AS positive_pair, avg(b) AS unpaired, count(*) FILTER (a>b) AS pair_wins, count(*) FILTER (b>a) AS unpaired_wins
    FROM (SELECT g, s, f, max(p) FILTER (channel='positive_pair') AS a, max(p) FILTER (channel='unpaired') AS b FROM dgrp GROUP BY 1,2,3) GROUP BY 1""")
-oracle("u20_pareto_compare", """SELECT source AS stratum, baseline, tp_preservation, fp_removal, CASE WHEN EXISTS (SELECT 1 FROM basel o WHERE o.source=b.source
-   AND o.tp_preservation>=b.tp_preservation AND o.fp_removal>=b.fp_removal AND (o.tp_preservation>b.tp_preservation OR o.fp_removal>b.fp_removal)) THEN 0 ELSE 1 END AS front FROM basel b""")
-oracle("u23_gain_retention", """SELECT stratum, p-m AS gain, (p-m)/nullif(s-m,0) AS retention FROM (SELECT channel AS stratum, avg(("action"='DELETE')::INT) AS p, avg((q>=0.5)::INT) AS m,
-   avg((risk>=0.5 OR scope='LOCAL_CONFLICT')::INT) AS s FROM dcd WHERE label_delete=1 GROUP BY 1)""")
+cte("bpar", """SELECT source AS stratum, 'event' AS weighting, baseline, tp_preservation, fp_removal FROM bsrc UNION ALL
+   SELECT source, 'rna', baseline, rna_tp_preservation, rna_fp_removal FROM bsrc""")
+oracle("u20_pareto_compare", """SELECT *, min(front) OVER (PARTITION BY stratum, baseline) AS front_both FROM (
+   SELECT *, CASE WHEN EXISTS (SELECT 1 FROM bpar o WHERE o.stratum=b.stratum AND o.weighting=b.weighting AND o.tp_preservation>=b.tp_preservation AND o.fp_removal>=b.fp_removal
+     AND (o.tp_preservation>b.tp_preservation OR o.fp_removal>b.fp_removal)) THEN 0 ELSE 1 END AS front FROM bpar b)""")
+cte("dtrack", """SELECT track, rna_id, avg(("action"='DELETE')::INT) AS p, avg((q>=0.5)::INT) AS m, avg((risk>=0.5 OR scope='LOCAL_CONFLICT')::INT) AS s, count(*) AS n
+   FROM (SELECT channel AS track, * FROM dcd UNION ALL SELECT 'combined', * FROM dcd) WHERE label_delete=1 GROUP BY 1,2""")
+oracle("u23_gain_retention", """SELECT track, weighting, p-m AS gain, (p-m)/nullif(s-m,0) AS retention FROM (
+   SELECT track, 'event' AS weighting, sum(p*n)/sum(n) AS p, sum(m*n)/sum(n) AS m, sum(s*n)/sum(n) AS s FROM dtrack GROUP BY 1
+   UNION ALL SELECT track, 'rna', avg(p), avg(m), avg(s) FROM dtrack GROUP BY 1)""")
 _z = "1.5::DOUBLE*ln(greatest(least(risk,1-1e-7::DOUBLE),1e-7::DOUBLE)/(1-greatest(least(risk,1-1e-7::DOUBLE),1e-7::DOUBLE)))-0.25::DOUBLE"
 oracle("l4_platt_apply", f"SELECT rna_id, source, i, j, 1/(1+exp(-({_z}))) AS p, 1/(1+exp(-((ln(0.6::DOUBLE/(1-0.6::DOUBLE))+0.25::DOUBLE)/1.5::DOUBLE))) AS raw_cutoff FROM ev")
 oracle("l5_masked_control", "SELECT 'NON_EVIDENCED' AS scope, count(*) AS n, 0 AS exact FROM dcd")

@@ -169,7 +169,7 @@ oracle("m6_prevalence_baseline", """SELECT rotation, stratum, n_test, p AS const
      WHERE e.fold=r.rotation) JOIN
    (SELECT r.rotation, stratum, avg(label_delete) AS p FROM range(0,5) r(rotation), (SELECT source AS stratum, fold, label_delete FROM ev UNION ALL SELECT 'ALL', fold, label_delete FROM ev) e
      WHERE fold<>rotation AND fold<>(rotation+1)%5 GROUP BY 1,2) tr USING (rotation, stratum) GROUP BY 1,2)""")
-oracle("m7_bpp_risk", "SELECT p.*, 1-(1-e.risk) AS risk FROM pred p LEFT JOIN (SELECT rna_id, i, j, risk FROM ev WHERE source='src_a') e USING (rna_id, i, j)")
+oracle("m7_bpp_risk", "SELECT rna_id, source, i, j, 1-(1-max(CASE WHEN source='src_a' THEN risk END) OVER (PARTITION BY rna_id, i, j)) AS risk FROM ev")
 cte("doc", """SELECT l.doc_id, d.lang AS source, l.toxic AS label_delete, (d.n_chars%1000)/1000.0::DOUBLE AS score FROM labels l JOIN documents d USING (doc_id)""")
 
 
@@ -247,8 +247,9 @@ oracle("u4_grid_points", grid("doc", "score", "source"))
 cte("gsrc", gsel(grid("ev", "risk", "source"), "source"))
 oracle("u5_source_conditional_thresholds", "SELECT *, (SELECT min(CASE WHEN threshold IS NULL THEN 0 ELSE 1 END) FROM gsrc) AS deployable FROM gsrc")
 oracle("u6_apply_threshold", "SELECT source, threshold, count(*) AS n, count(*) FILTER (risk>=threshold) AS deleted FROM ev JOIN gsrc USING (source) GROUP BY 1,2")
-oracle("u7_consensus_veto", """SELECT source, count(*) FILTER (risk>=0.5 AND support=2) AS vetoed, count(*) FILTER (risk>=0.5 AND support<2) AS deleted,
-   count(*) FILTER (risk>=0.5 AND support<2 AND label_delete=0) AS harmful FROM evs GROUP BY 1""")
+oracle("u7_consensus_veto", """SELECT source, rule, count(*) FILTER (x) AS deleted, count(*) FILTER (x AND label_delete=0) AS harmful, count(*) FILTER (risk>=0.5 AND NOT x) AS vetoed
+   FROM (SELECT *, CASE rule WHEN 'score' THEN risk>=0.5 WHEN 'zero_support' THEN support=0 ELSE risk>=0.5 AND support<2 END AS x
+   FROM evs, (VALUES ('score'),('consensus_veto'),('zero_support')) v(rule)) GROUP BY 1,2""")
 oracle("u7_recalibrated_veto", gsel(grid("evs", "risk", "", "support<2"), ""))
 cte("ctx6", """SELECT rna_id, source, count(*) FILTER (label_delete=0) AS tp, count(*) FILTER (label_delete=1) AS fp,
    max(gt_pair_count)-count(*) FILTER (label_delete=0) AS fn, count(*) FILTER (label_delete=0 AND risk>=0.6) AS lost,
@@ -266,15 +267,36 @@ oracle("u15_paired_conditions", """SELECT a.condition, count(*) AS pairs, avg(a.
 _dist = "count(*) AS runs, avg(m) AS mean, stddev_pop(m) AS std, quantile_cont(m,0.5) AS median, min(m) AS min, max(m) AS max"
 oracle("u16_run_distribution", f"SELECT condition, {_dist} FROM (SELECT condition, fold, avg(f1) AS m FROM runs GROUP BY 1,2) GROUP BY 1")
 oracle("u16_order_distribution", f"""SELECT priority, {_dist} FROM (SELECT o_orderpriority AS priority, o_orderstatus, avg(o_totalprice/100000.0) AS m FROM orders GROUP BY 1,2) GROUP BY 1""")
-cte("basel", """SELECT source, baseline, lost+removed AS deleted, removed::DOUBLE/fp AS fp_removal, 1-lost::DOUBLE/tp AS tp_preservation,
-   CASE WHEN lost+removed>0 THEN removed::DOUBLE/(lost+removed) ELSE -1 END AS mp FROM (
-   SELECT source, baseline, count(*) FILTER (label_delete=0) AS tp, count(*) FILTER (label_delete=1) AS fp, count(*) FILTER (x AND label_delete=0) AS lost,
-     count(*) FILTER (x AND label_delete=1) AS removed FROM (SELECT *, CASE baseline WHEN 'risk_high' THEN risk>=0.7 WHEN 'risk_low' THEN risk>=0.45
-       WHEN 'no_support' THEN support=0 ELSE support<2 END AS x FROM evs, (VALUES ('risk_high'),('risk_low'),('no_support'),('weak_support')) v(baseline)) GROUP BY 1,2)""")
-oracle("u19_strongest_baseline", """SELECT source, baseline, fp_removal, k AS eligible_baselines FROM (SELECT *, count(*) OVER (PARTITION BY source) AS k,
-   row_number() OVER (PARTITION BY source ORDER BY fp_removal DESC, mp DESC, deleted, baseline DESC) AS rn FROM basel WHERE tp_preservation>=0.5) WHERE rn=1""")
+cte("bev", """SELECT *, CASE WHEN baseline LIKE 'risk%' THEN risk ELSE (2-support)/2.0::DOUBLE END AS bscore, CASE baseline WHEN 'risk_high' THEN risk>=0.7 WHEN 'risk_low' THEN risk>=0.45
+   WHEN 'no_support' THEN support=0 ELSE support<2 END AS x, baseline||'/'||rna_id AS brna FROM evs, (VALUES ('risk_high'),('risk_low'),('no_support'),('weak_support')) v(baseline)""")
+cte("bctx", """SELECT baseline, source, rna_id, count(*) FILTER (label_delete=0) AS tp0, count(*) FILTER (label_delete=1) AS fp0, max(gt_pair_count)-count(*) FILTER (label_delete=0) AS fn0,
+   count(*) FILTER (label_delete=0 AND x) AS lost, count(*) FILTER (label_delete=1 AND x) AS removed FROM bev GROUP BY 1,2,3""")
+
+
+def _weighted(keys: str) -> str:
+    """Event ratios and means over RNAs of their ratios, per key."""
+    means = ", ".join(f"avg({m}) AS rna_{m}" for m in ("tp_preservation", "fp_removal", "modification_precision", "delta_f1"))
+    return f"""SELECT * FROM (SELECT {keys}, tp_preservation, fp_removal, lost+removed AS deleted FROM ({util(keys, '', 'bctx', keys)}))
+      JOIN (SELECT {keys}, {means} FROM ({util(keys + ', rna_id', '', 'bctx', keys + ', rna_id')}) GROUP BY {keys}) USING ({keys})"""
+
+
+cte("ball", _weighted("baseline"))
+cte("bsrc", _weighted("baseline, source"))
+cte("bap", f"SELECT split_part(grp,'/',1) AS baseline, avg(average_precision) AS rna_average_precision FROM ({ranking('bev', 'bscore', 'label_delete', 'brna')}) GROUP BY 1")
+_enough = "round(tp_preservation,12)>=0.99 AND round(rna_tp_preservation,12)>=0.99"
+oracle("u19_strongest_baseline", f"""SELECT b.*, CASE WHEN b.baseline IS NULL THEN 'NO_HIGH_PRESERVATION_ELIGIBLE_BASELINE' ELSE 'SELECTED' END AS status,
+   CASE WHEN b.unsafe OR b.signs>1 THEN 'SOURCE_DEPENDENT_COMPARATOR' WHEN b.baseline IS NOT NULL THEN 'NO_SOURCE_SAFETY_FAILURE_AT_0.99' END AS source_dependence
+   FROM (SELECT 1) one LEFT JOIN (SELECT a.*, p.rna_average_precision, count(*) OVER () AS eligible_baselines, s.unsafe, s.signs FROM ball a JOIN bap p USING (baseline)
+     JOIN (SELECT baseline, bool_or(NOT ({_enough})) AS unsafe, count(DISTINCT rna_delta_f1>0) AS signs FROM bsrc GROUP BY 1) s USING (baseline) WHERE {_enough}
+     ORDER BY round(rna_fp_removal,12) DESC, coalesce(round(rna_modification_precision,12),'-inf'::DOUBLE) DESC, coalesce(round(rna_average_precision,12),'-inf'::DOUBLE) DESC, deleted, baseline LIMIT 1) b ON true""")
 oracle("u21_edits_by_support", """SELECT *, beneficial::DOUBLE/deletions AS precision, harmful::DOUBLE/nullif(sum(harmful) OVER (PARTITION BY stratum),0) AS harm_share,
    beneficial::DOUBLE/nullif(sum(beneficial) OVER (PARTITION BY stratum),0) AS benefit_share FROM (
    SELECT stratum, support, count(*) AS deletions, sum(label_delete) AS beneficial, count(*)-sum(label_delete) AS harmful
    FROM (SELECT source AS stratum, * FROM evs UNION ALL SELECT 'ALL', * FROM evs) WHERE risk>=0.5 GROUP BY 1,2)""")
-oracle("u22_deployability", f"SELECT source, count(*) AS runs, count(threshold) AS usable FROM ({gsel(grid('ev', 'risk', 'source, fold'), 'source, fold')}) GROUP BY 1")
+cte("mods", "SELECT * FROM evs, (VALUES ('score'),('score_with_veto')) v(model)")
+_veto = "(model='score' OR support<2)"
+cte("gall", gsel(grid("mods", "risk", "model, fold", _veto), "model, fold"))
+cte("gone", gsel(grid("mods", "risk", "model, fold, source", _veto), "model, fold, source"))
+oracle("u22_deployability", """SELECT model, scope, count(*) AS runs, sum(ok) AS usable FROM (
+   SELECT model, 'GLOBAL' AS scope, (threshold IS NOT NULL)::INT AS ok FROM gall UNION ALL SELECT model, source, (threshold IS NOT NULL)::INT FROM gone
+   UNION ALL SELECT model, 'ALL_SOURCES', min((threshold IS NOT NULL)::INT) FROM gone GROUP BY model, fold) GROUP BY 1,2""")

@@ -187,6 +187,13 @@ def _incidence(candidates: DataFrame, items: DataFrame, lengths: DataFrame) -> D
     return left.join(right, ["manifest_id", "salt"])
 
 
+def conflict_correction(scoped: DataFrame, result: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: original pairs in local conflict with the evidence, and how many of them the result no longer has."""
+    on = ["manifest_id", "source", *PAIR]
+    rows = scoped.where("scope = 'LOCAL_CONFLICT'").join(result.select(*on, F.lit(1).alias("_r")).distinct(), on, "left")
+    return rows.groupBy(*keys).agg(F.count("*").alias("conflicts_before"), F.count_if(F.col("_r").isNull()).alias("conflicts_removed"))
+
+
 def summarize_conditions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Micro and macro F1 before and after, with edit totals."""
     sums = rows.groupBy(*keys).agg(

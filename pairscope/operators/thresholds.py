@@ -179,6 +179,11 @@ def consensus_veto(score: Column, threshold: Column, support: Column) -> Column:
     return F.coalesce((score >= threshold) & (support < 2), F.lit(False))
 
 
+def zero_support(support: Column) -> Column:
+    """DELETE where no other source agrees."""
+    return F.coalesce(support == 0, F.lit(False))
+
+
 def structure_effect(events: DataFrame, deleted: Column, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Before/after macro and micro F1 (exact convention), delete recall, preservation and modified RNAs."""
     contexts = context_counts(events, deleted, ["rna_id", *keys])
@@ -211,13 +216,27 @@ def run_distribution(runs: DataFrame, keys: Sequence[str], run: str, metric: str
         F.percentile("m", 0.5).alias("median"), F.min("m").alias("min"), F.max("m").alias("max"))
 
 
-def strongest_baseline(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Eligible baseline with most removal, then precision, average precision, fewer deletions, name."""
-    key = F.struct(F.col("fp_removal"), F.coalesce("modification_precision", F.lit(-1.0)),
-                   F.coalesce("average_precision", F.lit(-1.0)), -F.col("deleted"), F.col("baseline"))
-    return rows.where("eligible = 1").groupBy(*keys).agg(
-        F.max_by("baseline", key).alias("baseline"), F.max("fp_removal").alias("fp_removal"),
-        F.count("*").alias("eligible_baselines"))
+def strongest_baseline(overall: DataFrame, by_source: DataFrame) -> DataFrame:
+    """The eligible baseline with most RNA-balanced removal, then precision, then average precision (nulls lowest), fewer deletions, first name.
+
+    Both tables have baseline, the event tp_preservation and deleted, and the RNA-balanced ratios with an ``rna_`` prefix;
+    ``overall`` has rna_average_precision too. A baseline is eligible where event and RNA-balanced preservation reach the minimum.
+    It depends on the source where some source alone is not eligible, or where the sign of the F1 change differs between sources.
+    """
+    enough = lambda c: F.coalesce(F.round(c, 12) >= MINIMUM_PRESERVATION, F.lit(False))
+    eligible = enough("tp_preservation") & enough("rna_tp_preservation")
+    low = lambda c: F.coalesce(F.round(c, 12), F.lit(float("-inf")))
+    order = F.struct(-F.round("rna_fp_removal", 12), -low("rna_modification_precision"), -low("rna_average_precision"), F.col("deleted"), F.col("baseline"))
+    best = overall.where(eligible).agg(F.min_by(F.struct(*overall.columns), order).alias("b"), F.count("*").alias("eligible_baselines"))
+    best = best.select("b.*", "eligible_baselines")
+    signs = by_source.groupBy("baseline").agg(
+        F.max((~eligible).cast("int")).alias("_unsafe"), F.count_distinct(F.col("rna_delta_f1") > 0).alias("_signs"))
+    out = best.join(signs, "baseline", "left")
+    dependent = (F.col("_unsafe") == 1) | (F.col("_signs") > 1)
+    return out.withColumns({
+        "status": F.when(F.col("baseline").isNull(), "NO_HIGH_PRESERVATION_ELIGIBLE_BASELINE").otherwise("SELECTED"),
+        "source_dependence": F.when(dependent, "SOURCE_DEPENDENT_COMPARATOR").when(
+            F.col("baseline").isNotNull(), "NO_SOURCE_SAFETY_FAILURE_AT_0.99")}).drop("_unsafe", "_signs")
 
 
 def edits_by_support(events: DataFrame, deleted: Column) -> DataFrame:
@@ -233,7 +252,12 @@ def edits_by_support(events: DataFrame, deleted: Column) -> DataFrame:
         "benefit_share": ratio(F.col("beneficial"), F.sum("beneficial").over(w))})
 
 
-def deployability(selected: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Runs with a usable threshold."""
-    return selected.groupBy(*keys).agg(F.count("*").alias("runs"), F.count("threshold").alias("usable"))
-
+def deployability(events: DataFrame, score: str, run: Sequence[str], keys: Sequence[str] = (), veto: Column | None = None) -> DataFrame:
+    """keys..., scope, runs, usable: runs with a threshold for all sources together (GLOBAL), for each source, and for every source (ALL_SOURCES)."""
+    keys, run = list(keys), list(run)
+    whole = grid_threshold_select(grid_points(events, score, [*keys, *run], veto), [*keys, *run]).withColumn("scope", F.lit("GLOBAL"))
+    single = grid_threshold_select(grid_points(events, score, [*keys, *run, "source"], veto), [*keys, *run, "source"]).withColumn("scope", F.col("source"))
+    every = single.groupBy(*keys, *run).agg(F.min(F.when(F.col("threshold").isNull(), 0).otherwise(1)).alias("ok")).select(
+        *keys, F.lit("ALL_SOURCES").alias("scope"), "ok")
+    rows = whole.unionByName(single, allowMissingColumns=True).select(*keys, "scope", F.col("threshold").isNotNull().cast("int").alias("ok")).unionByName(every)
+    return rows.groupBy(*keys, "scope").agg(F.count("*").alias("runs"), F.sum("ok").alias("usable"))

@@ -4,6 +4,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from pairscope.functions.ratios import ratio
 from pairscope.operators import edits, evidence, pooling
 from pairscope.operators.metrics import RECORD
 from pairscope.plans.catalog import query
@@ -285,17 +286,26 @@ def _(t):
     return edits.edit_counts(edits.edit_decomposition(Setup(t).flags, ["condition", "source"]))
 
 
-@query("x26_evidence_compliance", "channel:s source:s items:i before:i after:i recovered:i")
+@query("x26_evidence_compliance",
+       "channel:s source:s items:i before:i after:i compliance_before:d compliance_after:d recovered:i inserted:i already_unpaired:i "
+       "conflicts_before:i conflicts_removed:i correction_rate:d")
 def _(t):
     s, out = Setup(t), None
     results = s.results
     for channel, name in ((evidence.PAIR, "PAIR_HARD_ENFORCE"), (evidence.UNPAIRED, "UNPAIRED_HARD_DELETE")):
         rows = s.manifests.where(F.col("channel") == channel)
         items = s.items.where(F.col("channel") == channel).join(t.records.select(*RECORD), "rna_id")
-        part = edits.evidence_compliance(
-            items, edits.candidates_per_manifest(t.predicted, rows), results.where(F.col("condition") == name),
-            ["manifest_id", "source"], channel)
-        part = part.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("items", "before", "after", "recovered")]).withColumn("channel", F.lit(channel))
+        result = results.where(F.col("condition") == name)
+        part = edits.evidence_compliance(items, edits.candidates_per_manifest(t.predicted, rows), result, ["manifest_id", "source"], channel)
+        part = part.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("items", "before", "after", "recovered")])
+        fixed = edits.conflict_correction(s.scoped.where(F.col("channel") == channel), result, ["source"])
+        pairs = F.lit(channel == evidence.PAIR)
+        part = part.join(fixed, "source", "left").fillna(0, ["conflicts_before", "conflicts_removed"]).withColumns({
+            "channel": F.lit(channel), "compliance_before": ratio(F.col("before"), F.col("items")), "compliance_after": ratio(F.col("after"), F.col("items")),
+            # an unpaired position is never recovered or inserted; one that was free before counts as such
+            "inserted": F.when(pairs, F.col("recovered")).otherwise(0), "recovered": F.when(pairs, F.col("recovered")).otherwise(0),
+            "already_unpaired": F.when(pairs, 0).otherwise(F.col("before")),
+            "correction_rate": ratio(F.col("conflicts_removed"), F.col("conflicts_before"))})
         out = part if out is None else out.unionByName(part)
     return out
 

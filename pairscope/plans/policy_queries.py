@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from pairscope.functions.ratios import ratio
 from pairscope.operators import errors, grouping, learn, metrics, policy, reports, stems, thresholds
 from pairscope.operators.metrics import PAIR, RECORD
 from pairscope.plans.catalog import query
 from pairscope.plans.evidence_queries import Setup
-from pairscope.sources.derived import SOURCES
+from pairscope.sources.derived import EVIDENCE_SEEDS, SOURCES
 
 
 def decided(t):
@@ -31,21 +32,22 @@ def _(t):
 
 def validated(t):
     """Decided rows with the rotation whose validation fold they are in."""
-    return decided(t).withColumn("rotation", VALIDATED)
+    return decided(t).withColumn("rotation", validates())
 
 
-#: A fold is the validation part of the rotation before it.
-VALIDATED = (F.col("fold") + learn.FOLDS - 1) % learn.FOLDS
+def validates():
+    """A fold is the validation part of the rotation before it."""
+    return (F.col("fold") + learn.FOLDS - 1) % learn.FOLDS
 
 
 @query("u10_policy_threshold",
        "rotation:i threshold:d eligible:i event_tp_preservation:d event_fp_removal:d event_modification_precision:d deleted:i "
-       "balanced_tp_preservation:d balanced_fp_removal:d balanced_modification_precision:d")
+       "balanced_tp_preservation:m balanced_fp_removal:m balanced_modification_precision:m")
 def _(t):
     return policy.policy_curve(validated(t), "q", ["rotation"])
 
 
-@query("u10_policy_selected", "rotation:i threshold:d eligible:i deleted:i balanced_fp_removal:d balanced_modification_precision:d")
+@query("u10_policy_selected", "rotation:i threshold:d eligible:i deleted:i balanced_fp_removal:m balanced_modification_precision:m")
 def _(t):
     return policy.policy_threshold(validated(t), "q", ["rotation"])
 
@@ -69,10 +71,18 @@ def _(t):
     return policy.evidence_efficiency(decided(t), ["channel", "density"])
 
 
-@query("u17_marginal_breakdown", "source:s n:i only_a_removed:i only_a_lost:i only_b_removed:i only_b_lost:i")
+SIDES = "removed_a removed_b lost_a lost_b only_a_removed only_b_removed only_a_lost only_b_lost".split()
+
+
+@query("u17_marginal_breakdown", "dimension:s stratum:s n:i tp:i fp:i " + " ".join(f"{c}:i mean_{c}:d" for c in SIDES) + " mean_n:d delta_removed:i delta_lost:i "
+       + " ".join(f"{c}_{x}:d" for c in ("tp_preservation", "fp_removal", "modification_precision") for x in "ab"))
 def _(t):
-    rows = decided(t).withColumns({"del_a": F.col("action") == "DELETE", "del_b": F.col("risk") >= 0.6})
-    return policy.marginal_breakdown(rows, "source")
+    from pairscope.plans.score_queries import labelled
+    features = labelled(t).select(*RECORD, *PAIR, "support", "raw_separation", "singleton_flag", "normalized_stem_position", "outer_boundary_flag",
+                                  "inner_boundary_flag", "pair_type")
+    rows = decided(t).join(features, [*RECORD, *PAIR]).withColumns({
+        "del_a": F.col("action") == "DELETE", "del_b": F.col("risk") >= 0.6, "risk_a": F.col("other"), "risk_b": F.col("risk")})
+    return policy.marginal_breakdown(rows, len(EVIDENCE_SEEDS))
 
 
 @query("u18_channel_stability", "grouping:i strata:i positive_pair:d unpaired:d pair_wins:i unpaired_wins:i")
@@ -80,20 +90,31 @@ def _(t):
     return policy.channel_stability(decided(t))
 
 
-@query("u20_pareto_compare", "stratum:s baseline:s tp_preservation:d fp_removal:d front:i")
+@query("u20_pareto_compare", "stratum:s weighting:s baseline:s tp_preservation:d fp_removal:d front:i front_both:i")
 def _(t):
     from pairscope.plans.score_queries import baselines
-    return policy.pareto(baselines(t).withColumn("stratum", F.col("source")), "tp_preservation", "fp_removal")
-
-
-@query("u23_gain_retention", "stratum:s gain:d retention:d")
-def _(t):
-    rows = decided(t).groupBy(F.col("channel").alias("stratum")).agg(*[
-        (F.count_if(c & (F.col("label_delete") == 1)) / F.count_if(F.col("label_delete") == 1)).alias(n)
-        for n, c in (("policy", F.col("action") == "DELETE"), ("masked", F.col("q") >= 0.5), ("single", (F.col("risk") >= 0.5) | (F.col("scope") == "LOCAL_CONFLICT")))])
-    long = rows.select("stratum", F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), F.col(n).alias("value"))
-                                                    for n in ("policy", "masked", "single")])).alias("x")).select("stratum", "x.*")
-    return policy.gain_retention(long, "policy", "masked", "single")
+    event, balanced = baselines(t, ["source"])
+    rows = None
+    for name, part in (("event", event), ("rna", balanced)):
+        found = policy.pareto(part.select(F.col("source").alias("stratum"), "baseline", "tp_preservation", "fp_removal"), "tp_preservation", "fp_removal")
+        found = found.withColumn("weighting", F.lit(name))
+        rows = found if rows is None else rows.unionByName(found)
+    both = rows.groupBy("stratum", "baseline").agg(F.min("front").alias("front_both"))
+    return rows.join(both, ["stratum", "baseline"])
+
+
+@query("u23_gain_retention", "track:s weighting:s gain:d retention:d")
+def _(t):
+    delete = {"policy": F.col("action") == "DELETE", "masked": F.col("q") >= 0.5,
+              "single": (F.col("risk") >= 0.5) | (F.col("scope") == "LOCAL_CONFLICT")}
+    false = F.col("label_delete") == 1
+    tracks = decided(t).withColumn("track", F.explode(F.array(F.col("channel"), F.lit("combined"))))
+    per_rna = tracks.groupBy("track", "rna_id").agg(F.count_if(false).alias("fp"), *[F.count_if(c & false).alias(n) for n, c in delete.items()])
+    values = per_rna.groupBy("track").agg(*[
+        F.struct((F.sum(n) / F.sum("fp")).alias("event"), F.avg(ratio(F.col(n), F.col("fp"))).alias("rna")).alias(n) for n in delete])
+    long = values.select("track", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("condition"), F.lit(w).alias("weighting"), F.col(n)[w].alias("value")) for n in delete for w in ("event", "rna")])).alias("x"))
+    return policy.gain_retention(long.select("track", "x.*"), "policy", "masked", "single", ["track", "weighting"])
 
 
 @query("l4_platt_apply", "rna_id:s source:s i:i j:i p:d raw_cutoff:d")
@@ -116,7 +137,7 @@ def _(t):
 
 @query("l3_platt_fit", "rotation:i a:m b:m calibrated_mean:m")
 def _(t):
-    rows = t.pair_events.withColumns({"z": policy.clipped_logit(F.col("risk")), "rotation": VALIDATED})
+    rows = t.pair_events.withColumns({"z": policy.clipped_logit(F.col("risk")), "rotation": validates()})
     fitted = learn.platt_fit(rows, "z", "label_delete", ["rotation"])
     return rows.join(fitted, "rotation").groupBy("rotation", "a", "b").agg(
         F.avg(policy.platt_apply(F.col("z"), F.col("a"), F.col("b"))).alias("calibrated_mean"))

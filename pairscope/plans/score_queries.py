@@ -186,8 +186,9 @@ def _(t):
     return thresholds.deletion_utility(thresholds.context_counts(t.pair_events, F.col("risk") >= 0.5, RECORD), ["source"])[1]
 
 
+# the balanced measures are long running sums: six decimals
 CURVE = ("threshold:d eligible:i event_tp_preservation:d event_fp_removal:d event_modification_precision:d deleted:i "
-         "balanced_tp_preservation:d balanced_fp_removal:d balanced_modification_precision:d")
+         "balanced_tp_preservation:m balanced_fp_removal:m balanced_modification_precision:m")
 
 
 def validated(t):
@@ -232,12 +233,15 @@ def _(t):
         F.count("*").alias("n"), F.count_if("deleted").alias("deleted"))
 
 
-@query("u7_consensus_veto", "source:s vetoed:i deleted:i harmful:i")
+@query("u7_consensus_veto", "source:s rule:s deleted:i harmful:i vetoed:i")
 def _(t):
-    veto = thresholds.consensus_veto(F.col("risk"), F.lit(0.5), F.col("support"))
-    return scored(t).groupBy("source").agg(
-        F.count_if((F.col("risk") >= 0.5) & ~veto).alias("vetoed"), F.count_if(veto).alias("deleted"),
-        F.count_if(veto & (F.col("label_delete") == 0)).alias("harmful"))
+    passes = F.col("risk") >= 0.5
+    rules = {"score": passes, "consensus_veto": thresholds.consensus_veto(F.col("risk"), F.lit(0.5), F.col("support")),
+             "zero_support": thresholds.zero_support(F.col("support"))}
+    sums = scored(t).groupBy("source").agg(*[F.struct(
+        F.count_if(c).alias("deleted"), F.count_if(c & (F.col("label_delete") == 0)).alias("harmful"), F.count_if(passes & ~c).alias("vetoed")).alias(n)
+        for n, c in rules.items()])
+    return sums.select("source", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), *[F.col(f"{n}.{c}").alias(c) for c in ("deleted", "harmful", "vetoed")]) for n in rules])).alias("x")).select("source", "x.*")
 
 
 @query("u7_recalibrated_veto", "threshold:d f1:d deleted:i tp_preservation:d")
@@ -275,21 +279,38 @@ def _(t):
     return thresholds.run_distribution(orders, ["priority"], "run", "value")
 
 
-@query("u19_strongest_baseline", "source:s baseline:s fp_removal:d eligible_baselines:i")
-def _(t):
-    event = baselines(t)
-    return thresholds.strongest_baseline(event.withColumns({
-        "eligible": (F.col("tp_preservation") >= 0.5).cast("int"), "deleted": F.col("lost") + F.col("removed"),
-        "average_precision": F.lit(0.5)}), ["source"])
+BASELINES = ("risk_high", "risk_low", "no_support", "weak_support")
 
 
-def baselines(t):
-    rule = {"risk_high": F.col("risk") >= 0.7, "risk_low": F.col("risk") >= 0.45, "no_support": F.col("support") == 0, "weak_support": F.col("support") < 2}
+def baseline_rows(t):
+    """Scored pairs once per baseline, with its score and what it deletes."""
+    rule = dict(zip(BASELINES, (F.col("risk") >= 0.7, F.col("risk") >= 0.45, thresholds.zero_support(F.col("support")), F.col("support") < 2)))
     tagged = scored(t).withColumn("baseline", F.explode(F.array(*[F.lit(n) for n in rule])))
     deleted = F.lit(False)
     for name, condition in rule.items():
         deleted = F.when(F.col("baseline") == name, condition).otherwise(deleted)
-    return thresholds.deletion_utility(thresholds.context_counts(tagged, deleted, ["baseline", *RECORD]), ["baseline", "source"])[0]
+    score = F.when(F.col("baseline").startswith("risk"), F.col("risk")).otherwise((2 - F.col("support")) / 2)
+    return tagged.withColumns({"deleted": deleted, "baseline_score": score})
+
+
+def baselines(t, keys=()):
+    """(event-pooled, RNA-balanced) utility per baseline and key."""
+    return thresholds.deletion_utility(thresholds.context_counts(baseline_rows(t), F.col("deleted"), ["baseline", *RECORD]), ["baseline", *keys])
+
+
+@query("u19_strongest_baseline",
+       "status:s baseline:s eligible_baselines:i rna_fp_removal:d rna_modification_precision:d rna_average_precision:d rna_tp_preservation:d "
+       "tp_preservation:d deleted:i source_dependence:s")
+def _(t):
+    def both(keys):
+        event, balanced = baselines(t, keys)
+        on = ["baseline", *keys]
+        return event.select(*on, "tp_preservation", (F.col("lost") + F.col("removed")).alias("deleted")).join(
+            balanced.select(*on, *[F.col(c).alias(f"rna_{c}") for c in ("tp_preservation", "fp_removal", "modification_precision", "delta_f1")]), on)
+
+    ranked = reliability.ranking_metrics(baseline_rows(t), ["baseline", "rna_id"], "baseline_score", "label_delete")
+    precision = ranked.groupBy("baseline").agg(F.avg("average_precision").alias("rna_average_precision"))
+    return thresholds.strongest_baseline(both([]).join(precision, "baseline"), both(["source"]))
 
 
 @query("u21_edits_by_support", "stratum:s support:i deletions:i beneficial:i harmful:i precision:d harm_share:d benefit_share:d")
@@ -297,7 +318,7 @@ def _(t):
     return thresholds.edits_by_support(scored(t), F.col("risk") >= 0.5)
 
 
-@query("u22_deployability", "source:s runs:i usable:i")
+@query("u22_deployability", "model:s scope:s runs:i usable:i")
 def _(t):
-    chosen = thresholds.grid_threshold_select(thresholds.grid_points(t.pair_events, "risk", ["source", "fold"]), ["source", "fold"])
-    return thresholds.deployability(chosen, ["source"])
+    rows = scored(t).withColumn("model", F.explode(F.array(F.lit("score"), F.lit("score_with_veto"))))
+    return thresholds.deployability(rows, "risk", ["fold"], ["model"], veto=(F.col("model") == "score") | (F.col("support") < 2))
