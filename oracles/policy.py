@@ -94,10 +94,11 @@ oracle("g1_similar_sequences", "SELECT * FROM sim")
 oracle("g4_fold_roles", """SELECT r AS rotation, rna_id, CASE WHEN d%5=r THEN 'test' WHEN d%5=(r+1)%5 THEN 'validation' ELSE 'train' END AS role FROM base, range(0,5) x(r)""")
 oracle("g6_leave_one_source_out", """SELECT h.source AS held_out, r AS rotation, rec.rna_id, rec.source, CASE WHEN d%5=r THEN 'test' WHEN d%5=(r+1)%5 THEN 'validation' ELSE 'train' END AS role
    FROM rec CROSS JOIN src h, range(0,5) x(r) WHERE CASE WHEN rec.source=h.source THEN d%5=r ELSE d%5<>r END""")
-oracle("g5_nearest_reference", """SELECT f.rna_id, identity, nearest, CASE WHEN identity IS NULL THEN 'eligible' ELSE 'redundant' END AS reason FROM
-   (SELECT * FROM mut WHERE CAST(rna_id AS BIGINT)%5<>0) f LEFT JOIN (SELECT a, max(identity) AS identity, arg_min(ref, (-identity, ref)) AS nearest FROM (
-     SELECT s.a, s.identity, r.rna_id AS ref FROM (SELECT a, b, identity FROM sim UNION ALL SELECT b, a, identity FROM sim UNION ALL SELECT sequence, sequence, 1.0 FROM mutd) s
-     JOIN (SELECT sequence, min(rna_id) AS rna_id FROM mut WHERE CAST(rna_id AS BIGINT)%5=0 GROUP BY 1) r ON r.sequence=s.b) GROUP BY 1) h ON h.a=f.sequence""")
+oracle("g5_nearest_reference", """SELECT f.rna_id, identity, nearest, CASE WHEN round(identity,9)>=0.8 THEN 'redundant' ELSE 'eligible' END AS reason FROM
+   (SELECT * FROM mut WHERE CAST(rna_id AS BIGINT)%5<>0) f JOIN (SELECT a, max(identity) AS identity, arg_min(ref, (-identity, ref)) AS nearest FROM (
+     SELECT q.sequence AS a, 1-levenshtein(q.sequence, r.sequence)::DOUBLE/greatest(length(q.sequence), length(r.sequence)) AS identity, r.rna_id AS ref
+     FROM (SELECT DISTINCT sequence FROM mut WHERE CAST(rna_id AS BIGINT)%5<>0) q,
+     (SELECT sequence, min(rna_id) AS rna_id FROM mut WHERE CAST(rna_id AS BIGINT)%5=0 GROUP BY 1) r) GROUP BY 1) h ON h.a=f.sequence""")
 oracle("p1_error_consolidation", """SELECT source, macro_f1, false_pairs, wrong_partner_pairs, total_stems, fp_total, fp_extension, fp_outside
    FROM r4 JOIN t4 USING (source) JOIN t14 USING (source) JOIN (SELECT source, avg(f1) AS macro_f1 FROM metrics GROUP BY 1) m USING (source)""")
 cte("pats", """SELECT *, n::DOUBLE/d AS rate, row_number() OVER (PARTITION BY source ORDER BY n DESC, pattern) AS rank FROM (

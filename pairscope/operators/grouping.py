@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pairscope.functions.graph import connected_components
+from pairscope.session import cut_lineage
 
 GRAM = 3
 
@@ -61,9 +62,9 @@ def leave_one_source_out(records: DataFrame, roles: DataFrame) -> DataFrame:
 
     ``roles`` has rotation, rna_id, role of :func:`fold_roles`; a source never meets its own test sequences in training.
     """
-    held = records.select("source").distinct().withColumnRenamed("source", "held_out")
+    held = records.agg(F.collect_set("source").alias("s"))  # the names of the sources, one row
     rows = records.select("rna_id", "source").join(roles.select("rotation", "rna_id", "role"), "rna_id")
-    crossed = rows.join(F.broadcast(held))  # one row per source
+    crossed = rows.withColumn("held_out", F.explode(held.scalar()))
     own = F.col("source") == F.col("held_out")
     return crossed.where((own & (F.col("role") == "test")) | (~own & (F.col("role") != "test"))).select("held_out", "rotation", "rna_id", "source", "role")
 
@@ -94,15 +95,60 @@ def fold_roles(assignment: DataFrame, folds: int = 5) -> DataFrame:
         .when(F.col("fold") == (F.col("rotation") + 1) % folds, "validation").otherwise("train"))
 
 
+#: Reference sequences of a block that new sequences are compared with.
+BLOCK = 2048
+LETTERS = "ACGU"
+
+
+def _profile(rows: DataFrame, prefix: str) -> DataFrame:
+    """Length and letter counts of each sequence, as columns that start with ``prefix``."""
+    n = F.length("sequence")
+    counts = [n - F.length(F.replace(F.col("sequence"), F.lit(c), F.lit(""))) for c in LETTERS]
+    other = n - sum(counts, F.lit(0))
+    return rows.select(F.col("sequence").alias(f"{prefix}_sequence"), n.alias(f"{prefix}_n"), F.array(*counts, other).alias(f"{prefix}_bag"),
+                       *[c for c in rows.columns if c != "sequence"])
+
+
+def best_of_all(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """Columns sequence, identity, nearest: the most similar reference of each query sequence, smallest id on ties.
+
+    The queries are a stated set and meet every reference, in blocks. Counting letters bounds the distance from below, so the
+    distance itself is only taken where the bound could still beat the reference with the best bound.
+    """
+    blocks = F.greatest(F.ceil(refs.agg(F.count("*")).scalar() / BLOCK), F.lit(1)).cast("int")
+    dealt = cut_lineage(_profile(refs, "r").withColumn("block", F.pmod(F.xxhash64("r_sequence"), blocks).cast("int")))
+    numbers = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    asked = cut_lineage(_profile(queries.select("sequence").distinct(), "q"))
+    both = asked.select("*", numbers).join(dealt, "block")
+    extra = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda s, v: s + v)
+    least = F.greatest(extra("q_bag", "r_bag"), extra("r_bag", "q_bag"))
+    longer = F.greatest("q_n", "r_n")
+    pairs = both.select("q_sequence", "r_sequence", "ref_id", longer.alias("longer"), F.when(longer == 0, 1.0).otherwise(1 - least / longer).alias("bound"))
+    exact = F.when(F.col("longer") == 0, 1.0).otherwise(1 - F.levenshtein("q_sequence", "r_sequence") / F.col("longer"))
+    first = pairs.groupBy("q_sequence").agg(F.max_by(F.struct("r_sequence", "longer"), F.struct("bound", "ref_id")).alias("f")).select("q_sequence", "f.*")
+    reached = cut_lineage(first.select("q_sequence", exact.alias("reached")))
+    open_pairs = pairs.join(reached, "q_sequence").where(F.col("bound") >= F.col("reached") - 1e-9)
+    best = open_pairs.withColumn("identity", exact).groupBy("q_sequence").agg(
+        F.max("identity").alias("identity"), F.min_by("ref_id", F.struct(-F.col("identity"), F.col("ref_id"))).alias("nearest"))
+    return best.withColumnRenamed("q_sequence", "sequence")
+
+
 def nearest_reference(fresh: DataFrame, reference: DataFrame, identity: float = 0.8) -> DataFrame:
-    """For each new sequence the most similar reference sequence (smallest id on ties) at or above the identity, and eligibility."""
+    """For each new sequence the most similar reference sequence (smallest id on ties), and eligibility.
+
+    The filter join of ``similar_sequences`` settles those at or above the identity; the others, and only they, are compared with
+    all references. The identity is null only where there is no reference, or no sequence.
+    """
     refs = reference.groupBy("sequence").agg(F.min("rna_id").alias("ref_id"))
     everything = fresh.select("rna_id", "sequence").unionByName(reference.select("rna_id", "sequence"))
     close = similar_sequences(everything, identity)
     both = close.select("a", "b", "identity").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "identity"))
     same = refs.select(F.col("sequence").alias("a"), F.col("sequence").alias("b"), F.lit(1.0).alias("identity"))
-    hits = both.unionByName(same).join(refs, F.col("b") == F.col("sequence")).groupBy("a").agg(
+    hits = cut_lineage(both.unionByName(same).join(refs, F.col("b") == F.col("sequence")).groupBy("a").agg(
         F.max("identity").alias("identity"), F.min_by("ref_id", F.struct(-F.col("identity"), F.col("ref_id"))).alias("nearest"))
-    out = fresh.select("rna_id", "sequence").join(hits.withColumnRenamed("a", "sequence"), "sequence", "left")
+        .withColumnRenamed("a", "sequence"))
+    rest = fresh.select("sequence").distinct().where(F.col("sequence").isNotNull()).join(hits, "sequence", "left_anti")
+    found = hits.unionByName(best_of_all(rest, refs.where(F.col("sequence").isNotNull())))
+    out = fresh.select("rna_id", "sequence").join(found, "sequence", "left")
     return out.withColumn("reason", F.when(F.col("sequence").rlike("[^ACGU]"), "alphabet").when(
-        F.col("identity").isNotNull(), "redundant").otherwise("eligible"))
+        F.round("identity", 9) >= identity, "redundant").otherwise("eligible"))
