@@ -2,8 +2,9 @@
 
 A token is a word with its characters: a hashed word vector and the mean of hashed character-trigram vectors. Two gated
 recurrent layers read a window of tokens forwards and backwards, attention pools their states, and a logistic unit
-scores the window. A text's score is that of its highest window; all overlapping windows of the whole text are scored.
-Labels belong to whole texts, so training repeatedly takes the highest window of each text as its example.
+scores the window. A text's score is that of its highest window; the windows that begin at every token of the whole text are
+scored. Each starts from an empty state, so step t of all windows is one array operation on a shifted slice of the text's
+projected tokens. Labels belong to whole texts, so training repeatedly takes the highest window of each text as its example.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pairscope.llm.common import workers_import
 from pairscope.llm.language import fold
 from pairscope.session import cut_lineage
 
-WINDOW, STRIDE = 32, 24
+#: Tokens of a window; windows of a training text begin this far apart.
+WINDOW, TRAIN_STRIDE = 8, 4
 WORD_SLOTS, CHAR_SLOTS = 1 << 14, 1 << 12
 WORD_DIM, CHAR_DIM, HIDDEN = 12, 12, 8
-#: Bounds of the fit: labelled texts of each class, characters of a text that may be among them.
+#: Bounds of the fit: labelled texts of each class, characters of a text; of a longer one a span of that many, at a hash-chosen place.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1_500, 4_000
 ROUNDS, BATCH, RATE = 12, 64, 0.01
 #: Distinct tokens a worker remembers (about 100 MB), windows it scores at once.
@@ -58,8 +60,8 @@ def char_slots(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_starts(n: int) -> list[int]:
-    """Starts of overlapping windows that cover n tokens; one window if they fit."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+    """Starts of a training text's windows, which cover its n tokens; one window if they fit."""
+    return [0] if n <= WINDOW else [*range(0, n - WINDOW, TRAIN_STRIDE), n - WINDOW]
 
 
 # network ----------------------------------------------------------------------------------------------------
@@ -93,13 +95,9 @@ def embed(p: Parameters, vocabulary: list[str]) -> np.ndarray:
     return out
 
 
-def soft(x: np.ndarray) -> np.ndarray:
-    """x / (1 + |x|) stands for the hyperbolic tangent in all layers; its slope is (1 - |y|) squared."""
-    return x / (1 + np.abs(x))
-
-
 def slope(y: np.ndarray) -> np.ndarray:
-    return np.square(1 - np.abs(y))
+    """Of the hyperbolic tangent, from its value."""
+    return 1 - np.square(y)
 
 
 def recur(px: np.ndarray, wh: np.ndarray, rows: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
@@ -109,9 +107,9 @@ def recur(px: np.ndarray, wh: np.ndarray, rows: np.ndarray, mask: np.ndarray, ke
     states, kept, turned = np.empty((steps, HIDDEN, batch), np.float32), [], np.ascontiguousarray(wh.T)
     for t in range(steps):
         x, u = px[rows[t]].T, turned @ h
-        zr = 0.5 * soft(x[:2 * HIDDEN] + u[:2 * HIDDEN]) + 0.5
+        zr = sigmoid(x[:2 * HIDDEN] + u[:2 * HIDDEN])
         z, r = zr[:HIDDEN], zr[HIDDEN:]
-        n = soft(x[2 * HIDDEN:] + r * u[2 * HIDDEN:])
+        n = np.tanh(x[2 * HIDDEN:] + r * u[2 * HIDDEN:])
         if keep:
             kept.append((h, z, r, n, u[2 * HIDDEN:]))
         h = states[t] = h + mask[t] * (1 - z) * (n - h)
@@ -120,7 +118,7 @@ def recur(px: np.ndarray, wh: np.ndarray, rows: np.ndarray, mask: np.ndarray, ke
 
 def attend(p: Parameters, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
     """Logits of windows, and what their gradient needs."""
-    hidden = soft(p["at_w"].T @ states)
+    hidden = np.tanh(p["at_w"].T @ states)
     e = np.where(mask > 0, np.einsum("thb,h->tb", hidden, p["at_v"]), np.float32(-1e9))
     a = np.exp(e - e.max(axis=0))
     a /= a.sum(axis=0)
@@ -137,6 +135,35 @@ def logits(p: Parameters, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return attend(p, np.concatenate([forward, backward[::-1]], axis=1), mask)[0]
 
 
+def scan(p: Parameters, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Logits of the windows that begin at each of the tokens but the last WINDOW - 1."""
+    out = np.empty(len(ids) - WINDOW + 1, np.float32)
+    turned = [np.ascontiguousarray(p[f"wh_{side}"].T) for side in ("f", "b")]
+    looking = np.ascontiguousarray(p["at_w"].T)
+    for at in range(0, len(out), AT_ONCE):
+        batch = min(AT_ONCE, len(out) - at)
+        part = ids[at:at + batch + WINDOW - 1]
+        states = np.empty((WINDOW, 2 * HIDDEN, batch), np.float32)
+        for side in range(2):
+            # gates by token, so that a step of all windows is a slice
+            px = np.ascontiguousarray(table[side][part].T)
+            h = np.zeros((HIDDEN, batch), np.float32)
+            for step in range(WINDOW):
+                t = step if side == 0 else WINDOW - 1 - step
+                x, u = px[:, t:t + batch], turned[side] @ h
+                zr = np.tanh(0.5 * (x[:2 * HIDDEN] + u[:2 * HIDDEN]))
+                zr += 1
+                zr *= 0.5
+                n = np.tanh(x[2 * HIDDEN:] + zr[HIDDEN:] * u[2 * HIDDEN:])
+                h = n + zr[:HIDDEN] * (h - n)
+                states[t, side * HIDDEN:(side + 1) * HIDDEN] = h
+        e = np.stack([p["at_v"] @ np.tanh(looking @ s) for s in states])
+        a = np.exp(e - e.max(axis=0))
+        value = np.stack([p["out"] @ s for s in states])
+        out[at:at + batch] = (a * value).sum(axis=0) / a.sum(axis=0) + p["bias"][0]
+    return out
+
+
 def project(p: Parameters, vectors: np.ndarray) -> np.ndarray:
     """The input's share of all gates: (direction, token, gates)."""
     return np.stack([vectors @ p[f"wx_{side}"] + p[f"c_{side}"] for side in ("f", "b")]).astype(np.float32)
@@ -178,8 +205,8 @@ def _back(p: Parameters, side: str, kept: list, mask: np.ndarray, d_states: np.n
         h, z, r, n, un = kept[t]
         d_new, m = d_h + d_states[t], mask[t]
         d_n = d_new * m * (1 - z) * slope(n)
-        d_z = -d_new * m * (n - h) * 0.5 * slope(2 * z - 1)
-        d_r = d_n * un * 0.5 * slope(2 * r - 1)
+        d_z = -d_new * m * (n - h) * z * (1 - z)
+        d_r = d_n * un * r * (1 - r)
         d_u = np.concatenate([d_z, d_r, d_n * r])
         out[t] = np.concatenate([d_z, d_r, d_n]).T
         d_wh += h @ d_u.T
@@ -260,8 +287,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = ROUN
     """Fitted parameters; None unless both classes occur.
 
     Each round takes the highest window of every text, and a random one of every clean text, as examples. The first
-    round, which knows nothing yet, takes a random window of the texts with the fewest windows. At last the bias is moved
-    so that a text is toxic from 0.5 on where that separates the sample best.
+    rounds, which know nothing yet, take the window of a toxic text with the word that speaks most for toxic texts. At last
+    the bias is moved so that a text is toxic from 0.5 on where that separates the sample best.
     """
     if len(set(labels)) < 2:
         return None
@@ -270,12 +297,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = ROUN
     order = np.argsort(bags.bag, kind="stable")
     first = np.searchsorted(bags.bag[order], np.arange(len(texts)))
     count = np.bincount(bags.bag, minlength=len(texts))
+    telling = _highest(word_odds(bags)[bags.rows].max(axis=1), bags.bag)
     for turn in range(rounds):
         picked = first + (rng.random(len(texts)) * count).astype(np.int64)
-        chosen = [picked[(bags.label == 0) | (count <= 4)]] if turn < 2 else [picked[bags.label == 0]]
-        if turn >= 2:
-            found = bag_logits(p, bags)
-            chosen.append(_highest(found, bags.bag))
+        chosen = [picked[bags.label == 0]]
+        chosen.append(_highest(bag_logits(p, bags), bags.bag) if turn >= 2 else telling if turn else telling[bags.label == 1])
         examples = rng.permutation(np.concatenate(chosen))
         positive = bags.label[bags.bag[examples]]
         # both classes weigh the same, whatever number of examples each has
@@ -288,11 +314,22 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = ROUN
                 _, grad, sparse = gradients(p, bags.vocabulary, bags.rows[part], bags.label[bags.bag[part]])
                 adam.rate = RATE * (1 - 0.8 * turn / rounds)
                 adam.step(grad, sparse)
-    scores = bag_logits(p, bags)
-    p["bias"] = p["bias"] - np.float32(_cut(scores[_highest(scores, bags.bag)], bags.label))
+    p["bias"] = p["bias"] - np.float32(_cut(Scorer(p).highest(texts), bags.label))
     return p
 
 
+def word_odds(bags: Bags) -> np.ndarray:
+    """Per token number: log odds of its word among toxic texts over clean ones, half a text added to each count; the empty place has the least."""
+    slot = np.array([word_slot(t) for t in bags.vocabulary], dtype=np.int64)
+    rows, places = np.nonzero(bags.rows)
+    # each word once per text
+    seen = np.unique(bags.bag[rows] * WORD_SLOTS + slot[bags.rows[rows, places] - 1])
+    toxic = bags.label[seen // WORD_SLOTS] == 1
+    among = [np.bincount(seen[side] % WORD_SLOTS, minlength=WORD_SLOTS) + 0.5 for side in (toxic, ~toxic)]
+    odds = np.log(among[0] / (1 + (bags.label == 1).sum())) - np.log(among[1] / (1 + (bags.label == 0).sum()))
+    return np.r_[odds.min() - 1, odds[slot]].astype(np.float32)
+
+
 def _highest(found: np.ndarray, bag: np.ndarray) -> np.ndarray:
     """Index of the highest window of each text, the first among equals."""
     order = np.lexsort((np.arange(len(found)), -found, bag))
@@ -327,42 +364,44 @@ class Scorer:
             self.table = np.concatenate([self.table, project(self.p, embed(self.p, new)[1:])], axis=1)
         return [np.fromiter(map(self.number.__getitem__, text), np.int32, len(text)) for text in texts]
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """Score of each text; a text without tokens has the score of an empty window."""
+    def highest(self, texts: list[str | None]) -> np.ndarray:
+        """The highest logit of each text's windows; a text of fewer tokens than a window is one window, without tokens an empty one."""
         numbers = self._numbers([tokens(t) for t in texts])
-        highest = np.full(len(texts), -np.inf, np.float32)
-        rows, owner, held = [], [], 0
+        out = np.empty(len(texts), np.float32)
+        short = [k for k, ids in enumerate(numbers) if len(ids) < WINDOW]
+        for k in range(0, len(short), AT_ONCE):
+            part = short[k:k + AT_ONCE]
+            out[part] = logits(self.p, self.table, np.stack([np.pad(numbers[i], (0, WINDOW - len(numbers[i]))) for i in part]))
+        held, size = [], 0
         for k, ids in enumerate(numbers):
-            for part in _windows(ids):
-                rows.append(part)
-                owner.append(np.full(len(part), k))
-                held += len(part)
-                if held >= AT_ONCE:
-                    self._flush(rows, owner, highest)
-                    rows, owner, held = [], [], 0
+            if len(ids) >= WINDOW:
+                held.append(k)
+                size += len(ids)
+                if size >= 32 * AT_ONCE:
+                    self._scan(held, numbers, out)
+                    held, size = [], 0
         if held:
-            self._flush(rows, owner, highest)
-        return sigmoid(highest.astype(np.float64))
+            self._scan(held, numbers, out)
+        return out
 
-    def _flush(self, rows: list, owner: list, highest: np.ndarray) -> None:
-        np.maximum.at(highest, np.concatenate(owner), logits(self.p, self.table, np.concatenate(rows)))
+    def _scan(self, held: list[int], numbers: list[np.ndarray], out: np.ndarray) -> None:
+        """Texts one after the other; the few windows that reach into the next text are passed over."""
+        found, at = scan(self.p, self.table, np.concatenate([numbers[k] for k in held])), 0
+        for k in held:
+            out[k] = found[at:at + len(numbers[k]) - WINDOW + 1].max()
+            at += len(numbers[k])
 
-
-def _windows(ids: np.ndarray) -> Iterator[np.ndarray]:
-    """The windows of one text, some thousand at a time."""
-    if len(ids) <= WINDOW:
-        yield np.pad(ids, (0, WINDOW - len(ids)))[None, :]
-        return
-    starts = np.array(window_starts(len(ids)))
-    for k in range(0, len(starts), AT_ONCE):
-        yield ids[starts[k:k + AT_ONCE, None] + np.arange(WINDOW)]
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        return sigmoid(self.highest(texts).astype(np.float64))
 
 
 # Spark ------------------------------------------------------------------------------------------------------
 def sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS,
            id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """Labelled texts outside fold 0: of each class up to ``sample_texts`` of up to ``sample_chars`` characters, chosen by the hash of their identifiers.
+    """Labelled texts outside fold 0: of each class up to ``sample_texts``, chosen by the hash of their identifiers.
 
+    Texts of up to ``sample_chars`` characters come first, since a span of a longer one may lack what earned it the label; where a
+    class has too few of them, spans of that many characters of its longer texts follow.
     Rows with a null identifier, text or label teach nothing; a text labelled both ways counts for each.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").where(fold("id", folds) != 0).distinct()
@@ -371,9 +410,13 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_texts: int
     sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, min(1.0, 8 * sample_texts / max(1, sizes.get(1, 0)))).otherwise(min(1.0, 8 * sample_texts / max(1, sizes.get(0, 0))))
     low = cut_lineage(marked.withColumn("h", rank).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)))
-    short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.length("text") <= sample_chars) & (F.col("text") != ""))
-    joined = short.join(F.broadcast(low), "id")  # 16 * sample_texts rows, by the shares above
-    rows = [r for y in (0, 1) for r in joined.where(F.col("y") == y).orderBy("h", "id", "text").limit(sample_texts).collect()]
+    over = F.greatest(F.length("text") - sample_chars, F.lit(0))
+    place = F.pmod(F.xxhash64("id", F.lit("span")), over + 1).cast("int") + 1
+    span = F.substring(F.col("text"), place, F.lit(sample_chars))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text") != "")
+    # 16 * sample_texts rows, by the shares above
+    joined = known.join(F.broadcast(low), "id").select("id", "y", "h", (over > 0).alias("cut"), span.alias("text"))
+    rows = [r for y in (0, 1) for r in joined.where(F.col("y") == y).orderBy("cut", "h", "id", "text").limit(sample_texts).collect()]
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
 

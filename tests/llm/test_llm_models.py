@@ -67,11 +67,40 @@ def test_toxicity_gradients():
     assert slope("char", (slots[3], 2)) == pytest.approx(float(rows[3, 2]), rel=0.05, abs=2e-6)
 
 
-def test_windows_cover_every_token():
-    for n in (1, 31, 32, 33, 56, 57, 1000, 5000):
-        ids = np.arange(1, n + 1, dtype=np.int32)
-        windows = np.concatenate(list(toxicity._windows(ids)))
-        assert set(windows.reshape(-1)) - {0} == set(range(1, n + 1)) and len(windows) == len(toxicity.window_starts(n))
+def test_every_window_is_scored(monkeypatch):
+    """The highest of all windows, each of them run on its own, in texts around the window's size and the batch's."""
+    monkeypatch.setattr(toxicity, "AT_ONCE", 50)
+    rng = random.Random(2)
+    p = {k: v * 3 for k, v in toxicity.new_parameters(3).items()}
+    w = toxicity.WINDOW
+    texts = [" ".join(rng.choice(["you", "fool", "park", "day", "x1", "é", "so"]) + str(rng.randint(0, 40)) for _ in range(n))
+             for n in (0, 1, w - 1, w, w + 1, 2 * w, 49, 50, 51, 57, 58, 400, 3)] + [None]
+    scorer = toxicity.Scorer(p)
+    found = scorer.highest(texts)
+    for text, ids, got in zip(texts, scorer._numbers([toxicity.tokens(t) for t in texts]), found):
+        windows = [ids[k:k + w] for k in range(max(1, len(ids) - w + 1))]
+        single = [toxicity.logits(p, scorer.table, np.pad(x, (0, w - len(x)))[None, :])[0] for x in windows]
+        assert got == pytest.approx(max(single), abs=1e-4)
+    assert scorer.score(texts) == pytest.approx(toxicity.sigmoid(found.astype(float)))
+
+
+def test_training_windows_cover_every_token():
+    for n in (1, 7, 8, 9, 12, 13, 1000):
+        starts = toxicity.window_starts(n)
+        assert set().union(*(range(k, min(n, k + toxicity.WINDOW)) for k in starts)) == set(range(n))
+
+
+def test_a_class_of_long_texts_is_learned(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(200)]
+    rows, labels = [], []
+    for k in range(120):
+        bad = k % 2
+        said = [rng.choice(["crudbag", "jerkface"]) if bad and rng.random() < 0.3 else rng.choice(words) for _ in range(1_500 if bad else 60)]
+        rows.append((k, " ".join(said), None))
+        labels.append((k, 1, bad))
+    texts, marks = toxicity.sample(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert set(marks) == {0, 1} and max(map(len, texts)) == toxicity.SAMPLE_CHARS
 
 
 def test_toxicity_held_out(spark):
