@@ -174,7 +174,35 @@ cte("vn", """SELECT 'baseline' AS view, manifest_id, source, count(*) AS n FROM
    UNION ALL SELECT 'treatment', manifest_id, source, count(*) FROM res WHERE condition<>'PAIR_PROTECT_ONLY' GROUP BY ALL""")
 oracle("x29_matched_views", """SELECT channel, v.view, count(*) AS contexts, sum(coalesce(n,0)) AS "rows", count(*) FILTER (n IS NULL) AS empty, 0 AS unmatched
    FROM vok CROSS JOIN (VALUES ('baseline'),('treatment')) v(view) LEFT JOIN vn USING (view, manifest_id, source) GROUP BY 1,2""")
-oracle("x30_method_compare", summary("condition, density, source", "decm"))
+cte("xman", "SELECT manifest_id, rna_id, channel, density, selected FROM nelig WHERE eligibility='ELIGIBLE'")
+cte("xmeth", "SELECT * FROM xman, (VALUES ('B0_ORIGINAL'),('B1_LOCAL_HARD'),('B2_GLOBAL_REFOLD')) v(method)")
+cte("xflags", """SELECT method, manifest_id, source, i, j, max(o) AS o, max(t) AS t, max(r) AS r FROM (
+   SELECT method, manifest_id, source, i, j, 1 AS o, 0 AS t, CASE WHEN method='B0_ORIGINAL' THEN 1 ELSE 0 END AS r FROM xmeth JOIN pred USING (rna_id)
+   UNION ALL SELECT method, manifest_id, source, i, j, 0, 1, 0 FROM xmeth JOIN tsrc USING (rna_id)
+   UNION ALL SELECT 'B1_LOCAL_HARD', res.manifest_id, source, i, j, 0, 0, 1 FROM res JOIN xman ON xman.manifest_id=res.manifest_id WHERE condition<>'PAIR_PROTECT_ONLY'
+   UNION ALL SELECT 'B2_GLOBAL_REFOLD', manifest_id, src.source, i, j, 0, 0, 1 FROM xman JOIN rf USING (rna_id) CROSS JOIN src) GROUP BY 1,2,3,4,5""")
+cte("xdec", f"SELECT method, manifest_id, source, {_p} FROM xflags GROUP BY 1,2,3")
+cte("xparts", f"""SELECT x.method, x.rna_id, x.channel, x.density, x.selected AS items, s.source, {', '.join(f'coalesce(d.{n},0) AS {n}' for n in _names)}
+   FROM xmeth x CROSS JOIN src s LEFT JOIN xdec d ON d.method=x.method AND d.manifest_id=x.manifest_id AND d.source=s.source""")
+
+
+def xpool(keys: str) -> str:
+    q = lambda a, b: f"CASE WHEN ({b})>0 THEN ({a})::DOUBLE/({b}) END"
+    return f"""SELECT *, {prf('preserved_tp+new_tp', 'preserved_fp+new_fp', 'fn_after')}, {f1('preserved_tp+lost_tp', 'preserved_fp+removed_fp', 'fn_before')} AS f0,
+      {q('preserved_tp', 'preserved_tp+lost_tp')} AS tp_preservation, {q('removed_fp', 'preserved_fp+removed_fp')} AS fp_removal,
+      {q('removed_fp+new_tp', 'removed_fp+new_tp+lost_tp+new_fp')} AS modification_precision, {q('removed_fp', 'items')} AS fp_removed_per_evidence_item
+      FROM (SELECT {keys}, count(*) AS n, sum(items) AS items, {_tot} FROM xparts GROUP BY {keys})"""
+
+
+_ratios = "precision recall f1 tp_preservation fp_removal modification_precision fp_removed_per_evidence_item".split()
+_k = "channel, density, source, method"
+cte("xmic", f"SELECT {_k}, n, items, f0, {', '.join(_names)}, {', '.join(f'{m} AS micro_{m}' for m in _ratios)} FROM ({xpool(_k)})")
+cte("xmac", f"""SELECT {_k}, count(*) AS rnas, avg(f0) AS macro_f0, {', '.join(f'avg({m}) AS macro_{m}, count({m}) AS macro_{m}_defined' for m in _ratios)},
+   avg((f1-f0)/nullif(items,0)) AS macro_delta_f1_per_evidence_item, count((f1-f0)/nullif(items,0)) AS macro_delta_f1_per_evidence_item_defined FROM ({xpool(_k + ', rna_id')}) GROUP BY {_k}""")
+cte("xcmp", f"SELECT * FROM xmic JOIN xmac USING ({_k})")
+oracle("x30_method_compare", """SELECT a.*, a.micro_f1-a.f0 AS micro_delta_f1_vs_b0, a.macro_f1-a.macro_f0 AS macro_delta_f1_vs_b0, a.micro_f1-b.micro_f1 AS micro_delta_f1_vs_b1,
+   a.macro_f1-b.macro_f1 AS macro_delta_f1_vs_b1, (a.micro_f1-a.f0)/nullif(a.items,0) AS micro_delta_f1_per_evidence_item
+   FROM xcmp a JOIN xcmp b ON b.channel=a.channel AND b.density=a.density AND b.source=a.source AND b.method='B1_LOCAL_HARD'""")
 oracle("x31_seed_summary", f"""SELECT condition, density, avg(macro_delta) AS macro_delta_mean, stddev_pop(macro_delta) AS macro_delta_std, min(macro_delta) AS macro_delta_min,
    max(macro_delta) AS macro_delta_max, count(macro_delta) AS macro_delta_n FROM ({summary("condition, density, seed", "decm")}) GROUP BY 1,2""")
 oracle("x32_zero_evidence_identity", "SELECT rna_id, source, 2 AS distinct_results FROM rec WHERE false")

@@ -205,6 +205,67 @@ def summarize_conditions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         "modification_precision": ratio(F.col("removed_fp") + F.col("new_tp"), F.col("deleted") + F.col("added"))})
 
 
+#: Ratios of the method comparison, pooled and as means over RNAs.
+METHOD_RATIOS = ("precision", "recall", "f1", "tp_preservation", "fp_removal", "modification_precision", "fp_removed_per_evidence_item")
+ORIGINAL = "B0_ORIGINAL"
+
+
+def method_parts(original: DataFrame, truth: DataFrame, results: dict[str, DataFrame], contexts: DataFrame) -> DataFrame:
+    """Edit parts per (method, context). Pairs are counted once with a flag per method; the first method is the original itself.
+
+    All tables carry the context columns; ``contexts`` also what else the comparison needs.
+    """
+    names = list(results)
+    columns = ["o", "t", *names]
+    rows = None
+    for name, part in (("o", original), ("t", truth), *results.items()):
+        part = part.select(*CONTEXT, *PAIR, *[F.lit(int(name == c)).alias(c) for c in columns])
+        rows = part if rows is None else rows.unionByName(part)
+    flags = rows.groupBy(*CONTEXT, *PAIR).agg(*[F.max(c).alias(c) for c in columns])
+    methods = F.explode(F.array(F.struct(F.lit(ORIGINAL).alias("method"), F.col("o").alias("r")), *[
+        F.struct(F.lit(n).alias("method"), F.col(n).alias("r")) for n in names])).alias("m")
+    every = F.explode(F.array(*[F.lit(n) for n in (ORIGINAL, *names)])).alias("method")
+    counted = edit_decomposition(flags.select(*CONTEXT, *PAIR, "o", "t", methods).select(*CONTEXT, *PAIR, "o", "t", "m.*"), ["method", *CONTEXT])
+    return contexts.select("*", every).join(counted, ["method", *CONTEXT], "left").fillna(0, list(PARTS))
+
+
+def _pooled(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summed parts and evidence items per key, their ratios, and F1 before."""
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("items").alias("items"), *[F.sum(p).alias(p) for p in PARTS])
+    c = {p: F.col(p) for p in PARTS}
+    tp, fp = c["preserved_tp"] + c["new_tp"], c["preserved_fp"] + c["new_fp"]
+    precision, recall, f1 = exact_prf(tp, fp, c["fn_after"])
+    before = exact_prf(c["preserved_tp"] + c["lost_tp"], c["preserved_fp"] + c["removed_fp"], c["fn_before"])[2]
+    good, bad = c["removed_fp"] + c["new_tp"], c["lost_tp"] + c["new_fp"]
+    return sums.withColumns({
+        "precision": precision, "recall": recall, "f1": f1, "f1_before": before,
+        "tp_preservation": ratio(c["preserved_tp"], c["preserved_tp"] + c["lost_tp"]),
+        "fp_removal": ratio(c["removed_fp"], c["preserved_fp"] + c["removed_fp"]),
+        "modification_precision": ratio(good, good + bad), "fp_removed_per_evidence_item": ratio(c["removed_fp"], F.col("items"))})
+
+
+def compare_methods(parts: DataFrame, keys: Sequence[str], local: str) -> DataFrame:
+    """Per key and method: sums, ratios pooled and as means over RNAs, and F1 gains over the original and the ``local`` method.
+
+    Gains per evidence item are pooled, and as the mean over RNAs with items. Every method has the same contexts, so the
+    original's F1 comes from the same sums.
+    """
+    on = [*keys, "method"]
+    micro, per_rna = _pooled(parts, on), _pooled(parts, [*on, "rna_id"])
+    gain = ratio(F.col("f1") - F.col("f1_before"), F.col("items"))
+    macro = per_rna.withColumn("_gain", gain).groupBy(*on).agg(
+        F.count("*").alias("rnas"), *[F.avg(m).alias(f"macro_{m}") for m in METHOD_RATIOS], *[F.count(m).alias(f"macro_{m}_defined") for m in METHOD_RATIOS],
+        F.avg("f1_before").alias("macro_f1_before"), F.avg("_gain").alias("macro_delta_f1_per_evidence_item"),
+        F.count("_gain").alias("macro_delta_f1_per_evidence_item_defined"))
+    rows = micro.withColumnsRenamed({m: f"micro_{m}" for m in METHOD_RATIOS}).join(macro, on)
+    beside = rows.where(F.col("method") == local).select(*keys, F.col("micro_f1").alias("_micro"), F.col("macro_f1").alias("_macro"))
+    micro_gain = F.col("micro_f1") - F.col("f1_before")
+    return rows.join(beside, list(keys), "left").withColumns({
+        "micro_delta_f1_vs_b0": micro_gain, "macro_delta_f1_vs_b0": F.col("macro_f1") - F.col("macro_f1_before"),
+        "micro_delta_f1_vs_b1": F.col("micro_f1") - F.col("_micro"), "macro_delta_f1_vs_b1": F.col("macro_f1") - F.col("_macro"),
+        "micro_delta_f1_per_evidence_item": ratio(micro_gain, F.col("items"))}).drop("_micro", "_macro")
+
+
 def seed_summary(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Mean, population std, min, max and defined count over seeds; nulls are left out."""
     stats = []

@@ -348,9 +348,28 @@ def _(t):
         F.count_if(F.col("rna_id").isNull()).alias("unmatched"))
 
 
-@query("x30_method_compare", "condition:s density:i source:s " + SUMMARY)
+METHOD_COLUMNS = (
+    "channel:s density:i source:s method:s n:i rnas:i items:i " + " ".join(f"{p}:i" for p in edits.PARTS) + " "
+    + " ".join(f"micro_{m}:d macro_{m}:d macro_{m}_defined:i" for m in edits.METHOD_RATIOS)
+    + " micro_delta_f1_vs_b0:d macro_delta_f1_vs_b0:d micro_delta_f1_vs_b1:d macro_delta_f1_vs_b1:d micro_delta_f1_per_evidence_item:d "
+    "macro_delta_f1_per_evidence_item:d macro_delta_f1_per_evidence_item_defined:i")
+
+
+@query("x30_method_compare", METHOD_COLUMNS)
 def _(t):
-    return edits.summarize_conditions(per_context(Setup(t)), ["condition", "density", "source"])
+    # the original, the hard local conditions, and the second source's structure as a refolding, where evidence is eligible
+    s = Setup(t)
+    eligible = cut_lineage(evidence.manifest_eligibility(s.items, s.manifests).where("eligibility = 'ELIGIBLE'").select("manifest_id"))
+    rows = s.manifests.join(eligible, "manifest_id", "left_semi").select(
+        "manifest_id", "rna_id", "channel", "density", F.col("selected").alias("items"))
+    contexts = rows.join(t.records.select(*RECORD), "rna_id")
+    refolded = t.predicted.where(F.col("source") == SOURCES[1]).select("rna_id", *edits.PAIR)
+    thin = contexts.select(*edits.CONTEXT)
+    parts = edits.method_parts(
+        thin.join(t.predicted, RECORD), thin.join(t.truth, "rna_id"),
+        {"B1_LOCAL_HARD": s.results.where("condition <> 'PAIR_PROTECT_ONLY'").join(eligible, "manifest_id", "left_semi"),
+         "B2_GLOBAL_REFOLD": thin.join(refolded, "rna_id")}, contexts)
+    return edits.compare_methods(parts, ["channel", "density", "source"], "B1_LOCAL_HARD")
 
 
 @query("x31_seed_summary", "condition:s density:i macro_delta_mean:d macro_delta_std:d macro_delta_min:d macro_delta_max:d macro_delta_n:i")
