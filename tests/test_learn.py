@@ -113,3 +113,19 @@ def test_curves_by_key_equal_curves_apart(spark, monkeypatch):
         assert {c: v for c, v in r.asDict().items() if c != "key"} == {c: pytest.approx(v) if isinstance(v, float) else v for c, v in want.items()}
     chosen = thresholds.threshold_select(thresholds.threshold_curve(frame, "risk", keys=["key"]), ["key"])
     assert chosen.count() <= 3
+
+
+def test_fit_reads_each_distinct_feature_row_once(spark, monkeypatch):
+    rows = [(k, s, f, d, float(u), float(v)) for k, s, f, d, u, v in scored_rows(n=300)]
+    frame = spark.createDataFrame(rows, "rna_id long, source string, fold int, label_delete int, u double, v double")
+    sizes, fit = [], learn.grouped_logistic
+
+    def counted(part, *args):
+        sizes.append(part.count())
+        return fit(part, *args)
+
+    monkeypatch.setattr(learn, "grouped_logistic", counted)
+    once = {(r["variant"], r["rotation"], r["rna_id"]): r["p_delete"] for r in learn.fit_delete_risk(frame, ["u", "v"], SOURCES).collect()}
+    many = learn.fit_delete_risk(frame.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))), ["u", "v"], SOURCES).collect()
+    assert sizes[0] == sizes[1]
+    assert len(many) == 20 * len(once) and max(abs(r["p_delete"] - once[r["variant"], r["rotation"], r["rna_id"]]) for r in many) < 1e-8
