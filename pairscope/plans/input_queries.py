@@ -138,19 +138,27 @@ def _(t):
                           F.lit("ok").alias("code")).unionByName(rejects, allowMissingColumns=True)
 
 
+def totals(cells, **sums):
+    """One row per file of (path, code, score and whatever ``sums`` reads): counts and sums of a good file, the code of a rejected one."""
+    good = F.col("code").isNull()
+    out = cells.where("code IS NOT NULL OR score IS NOT NULL").groupBy("path", "code").agg(
+        F.count("score").alias("cells"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    return out.withColumns({"cells": F.when(good, F.col("cells")), "code": F.coalesce("code", F.lit("ok"))})
+
+
 @query("s3_ingest_scores", "path:s cells:i total:i weighted:i code:s")
 def _(t):
-    cells, rejects = readers.ingest_scores(inputs.matrix_files(t))
-    out = cells.groupBy("path").agg(
-        F.count("*").alias("cells"), F.sum("score").alias("total"), F.sum(F.col("score") * (F.col("i") + 2 * F.col("j"))).alias("weighted"))
-    return out.withColumn("code", F.lit("ok")).unionByName(rejects, allowMissingColumns=True)
+    # files are made and read in one pass; rejected ones keep a row without cells
+    files = readers.score_matrices(inputs.matrix_files(t))
+    rows = files.select("path", "code", F.posexplode_outer(F.when(F.col("code").isNull(), F.col("matrix"))).alias("i", "row"))
+    cells = rows.select("path", "code", "i", F.posexplode_outer("row").alias("j", "score"))
+    return totals(cells, total=F.col("score"), weighted=F.col("score") * (F.col("i") + 2 * F.col("j")))
 
 
 @query("s4_ingest_dotplot", "path:s cells:i total:d code:s")
 def _(t):
-    cells, rejects = readers.ingest_dotplot(inputs.dotplot_files(t))
-    out = cells.groupBy("path").agg(F.count("*").alias("cells"), F.sum("score").alias("total"))
-    return out.withColumn("code", F.lit("ok")).unionByName(rejects, allowMissingColumns=True)
+    files = readers.dotplots(inputs.dotplot_files(t))
+    return totals(files.select("path", "code", F.inline_outer(F.when(F.col("code").isNull(), F.col("cells")))), total=F.col("score"))
 
 
 @query("s5_write_tables", "kind:s n:i risk:d")

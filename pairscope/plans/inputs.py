@@ -1,6 +1,7 @@
 """Raw-looking inputs derived from the tables, with faults at known ids, for the readers and checks.
 
-Texts are written once, as files would be, so their construction is not part of a reader's plan.
+Texts that several steps read are written once, as files would be, so their construction is not part of a reader's plan. The files of
+matrices and dot plots are many times the size of the tables; their readers take one pass, and nothing writes them.
 """
 
 from __future__ import annotations
@@ -195,28 +196,27 @@ def structure_files(t: Tables) -> DataFrame:
 
 def matrix_files(t: Tables) -> DataFrame:
     """Length line, then the matrix as text, then a trailing comment; cut or non-numeric at some ids."""
-    cell = "cast((cast(rna_id AS bigint) + 3 * r + 5 * c) % 1000 AS string)"
-    rows = (f"transform(sequence(0, sequence_length - 1), r -> array_join(transform(sequence(0, sequence_length - 1), "
-            f"c -> {cell}), ' '))")
-    out = computed_once(t.rnas.repartition("rna_id"), "_rows", F.expr(rows))
+    rows = ("transform(sequence(0, sequence_length - 1), r -> array_join(cast(transform("
+            "sequence(_d + 3 * r, _d + 3 * r + 5 * (sequence_length - 1), 5), x -> x % 1000) AS array<string>), ' '))")
+    out = computed_once(computed_once(t.rnas.repartition("rna_id"), "_d", d()), "_rows", F.expr(rows))
     out = out.withColumn("_rows", F.when(at(21, 4), F.slice("_rows", 1, F.size("_rows") - 1)).when(
         at(25, 6), F.concat(F.array(F.lit("x y")), F.slice("_rows", 2, F.size("_rows")))).otherwise(F.col("_rows")))
     tail = F.when(at(21, 4), F.array()).otherwise(F.array(F.lit("# end")))
-    return cut_lineage(out.select(F.concat(F.lit("scores/"), F.col("rna_id")).alias("path"), "rna_id", F.concat_ws(
-        "\n", F.concat(F.array(F.col("sequence_length").cast("string")), F.col("_rows"), tail)).alias("value")))
+    return out.select(F.concat(F.lit("scores/"), F.col("rna_id")).alias("path"), "rna_id", F.concat_ws(
+        "\n", F.concat(F.array(F.col("sequence_length").cast("string")), F.col("_rows"), tail)).alias("value"))
 
 
 def dotplot_files(t: Tables) -> DataFrame:
     """Upper-triangle ``ubox`` lines between other lines; incomplete, repeated or invalid at some ids."""
     lines = ("flatten(transform(sequence(1, sequence_length - 1), r -> transform(sequence(r + 1, sequence_length), "
-             "c -> concat_ws(' ', r, c, ((cast(rna_id AS bigint) + 3 * r + 5 * c) % 100) / 100.0D, 'ubox'))))")
-    out = computed_once(t.rnas.repartition("rna_id"), "_l", F.expr(lines))
+             "c -> concat_ws(' ', r, c, ((_d + 3 * r + 5 * c) % 100) / 100.0D, 'ubox'))))")
+    out = computed_once(computed_once(t.rnas.repartition("rna_id"), "_d", d()), "_l", F.expr(lines))
     l = F.col("_l")
     out = out.withColumn("_l", F.when(at(20, 3), F.slice(l, 1, F.size(l) - 1)).when(
         at(20, 4), F.concat(l, F.array(l[0]))).when(at(20, 5), F.concat(F.array(F.lit("1 2 1.5 ubox")), F.slice(l, 2, F.size(l)))).otherwise(l))
-    return cut_lineage(out.select(
+    return out.select(
         F.concat(F.lit("plots/"), F.col("rna_id")).alias("path"), "sequence_length",
-        F.concat(F.lit("%!header\n"), F.array_join("_l", "\n"), F.lit("\n1 2 0.9 lbox\nshowpage")).alias("value")))
+        F.concat(F.lit("%!header\n"), F.array_join("_l", "\n"), F.lit("\n1 2 0.9 lbox\nshowpage")).alias("value"))
 
 
 ROLES = ("truth",) + SOURCES
