@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairscope.functions.shaping import computed_once
 from pairscope.operators.validate import validate_pairs
 
 # fixed values: bracket families, an opening symbol and its closing symbol at the same place
@@ -84,13 +85,16 @@ def pairs_from_matrix(matrices: DataFrame, keys: list[str]) -> tuple[DataFrame,
 
     Shape and values are checked on the arrays, so only the set cells are exploded and shuffled.
     """
+    # parsed and judged once a matrix, whatever reads it later
+    matrices = computed_once(matrices.withColumnRenamed("matrix", "_matrix"), "matrix", F.col("_matrix")).drop("_matrix")
     size = F.size("matrix")
+    values = F.array_distinct(F.flatten("matrix"))
     code = (
         F.when(F.col("matrix").isNull() | F.exists("matrix", lambda r: r.isNull() | (F.size(r) != size)), "invalid_matrix_shape")
         .when(F.col("sequence_length").isNotNull() & (size != F.col("sequence_length")), "length_mismatch")
-        .when(F.exists("matrix", lambda r: F.exists(r, lambda v: v.isNull() | ~v.isin(0, 1))), "invalid_matrix_value")
+        .when(F.exists(values, lambda v: v.isNull() | ~v.isin(0, 1)), "invalid_matrix_value")
     )
-    tagged = matrices.withColumn("code", code)
+    tagged = computed_once(matrices, "code", code)
     cells = (
         tagged.where("code IS NULL").select(*keys, size.alias("sequence_length"), F.posexplode("matrix").alias("r", "row"))
         .select(*keys, "sequence_length", "r", F.posexplode("row").alias("c", "v")).where("v = 1")

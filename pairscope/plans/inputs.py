@@ -67,15 +67,13 @@ def truth_lists(t: Tables) -> DataFrame:
                         F.expr("transform(all, x -> transform(x, v -> v + base))").alias("pairs"))
 
 
-def _matrix_rows(t: Tables, marks: DataFrame) -> DataFrame:
-    """Dense 0/1 matrix per RNA from (rna_id, r, c, v) cells; built row by row, cells grouped per row."""
+def _matrix_rows(rnas: DataFrame, marks: DataFrame) -> DataFrame:
+    """Dense 0/1 matrix per RNA from (rna_id, r, c, v) cells; only the marks are shuffled, the rest is filled in inside the row."""
     rows = marks.groupBy("rna_id", "r").agg(F.map_from_entries(F.collect_set(F.struct("c", "v"))).alias("cells"))
-    grid = t.rnas.select("rna_id", "sequence_length", F.expr("explode(sequence(0, sequence_length - 1))").alias("r"))
-    filled = grid.join(rows, ["rna_id", "r"], "left").withColumn(
-        "row", F.expr("transform(sequence(0, sequence_length - 1), c -> coalesce(cells[c], 0))"))
-    ordered = F.array_sort(F.collect_list(F.struct("r", "row")))
-    return filled.groupBy("rna_id", "sequence_length").agg(ordered.alias("o")).select(
-        "rna_id", "sequence_length", F.transform("o", lambda x: x["row"]).alias("matrix"))
+    marked = rows.groupBy("rna_id").agg(F.map_from_entries(F.collect_list(F.struct("r", "cells"))).alias("marked"))
+    matrix = """transform(sequence(0, sequence_length - 1), r -> transform(array(marked[r]), cells -> CASE WHEN cells IS NULL
+        THEN array_repeat(0, sequence_length) ELSE transform(sequence(0, sequence_length - 1), c -> coalesce(cells[c], 0)) END)[0])"""
+    return computed_once(rnas.select("rna_id", "sequence_length").join(marked, "rna_id", "left"), "matrix", F.expr(matrix)).drop("marked")
 
 
 def _marks(t: Tables) -> DataFrame:
@@ -93,7 +91,7 @@ def truth_matrices(t: Tables) -> DataFrame:
     extra = t.rnas.select("rna_id", F.explode(F.concat(
         cell(at(11, 1), F.lit(0), F.lit(0)), cell(at(13, 2), F.lit(0), last), cell(at(19, 3), F.lit(0), F.lit(1), 2),
         cell(at(7, 5), F.lit(2), last), cell(at(7, 5), last, F.lit(2)))).alias("x")).select("rna_id", "x.*")
-    return cut_lineage(_matrix_rows(t, _marks(t).unionByName(extra)).withColumn(
+    return cut_lineage(_matrix_rows(t.rnas, _marks(t).unionByName(extra)).withColumn(
         "matrix", F.when(at(23, 4), F.slice("matrix", 1, F.size("matrix") - 1)).otherwise(F.col("matrix"))))
 
 
@@ -101,8 +99,10 @@ def mixed_structures(t: Tables) -> DataFrame:
     """True structures in four formats by id, and one format nobody supports."""
     text = render_brackets(
         t.truth.withColumn("family", _family()), t.rnas.select("rna_id", "sequence_length"), ["rna_id"])
+    # a matrix is many times its pairs, so only the RNAs that are written as one get it
+    matrices = _matrix_rows(t.rnas.where(at(4, 3)), _marks(t).where(at(4, 3)))
     rows = (
-        _truth_arrays(t).join(_matrix_rows(t, _marks(t)).select("rna_id", "matrix"), "rna_id")
+        _truth_arrays(t).join(matrices.select("rna_id", "matrix"), "rna_id", "left")
         .join(text.select("rna_id", "text"), "rna_id")
     )
     one_based = F.to_json(F.transform("pairs", lambda p: F.transform(p, lambda v: v + 1)))
