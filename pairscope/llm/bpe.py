@@ -1,7 +1,7 @@
 """Byte-pair encoding with a given vocabulary, and its decoding.
 
-A piece's symbols are a doubly linked list; a priority queue holds the merges of neighbours by rank, and an
-entry whose symbols have changed since is skipped. Each distinct piece is encoded once per worker while its
+A short piece takes the least of its neighbours' merges each time. A long one's symbols are a doubly linked list; a priority queue
+holds the merges of neighbours by rank, and an entry whose symbols have changed since is skipped. Each distinct piece is encoded once per worker while its
 memo lasts. Decoding concatenates vocabulary strings, with the separator the vocabulary file asks for.
 """
 
@@ -21,6 +21,8 @@ from pairscope.llm.common import workers_import
 
 #: Words and pieces a worker remembers, about 100 MB each; then a memo starts anew.
 MEMO = 400_000
+#: Symbols up to which scanning all merges is faster than a queue; a merge behind all others.
+_SHORT, _NONE = 48, 1 << 100
 #: White space as the vocabulary file's regular expressions know it.
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
 # fixed values: letters and digits that Unicode 16 added, which the file's splitter knows and Python's tables (15.1) don't
@@ -60,7 +62,7 @@ def splitter() -> Callable[[str], list[str]]:
     other = rf"[[^{_WHITE}\p{{L}}\p{{N}}]||[{later}]]"
     exact = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|{other}+", regex.V1).findall
     # the set difference is slow; no text below the first such letter needs it
-    return lambda text: plain(text) if not text or max(text) < first else exact(text)
+    return lambda text: plain(text) if text.isascii() or max(text) < first else exact(text)
 
 
 class Bpe:
@@ -74,6 +76,7 @@ class Bpe:
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.strings = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.numbers = {i: str(i) for i in self.strings}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         v = self.vocab
         # pair of ids -> rank and merged id, each packed into one number
@@ -99,6 +102,8 @@ class Bpe:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge by rank, leftmost first among equals, until no merge applies."""
+        if len(symbols) <= _SHORT:
+            return self._merge_short(symbols)
         n, get, pop, push = len(symbols), self.merges.get, heapq.heappop, heapq.heappush
         after, before, queue = list(range(1, n + 1)), list(range(-1, n - 1)), []
         for i, (a, b) in enumerate(zip(symbols, symbols[1:])):
@@ -124,6 +129,19 @@ class Bpe:
                 push(queue, m + (h << 20))
         return [s for s in symbols if s >= 0]
 
+    def _merge_short(self, symbols: list[int]) -> list[int]:
+        get = self.merges.get
+        ranks = [get(a << 20 | b, _NONE) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) != _NONE:
+            i = ranks.index(least)
+            symbols[i] = new = least & 0xFFFFF
+            del symbols[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(symbols[i - 1] << 20 | new, _NONE)
+            if i < len(ranks):
+                ranks[i] = get(new << 20 | symbols[i + 1], _NONE)
+        return symbols
+
     def piece(self, text: str) -> list[int]:
         if (ids := self.known_pieces.get(text)) is None:
             data = text.encode()
@@ -143,9 +161,13 @@ class Bpe:
             known.clear()
         new = {}
         for word in set(found).difference(known):
-            ids = [i for piece in self.pieces(word.translate(_LOWER)) for i in self.piece(piece)]
-            (known if len(word) <= 64 else new)[word] = (" ".join(map(str, ids)), self.decode(ids)) if ids else None
-        return [known[w] if w in known else new[w] for w in found] if new else [known[w] for w in found]
+            if word.isascii():
+                # letters alone are one piece
+                ids = self.piece(word) if word.isalpha() else [i for piece in self.pieces(word) for i in self.piece(piece)]
+            else:
+                ids = [i for piece in self.pieces(word.translate(_LOWER)) for i in self.piece(piece)]
+            (known if len(word) <= 64 else new)[word] = (" ".join(map(self.numbers.__getitem__, ids)), self.decode(ids)) if ids else None
+        return [known[w] if w in known else new[w] for w in found] if new else list(map(known.__getitem__, found))
 
     def parts(self, text: str) -> list[str]:
         """Ordinary text and special tokens in turn."""

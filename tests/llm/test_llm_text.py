@@ -325,3 +325,17 @@ def test_pipeline_matches_plain_python(spark):
         expected[(i, len(ids), _sha(" ".join(map(str, ids))), _sha(LIBRARY.decode(ids, skip_special_tokens=False)))] += copies
     found = Counter(map(tuple, corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()))
     assert found == +expected and len(found) > 20
+
+
+def test_short_and_long_merges_give_the_same_ids(monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = bpe.Bpe(f.read())
+    rng = random.Random(8)
+    for n in range(1, bpe._SHORT + 1):
+        symbols = [rng.choice(vocabulary.inner[97:106]) for _ in range(n)]
+        short = vocabulary.merge(list(symbols))
+        monkeypatch.setattr(bpe, "_SHORT", 0)
+        assert vocabulary.merge(list(symbols)) == short
+        monkeypatch.undo()
