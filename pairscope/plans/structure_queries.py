@@ -217,7 +217,7 @@ def _(t):
        "rna_id:s source:s event_type:s truth_outer:s pred_outer:s pair_overlap:i left_overlap:i right_overlap:i "
        "displacement:i boundary:s component_id:s")
 def _(t):
-    return stems.stem_error_table(t.records, t.truth, t.predicted, t.candidates)
+    return stems.stem_error_table(t.records, t.truth, t.predicted, t.candidates_once)
 
 
 @query("t12_stem_error_summary",
@@ -225,7 +225,7 @@ def _(t):
        "isolated_complex_mismatch:i ambiguous_truth_stems:i ambiguous_predicted_stems:i ambiguous_components:i "
        "stem_missing:i unmatched_predicted:i fraction_exact:d fraction_missing:d fraction_unmatched:d")
 def _(t):
-    return stems.stem_error_summary(t.stem_states, stems.ambiguous_components(t.candidates), t.records)
+    return stems.stem_error_summary(t.stem_states, stems.ambiguous_components(t.candidates_once), t.records)
 
 
 @query("t13_stem_greedy_match", "rna_id:s source:s t_left_start:i t_right_end:i p_left_start:i p_right_end:i pair_overlap:i")
