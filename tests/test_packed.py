@@ -51,3 +51,17 @@ def shuffled(spark, key):
 def test_neither_universe_nor_candidates_of_all_manifests_are_shuffled(spark, key, most):
     # an RNA has about 70 universe items and 30 candidates, under 60 manifests each
     assert shuffled(spark, key) < most
+
+
+def test_digests_are_ordered_by_comparing_values_not_by_a_lambda(spark):
+    from pairscope.operators import packed
+    from pyspark.sql import functions as F
+
+    rows = spark.sql("SELECT 'r' AS rna_id, 40 AS sequence_length, array() AS none").select("rna_id", "sequence_length", F.expr(
+        "transform(sequence(0, 11), k -> struct(cast(k AS int) AS i, cast(40 - k AS int) AS j)) AS pairs"), F.expr(
+        "transform(sequence(12, 27), k -> struct(cast(k AS int) AS i, cast(NULL AS int) AS j)) AS free"))
+    drawn = packed.sampled(packed.manifests(rows, (20, 50), (101,)))
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
+    for r in packed.payloads(drawn).collect():
+        assert [x["i"] for x in r["items"]] == sorted(x["i"] for x in r["items"]) and len(r["items"]) == r["selected"]
